@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from echotrip.functions.ngrams import CHAR_ORDERS, PEELED_ORDERS, WORD_ORDERS, part
+from echotrip.functions.ngrams import CHAR_ORDERS, PEELED_ORDERS, WORD_ORDERS
+
+
+def _orders(stats: Column, orders: int) -> Column:
+    """Statistics array as one struct (h, r, m) per order."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(orders - 1)),
+        lambda n: F.struct(
+            F.get(stats, n).alias("h"),
+            F.get(stats, n + orders).alias("r"),
+            F.get(stats, n + 2 * orders).alias("m"),
+        ),
+    )
 
 
 def brevity_penalty(hyp_len: Column, ref_len: Column) -> Column:
@@ -25,23 +34,33 @@ def bleu_score(stats: Column, effective_order: bool, orders: int = WORD_ORDERS)
     ``effective_order``: average only over the orders the hypothesis is long enough for (sentence
     scores); otherwise such an order makes the score 0 (corpus scores).
     """
-    logs, missed = [], F.lit(0)
-    for n in range(1, orders + 1):
-        hyps, match = part(stats, 0, n, orders), part(stats, 2, n, orders)
-        unmatched = (hyps > 0) & (match == 0)
-        missed = missed + F.when(unmatched, 1).otherwise(0)
-        precision = F.when(unmatched, F.lit(100.0) / F.pow(F.lit(2.0), missed)).otherwise(
-            F.lit(100.0) * match
+    reached = F.filter(_orders(stats, orders), lambda c: c["h"] > 0)
+
+    def add_order(walk: Column, c: Column) -> Column:
+        # Each order without a match halves the stand-in for its zero count once more.
+        unmatched = c["m"] == 0
+        stand_in = F.when(unmatched, walk["stand_in"] / 2).otherwise(walk["stand_in"])
+        hits = F.when(unmatched, stand_in).otherwise(c["m"].cast("double"))
+        return F.struct(
+            (walk["log_sum"] + F.ln(hits * 100 / c["h"])).alias("log_sum"),
+            stand_in.alias("stand_in"),
+            (walk["matches"] + c["m"]).alias("matches"),
         )
-        logs.append(F.when(hyps > 0, F.ln(F.try_divide(precision, hyps))))
-    reached = reduce(add, [F.when(log.isNotNull(), 1).otherwise(0) for log in logs])
-    log_sum = reduce(add, [F.coalesce(log, F.lit(0.0)) for log in logs])
-    matched = reduce(add, [part(stats, 2, n, orders) for n in range(1, orders + 1)])
-    usable = matched > 0
-    if not effective_order:
-        usable = usable & (reached == orders)
-    penalty = brevity_penalty(part(stats, 0, 1, orders), part(stats, 1, 1, orders))
-    return F.when(usable, penalty * F.exp(F.try_divide(log_sum, reached))).otherwise(F.lit(0.0))
+
+    start = F.struct(
+        F.lit(0.0).alias("log_sum"),
+        F.lit(1.0).alias("stand_in"),
+        F.lit(0).cast("bigint").alias("matches"),
+    )
+    penalty = brevity_penalty(F.get(stats, F.lit(0)), F.get(stats, F.lit(orders)))
+    used = F.size(reached)
+    usable = used > 0 if effective_order else used == orders
+
+    def finish(walk: Column) -> Column:
+        mean = F.exp(F.try_divide(walk["log_sum"], used))
+        return F.when(usable & (walk["matches"] > 0), penalty * mean).otherwise(F.lit(0.0))
+
+    return F.aggregate(reached, start, add_order, finish)
 
 
 def chrf_score(
@@ -52,18 +71,21 @@ def chrf_score(
     beta: float = 2.0,
 ) -> Column:
     """chrF, or chrF++ when word statistics are given."""
-    cells = [(char_stats, n, char_orders) for n in range(1, char_orders + 1)]
+    cells = _orders(char_stats, char_orders)
     if word_stats is not None:
-        cells += [(word_stats, n, word_orders) for n in range(1, word_orders + 1)]
-    precisions, recalls, used = [], [], []
-    for stats, n, orders in cells:
-        hyps, refs, match = (part(stats, k, n, orders) for k in range(3))
-        both = (hyps > 0) & (refs > 0)
-        used.append(F.when(both, 1).otherwise(0))
-        precisions.append(F.when(both, F.try_divide(match, hyps)).otherwise(0.0))
-        recalls.append(F.when(both, F.try_divide(match, refs)).otherwise(0.0))
-    orders_used = reduce(add, used)
-    precision = F.try_divide(reduce(add, precisions), orders_used)
-    recall = F.try_divide(reduce(add, recalls), orders_used)
-    harmonic = F.try_divide(precision * recall * (1 + beta**2), precision * beta**2 + recall)
-    return F.coalesce(harmonic * 100, F.lit(0.0))
+        cells = F.concat(cells, _orders(word_stats, word_orders))
+    used = F.filter(cells, lambda c: (c["h"] > 0) & (c["r"] > 0))
+    sums = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+
+    def add_order(total: Column, c: Column) -> Column:
+        return F.struct(
+            (total["p"] + c["m"] / c["h"]).alias("p"), (total["q"] + c["m"] / c["r"]).alias("q")
+        )
+
+    def finish(total: Column) -> Column:
+        # The number of orders cancels out of the harmonic mean except for one factor.
+        weighted = total["p"] * beta**2 + total["q"]
+        f = F.try_divide(total["p"] * total["q"] * (1 + beta**2), weighted * F.size(used))
+        return F.coalesce(f * 100, F.lit(0.0))
+
+    return F.aggregate(used, sums, add_order, finish)
