@@ -14,6 +14,15 @@ WHITESPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same characters as a plain set, for trimming.
+WHITESPACE_CHARS = "".join(
+    map(
+        chr,
+        [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+        + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
+    )
+)
+
 # A sentence ends at . ! or ?, closing quotes or brackets, then white space and an opening
 # quote/bracket, capital letter or digit.
 SENTENCE_END = r"""([.!?]["')\]]*)""" + WHITESPACE + r"""+(["'(]?[A-Z0-9À-Ý])"""
@@ -23,7 +32,7 @@ HELD_DOT = "\u0002"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.trim(text, F.lit(WHITESPACE_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -62,7 +71,7 @@ def split_sentences(text: Column, abbreviations: Sequence[str] = ()) -> Column:
 
 def tokenize_13a(text: Column) -> Column:
     """mteval-v13a tokens as an array (the tokenisation BLEU is defined on)."""
-    t = F.regexp_replace(text, f"{WHITESPACE}+$", "")
+    t = F.rtrim(text, F.lit(WHITESPACE_CHARS))
     t = F.replace(t, F.lit("<skipped>"), F.lit(""))
     t = F.replace(t, F.lit("-\n"), F.lit(""))
     t = F.replace(t, F.lit("\n"), F.lit(" "))
@@ -70,11 +79,12 @@ def tokenize_13a(text: Column) -> Column:
     for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.concat(F.lit(" "), t, F.lit(" "))
-    # The published mteval-v13a patterns.
+    # The published mteval-v13a patterns. The first class leaves out the space, which
+    # the final split removes anyway; \D is several times faster than [^0-9] in the JVM.
     for pattern, repl in (
-        (r"([{-~\[-` -&(-+:-@/])", " $1 "),
-        (r"([^0-9])([.,])", "$1 $2 "),
-        (r"([.,])([^0-9])", " $1 $2"),
+        (r"([!-&(-+:-@\[-`{-~/])", " $1 "),
+        (r"(\D)([.,])", "$1 $2 "),
+        (r"([.,])(\D)", " $1 $2"),
         (r"([0-9])(-)", "$1 $2 "),
     ):
         t = F.regexp_replace(t, pattern, repl)

@@ -2,41 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrip.functions import ngrams, scores
 
 
-def _bleu(hyp: Column, ref: Column) -> Column:
-    return scores.bleu_score(ngrams.bleu_statistics(hyp, ref), effective_order=True)
-
-
-def _chrf(hyp: Column, ref: Column) -> Column:
-    return scores.chrf_score(ngrams.char_statistics(hyp, ref))
-
-
-def _chrfpp(hyp: Column, ref: Column) -> Column:
-    return scores.chrf_score(ngrams.char_statistics(hyp, ref), ngrams.peeled_statistics(hyp, ref))
-
-
-METRICS: dict[str, Callable[[Column, Column], Column]] = {
-    "bleu": _bleu,
-    "chrf": _chrf,
-    "chrf++": _chrfpp,
-}
-
-
-def sentence_metric(metric: str, hyp: str = "hyp", ref: str = "ref") -> Column:
-    """Score column (0-100) by metric name; unknown names fail while the plan is built."""
-    if metric not in METRICS:
-        raise ValueError(f"Unknown metric: {metric}")
-    return METRICS[metric](F.col(hyp), F.col(ref))
-
-
-# Statistics each metric is computed from.
+# Metric name -> statistics it is computed from.
 STATISTICS = {
     "bleu": ("_words",),
     "chrf": ("_chars",),
@@ -57,7 +29,7 @@ def _score(metric: str, effective_order: bool) -> Column:
 
 def _needed(metrics: list[str]) -> list[str]:
     for metric in metrics:
-        if metric not in METRICS:
+        if metric not in STATISTICS:
             raise ValueError(f"Unknown metric: {metric}")
     return [s for s in _BUILDERS if any(s in STATISTICS[m] for m in metrics)]
 
@@ -78,6 +50,16 @@ def score_pairs(
     )
 
 
+def sentence_metric(
+    pairs: DataFrame, metric: str = "chrf", word_order: int = 2, out: str = "score",
+    hyp: str = "hyp", ref: str = "ref",
+) -> DataFrame:
+    """Add one score by metric name, "bleu" or "chrf" (``word_order`` 2 is chrF++, 0 is chrF);
+    other names fail while the plan is built."""
+    name = {("chrf", 2): "chrf++"}.get((metric, word_order), metric)
+    return score_pairs(pairs, {out: name}, hyp, ref)
+
+
 def score_pairs_exploded(
     pairs: DataFrame, keys: list[str], metrics: dict[str, str], hyp: str = "hyp", ref: str = "ref"
 ) -> DataFrame:

@@ -17,13 +17,8 @@ ALPHA = 0.0
 
 def tail_mask(length: Column, completion_len: Column) -> Column:
     """1 for the last ``completion_len`` of ``length`` positions (left-padded sequence)."""
-    return F.when(
-        length > 0,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0))),
-            lambda i: (i >= length - completion_len).cast("int"),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
+    ones = F.least(F.greatest(completion_len, F.lit(0)), length)
+    return F.concat(F.array_repeat(F.lit(0), length - ones), F.array_repeat(F.lit(1), ones))
 
 
 def label_mask(labels: Column, pad: int) -> Column:

@@ -28,12 +28,26 @@ def extract_sentences(
     pandas UDF around a tokenizer) also ``token_count < max_tokens``. ``pos`` counts the sentences
     of a document before filtering. Map-only, so it works on a stream as well.
     """
-    split = corpus.select(
-        "doc_id", F.posexplode(text.split_sentences(F.col("text"), abbreviations)).alias("pos", "sentence")
-    ).withColumn("n_words", text.word_count(F.col("sentence")))
-    kept = split.where(F.col("n_words") >= min_words)
-    if max_words is not None:
-        kept = kept.where(F.col("n_words") < max_words)
+    # Split, count and filter inside the array: each sentence is counted once, and only the kept
+    # ones become rows.
+    stripped = F.transform(
+        text.split_sentences(F.col("text"), abbreviations),
+        lambda s, i: F.struct(i.alias("pos"), s.alias("sentence")),
+    )
+    counted = F.transform(
+        stripped,
+        lambda s: F.struct(
+            s["pos"].alias("pos"),
+            s["sentence"].alias("sentence"),
+            text.word_count(s["sentence"]).alias("n_words"),
+        ),
+    )
+
+    def usable(s: Column) -> Column:
+        long_enough = s["n_words"] >= min_words
+        return long_enough if max_words is None else long_enough & (s["n_words"] < max_words)
+
+    kept = corpus.select("doc_id", F.inline(F.filter(counted, usable)))
     if token_count is not None:
         kept = kept.where(token_count(F.col("sentence")) < max_tokens)
     return kept.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORRELATION_SCHEMA = (
@@ -54,13 +54,15 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def nested_report(report: DataFrame) -> DataFrame:
     """One JSON text per language: ``{direction: {metric: score}}``."""
-    per_direction = report.groupBy("lang", "direction").agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_set(F.struct("metric", "score")))
-        ).alias("scores")
-    )
-    return per_direction.groupBy("lang").agg(
+    def cell(direction: str, metric: str) -> Column:
+        wanted = (F.col("direction") == direction) & (F.col("metric") == metric)
+        return F.max(F.when(wanted, F.col("score"))).alias(metric)
+
+    return report.groupBy("lang").agg(
         F.to_json(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("direction", "scores"))))
+            F.struct(
+                F.struct(cell("forward", "bleu"), cell("forward", "chrf++")).alias("forward"),
+                F.struct(cell("backward", "bleu"), cell("backward", "chrf")).alias("backward"),
+            )
         ).alias("report")
     )

@@ -1,0 +1,151 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from echotrip.functions import kernel, ngrams, text
+from echotrip.operators import metrics
+
+REF = "He's got a lot on his plate right now."
+GOLDEN = [  # hypothesis, BLEU, chrF, chrF++
+    ("He has a lot on his plate now.", 45.936133, 52.804771, 55.685064),
+    ("He's got a lot on his plate now.", 71.893934, 75.647235, 78.176078),
+    ("He has a lot on the menu right now.", 26.269099, 41.069231, 43.875313),
+    (REF, 100.0, 100.0, 100.0),
+    ("He", 0.0, 6.242906, 4.161937),
+    ("", 0.0, 0.0, 0.0),
+]
+EDGES = [
+    "", " ", "a", "word", "?!...", " non break", "two\nlines-\nhere", "नमस्ते दुनिया, कैसे हैं?",
+    '12,345 U.S. -- e.g. "x-y" 3-4', "a &amp; b &lt;c&gt; &quot;", "<skipped> gone", "a.,1 ,.2 1..2 3.,4",
+    "😀 emoji 😀😀 and 👩‍👧", "(both) 'sides' \"quoted\"", "x" * 3000, "ab " * 1500, " wide　space\x1c",
+    "\u0001 control \u0002", "tail. ", "1-2-3 a-b",
+]
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
+    draw = random.Random(7)
+    vocabulary = "the cat, sat. on a (mat) - 3.5 é für 1,000 'tis x&y".split()
+    made = [" ".join(draw.choices(vocabulary, k=draw.randint(0, 25))) for _ in range(150)]
+    rows = [(a, b) for a in EDGES for b in (a, EDGES[9], "", REF)]
+    rows += [(a, draw.choice(made)) for a in made] + [(g[0], REF) for g in GOLDEN]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, hyp string, ref string")
+
+
+def test_golden(spark):
+    df = spark.createDataFrame([(i, g[0], REF) for i, g in enumerate(GOLDEN)], "id long, hyp string, ref string")
+    scored = metrics.score_pairs(df, {"b": "bleu", "c": "chrf", "d": "chrf++"}).orderBy("id").collect()
+    for row, (_, *expected) in zip(scored, GOLDEN):
+        assert [round(x, 6) for x in row[3:]] == expected
+
+
+def test_13a_golden(spark):
+    line = '12,345 U.S. -- e.g. "x-y" 3-4'
+    got = spark.range(1).select(text.tokenize_13a(F.lit(line))).first()[0]
+    assert " | ".join(got) == '12,345 | U | . | S | . | -- | e | . | g | . | " | x-y | " | 3 | - | 4'
+
+
+def test_tokens_match_plain_python(pairs):
+    rows = pairs.select(
+        "hyp", text.tokenize_13a(F.col("hyp")), text.peel_punctuation(F.col("hyp")),
+        text.words(F.col("hyp")), text.strip(F.col("hyp")),
+    ).collect()
+    for line, tokens, peeled, words, stripped in rows:
+        assert tokens == brute.tokens_13a(line)
+        assert peeled == brute.peeled(line)
+        assert words == line.split()
+        assert stripped == line.strip()
+
+
+def test_scores_match_plain_python(pairs):
+    scored = metrics.score_pairs(pairs, {"b": "bleu", "c": "chrf", "d": "chrf++"}).collect()
+    for r in scored:
+        assert r.b == pytest.approx(brute.bleu(r.hyp, r.ref), abs=1e-9)
+        assert r.c == pytest.approx(brute.chrf(r.hyp, r.ref), abs=1e-9)
+        assert r.d == pytest.approx(brute.chrf(r.hyp, r.ref, words=2), abs=1e-9)
+
+
+def test_exploded_scores_are_the_same(pairs):
+    names = {"b": "bleu", "c": "chrf", "d": "chrf++"}
+    here = {r.id: (r.b, r.c, r.d) for r in metrics.score_pairs(pairs, names).collect()}
+    there = {r.id: (r.b, r.c, r.d) for r in metrics.score_pairs_exploded(pairs, ["id"], names).collect()}
+    assert here == there
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 1 << 17])
+def test_kernel_chunks_and_renumbering(chunk, monkeypatch):
+    monkeypatch.setattr(kernel, "CHUNK_SYMBOLS", chunk)
+    draw = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]  # large alphabet: ids are renumbered
+    texts = [draw.choices(letters[: draw.choice([2, 5, 4000])], k=draw.randint(0, 300)) for _ in range(200)]
+    hyps, refs = ["".join(t) for t in texts[::2]], ["".join(t) for t in texts[1::2]]
+    for got, hyp, ref in zip(kernel.pair_statistics(hyps, refs, 6, kernel.char_sequences), hyps, refs):
+        expected = brute.stats(hyp, ref, 6)
+        assert list(got) == [r[k] for k in range(3) for r in expected]
+
+
+def test_scoring_shuffles_nothing(pairs, plan):
+    assert "Exchange" not in plan(metrics.score_pairs(pairs, {"b": "bleu", "d": "chrf++"}))
+
+
+def test_exploded_form_has_one_exchange(pairs, plan):
+    assert plan(ngrams.exploded_statistics(pairs, ["id"], "char", 6)).count("Exchange") == 1
+
+
+def test_corpus_scores(pairs):
+    rows = pairs.collect()
+    keyed = pairs.withColumn("k", F.col("id") % 2)
+    got = {
+        r.k: r for r in metrics.corpus_scores(keyed, ["k"], {"b": "bleu", "c": "chrf", "d": "chrf++"}).collect()
+    }
+    for k in (0, 1):
+        mine = [r for r in rows if r.id % 2 == k]
+
+        def total(part, orders):
+            each = [brute.stats(part(r.hyp), part(r.ref), orders) for r in mine]
+            return [tuple(sum(e[n][j] for e in each) for j in range(3)) for n in range(orders)]
+
+        chars = total(lambda t: "".join(t.split()), 6)
+        assert got[k].b == pytest.approx(brute.bleu_of(total(brute.tokens_13a, 4), False), abs=1e-9)
+        assert got[k].c == pytest.approx(brute.chrf_of(chars), abs=1e-9)
+        assert got[k].d == pytest.approx(brute.chrf_of(chars + total(brute.peeled, 2)), abs=1e-9)
+
+
+def test_corpus_bleu_without_long_ngrams_is_zero(spark):
+    df = spark.createDataFrame([("a b", "a b")], "hyp string, ref string")
+    got = metrics.corpus_scores(df, [], {"b": "bleu", "c": "chrf"}).first()
+    assert got.b == 0.0 and got.c == 100.0
+
+
+def test_null_text_counts_as_empty(spark):
+    df = spark.createDataFrame([(None, "a b c d e")], "hyp string, ref string")
+    assert metrics.score_pairs(df, {"b": "bleu", "d": "chrf++"}).first()[2:] == (0.0, 0.0)
+
+
+def test_unknown_metric(pairs):
+    with pytest.raises(ValueError, match="Unknown metric: ter"):
+        metrics.sentence_metric(pairs, "ter")
+
+
+def test_metric_by_name(spark):
+    df = spark.createDataFrame([(GOLDEN[0][0], REF)], "hyp string, ref string")
+    names = [("bleu", 2), ("chrf", 0), ("chrf", 2)]
+    got = [metrics.sentence_metric(df, m, w).first().score for m, w in names]
+    assert [round(x, 6) for x in got] == list(GOLDEN[0][1:])
+
+
+def test_report_names_and_rubric(spark):
+    frames = spark.createDataFrame(
+        [("de", d, g, p) for d in ("forward", "backward") for g, p in ((REF, GOLDEN[0][0]), (REF, GOLDEN[2][0]))],
+        "lang string, direction string, target_gold string, target_pred string",
+    )
+    report = {(r.direction, r.metric) for r in metrics.eval_report(frames, ["lang"]).collect()}
+    assert report == {("forward", "bleu"), ("forward", "chrf++"), ("backward", "bleu"), ("backward", "chrf")}
+    rolled = spark.createDataFrame(
+        [("e", 1, 10.0, 1.0), ("e", 1, 30.0, 3.0), ("e", 2, 50.0, 5.0)], "env string, ex int, a double, b double"
+    )
+    examples, envs = metrics.rubric(rolled, [(F.col("a"), 1.0), (F.col("b"), 2.0)], ["env"], ["ex"])
+    assert {r.ex: (r.reward, r.n_rollouts) for r in examples.collect()} == {1: (24.0, 2), 2: (60.0, 1)}
+    assert envs.first().reward == 42.0
