@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import string
+from itertools import chain
+
 import numpy as np
+import pandas as pd
 
 # Symbols handled at a time; bounds a task's memory whatever the length of the texts.
 CHUNK_SYMBOLS = 1 << 17
 
+PUNCTUATION = frozenset(string.punctuation)
+
 
 def clipped_matches(codes: np.ndarray, lengths: np.ndarray, max_order: int) -> np.ndarray:
     """Matches per pair and order.
@@ -19,35 +25,32 @@ def clipped_matches(codes: np.ndarray, lengths: np.ndarray, max_order: int) -> n
     out = np.zeros((n_pairs, max_order), dtype=np.int64)
     if len(codes) == 0:
         return out
-    alphabet = np.int64(codes.max()) + 1
+    alphabet = int(codes.max()) + 1
     sequence = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    pair, side = sequence >> 1, sequence & 1
+    side = sequence & 1
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # symbols to the end
-    gram, span = pair * alphabet + codes, n_pairs * int(alphabet)
-    start = np.arange(len(codes))
+    # The gram starting at each position, as a number ordered by pair first. Grams that would
+    # reach into the next sequence are numbered too but left out of the counting.
+    gram, span = (sequence >> 1) * alphabet + codes, n_pairs * alphabet
     for order in range(1, max_order + 1):
         if order > 1:
-            keep = left[start] >= order
-            start, gram = start[keep], gram[keep]
-            if len(start) == 0:
-                break
-            if span * int(alphabet) >= 1 << 62:  # renumber before the ids overflow
-                # (ids stay ordered by pair, which the lookup below relies on)
+            if span * alphabet >= 1 << 62:  # renumber, in the same order, before an overflow
                 gram = np.unique(gram, return_inverse=True)[1].astype(np.int64)
-                span = len(start)
-            gram = gram * alphabet + codes[start + order - 1]
-            span *= int(alphabet)
-        sorted_ids = np.sort(gram << 1 | side[start])
+                span = len(gram)
+            gram = gram[:-1] * alphabet + codes[order - 1 :]
+            span *= alphabet
+        whole = left[: len(gram)] >= order
+        sorted_ids = np.sort((gram << 1 | side[: len(gram)])[whole])
+        if len(sorted_ids) == 0:
+            break
         ids = sorted_ids >> 1
-        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        total = np.diff(np.append(first, len(ids)))
-        refs = np.add.reduceat(sorted_ids & 1, first)
-        # Grams are ordered by pair, so a run belongs to the pair its rank falls into.
-        grams_per_pair = np.bincount(pair[start], minlength=n_pairs)
-        run_pair = np.searchsorted(np.cumsum(grams_per_pair), first, side="right")
-        out[:, order - 1] = np.bincount(
-            run_pair, weights=np.minimum(refs, total - refs), minlength=n_pairs
-        ).astype(np.int64)
+        runs = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+        refs = np.diff(np.concatenate(([0], np.cumsum(sorted_ids & 1)))[runs])
+        clipped = np.concatenate(([0], np.cumsum(np.minimum(refs, np.diff(runs) - refs))))
+        # Grams are ordered by pair, so each pair is a stretch of whole runs.
+        per_sequence = np.maximum(lengths - (order - 1), 0)
+        ends = np.cumsum(per_sequence[0::2] + per_sequence[1::2])
+        out[:, order - 1] = np.diff(clipped[np.searchsorted(runs, ends)], prepend=0)
     return out
 
 
@@ -65,17 +68,12 @@ def char_sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_sequences(token_lists: list) -> tuple[np.ndarray, np.ndarray]:
-    ids: dict[str, int] = {}
     lengths = np.fromiter(map(len, token_lists), dtype=np.int64, count=len(token_lists))
-    codes = np.fromiter(
-        (ids.setdefault(t, len(ids)) for tokens in token_lists for t in tokens),
-        dtype=np.int64,
-        count=int(lengths.sum()),
-    )
-    return codes, lengths
+    tokens = np.array([*chain.from_iterable(token_lists)], dtype=object)
+    return pd.factorize(tokens)[0], lengths
 
 
-def pair_statistics(hyps, refs, max_order: int, sequences) -> list[np.ndarray]:
+def pair_statistics(hyps: list, refs: list, max_order: int, sequences) -> list[np.ndarray]:
     """Per pair: hyp n-grams, ref n-grams and matches, each for orders 1..max_order."""
     rows: list[np.ndarray] = []
     chunk: list = []
@@ -96,3 +94,16 @@ def pair_statistics(hyps, refs, max_order: int, sequences) -> list[np.ndarray]:
     if chunk:
         flush()
     return rows
+
+
+def peel(words: list[str]) -> list[str]:
+    """One trailing ASCII punctuation mark split off each word, else one leading."""
+    out: list[str] = []
+    for word in words:
+        if word[-1] in PUNCTUATION and len(word) > 1:
+            out += word[:-1], word[-1]
+        elif word[0] in PUNCTUATION and len(word) > 1:
+            out += word[0], word[1:]
+        else:
+            out.append(word)
+    return out

@@ -1,11 +1,13 @@
 """n-gram match statistics of (hypothesis, reference) pairs.
 
+Three kinds: "words" (13a tokens, orders 1-4, for BLEU), "chars" (white space removed, orders 1-6,
+for chrF) and "peeled" (words with a punctuation mark split off, orders 1-2, for chrF++).
 Statistics are an ``ARRAY<BIGINT>``: hyp n-grams for orders 1..N, then ref n-grams, then clipped
 matches. Two ways lead there:
 
-* :func:`char_statistics` / :func:`word_statistics`: a column expression computed where the row
-  lies. Nothing is shuffled and no row is multiplied, so a repeated or very long text costs only
-  its own length. This is what the scorers use.
+* :func:`pair_statistics`: a column expression computed where the row lies. Nothing is shuffled
+  and no row is multiplied, so a repeated or very long text costs only its own length. This is
+  what the scorers use.
 * :func:`exploded_statistics`: the relational form (explode, group by gram, group by pair) with
   one exchange; the checked form, and the one that needs no Python worker.
 """
@@ -19,49 +21,43 @@ from pyspark.sql import functions as F
 from echotrip.functions import kernel, text
 from echotrip.session import spread
 
-CHAR_ORDERS = 6
-WORD_ORDERS = 4
-PEELED_ORDERS = 2
+ORDERS = {"words": 4, "chars": 6, "peeled": 2}
 
 
-def _statistics(sequences, max_order: int):
-    @F.pandas_udf("array<bigint>")
-    def statistics(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series(kernel.pair_statistics(hyp, ref, max_order, sequences))
+def _count(kind: str, hyp: list, ref: list):
+    orders = ORDERS[kind]
+    if kind == "chars":
+        joined = [["".join(w) for w in side] for side in (hyp, ref)]
+        return kernel.pair_statistics(*joined, orders, kernel.char_sequences)
+    if kind == "peeled":
+        hyp, ref = ([kernel.peel(w) for w in side] for side in (hyp, ref))
+    return kernel.pair_statistics(hyp, ref, orders, kernel.token_sequences)
 
-    return statistics
 
+def pair_statistics(hyp: Column, ref: Column, kinds: list[str]) -> Column:
+    """Struct with one statistics array per kind. NULL texts count as empty.
 
-def char_statistics(hyp: Column, ref: Column, orders: int = CHAR_ORDERS) -> Column:
-    """Character n-gram statistics, white space removed. NULL texts count as empty."""
-    empty = F.lit("")
-    return _statistics(kernel.char_sequences, orders)(
-        text.squeeze(F.coalesce(hyp, empty)), text.squeeze(F.coalesce(ref, empty))
-    )
-
-
-def word_statistics(hyp_tokens: Column, ref_tokens: Column, orders: int = WORD_ORDERS) -> Column:
-    """Token n-gram statistics of two token arrays."""
-    none = F.array().cast("array<string>")
-    return _statistics(kernel.token_sequences, orders)(
-        F.coalesce(hyp_tokens, none), F.coalesce(ref_tokens, none)
+    Texts are marked by column expressions and cross to Python once, as Arrow batches, for all
+    kinds together; there they are split at white space and counted batch-wise.
+    """
+    texts = [F.coalesce(t, F.lit("")) for t in (hyp, ref)]
+    plain = any(kind != "words" for kind in kinds)
+    inputs = (texts if plain else []) + (
+        [text.mark_13a(t) for t in texts] if "words" in kinds else []
     )
+    fields = ", ".join(f"{kind}: array<bigint>" for kind in kinds)
 
+    @F.pandas_udf(f"struct<{fields}>")
+    def statistics(*columns: pd.Series) -> pd.DataFrame:
+        split = [[t.split() for t in column] for column in columns]
+        return pd.DataFrame(
+            {k: _count(k, *(split[-2:] if k == "words" else split[:2])) for k in kinds}
+        )
 
-def bleu_statistics(hyp: Column, ref: Column) -> Column:
-    return word_statistics(text.tokenize_13a(hyp), text.tokenize_13a(ref), WORD_ORDERS)
-
-
-def peeled_statistics(hyp: Column, ref: Column, orders: int = PEELED_ORDERS) -> Column:
-    return word_statistics(text.peel_punctuation(hyp), text.peel_punctuation(ref), orders)
-
-
-def part(stats: Column, which: int, order: int, orders: int) -> Column:
-    """One number out of a statistics array: which = 0 hyp, 1 ref, 2 matches."""
-    return F.get(stats, F.lit(which * orders + order - 1))
+    return statistics(*inputs)
 
 
-def _grams(symbols: Column, orders: int, sep: str) -> Column:
+def _windows(symbols: Column, orders: int) -> Column:
     """Windows of up to ``orders`` symbols starting at each position, as arrays."""
     return F.transform(
         F.sequence(F.lit(1), F.size(symbols)), lambda i: F.slice(symbols, i, F.lit(orders))
@@ -69,14 +65,14 @@ def _grams(symbols: Column, orders: int, sep: str) -> Column:
 
 
 def exploded_statistics(
-    pairs: DataFrame, keys: list[str], kind: str, orders: int, hyp: str = "hyp", ref: str = "ref"
+    pairs: DataFrame, keys: list[str], kind: str, hyp: str = "hyp", ref: str = "ref"
 ) -> DataFrame:
     """Long form ``(*keys, n, hyp_ngrams, ref_ngrams, matches)``, one row per key and order.
 
-    ``kind`` is "char", "13a" or "peeled"; ``keys`` must identify a pair. The short pair rows are
-    exchanged once on ``keys``; both groupings then stay inside the partition. Orders without any
-    n-gram on either side give zeros.
+    ``keys`` must identify a pair. The short pair rows are exchanged once on ``keys``; both
+    groupings then stay inside the partition. Orders without any n-gram on either side give zeros.
     """
+    orders = ORDERS[kind]
     sides = spread(pairs.select(*keys, hyp, ref), *keys).select(
         *keys,
         F.explode(
@@ -86,7 +82,7 @@ def exploded_statistics(
             )
         ).alias("s"),
     )
-    if kind == "char":
+    if kind == "chars":
         squeezed = sides.select(*keys, "s.is_hyp", text.squeeze(F.col("s.t")).alias("t"))
         # Long texts: substring walks from the start each time, so cut by symbol array instead.
         windows = F.when(
@@ -97,19 +93,19 @@ def exploded_statistics(
             ),
         ).otherwise(
             F.transform(
-                _grams(F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)), orders, ""),
+                _windows(F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)), orders),
                 lambda w: F.array_join(w, ""),
             )
         )
         starts = squeezed.select(*keys, "is_hyp", F.explode(windows).alias("w"))
         size, gram = F.length("w"), lambda n: F.left("w", F.lit(n))
     else:
-        tokens = text.tokenize_13a if kind == "13a" else text.peel_punctuation
+        tokens = text.tokenize_13a if kind == "words" else text.peel_punctuation
         starts = sides.select(*keys, "s.is_hyp", tokens(F.col("s.t")).alias("tokens")).select(
             *keys,
             "is_hyp",
             F.explode(
-                F.when(F.size("tokens") > 0, _grams(F.col("tokens"), orders, " ")).otherwise(
+                F.when(F.size("tokens") > 0, _windows(F.col("tokens"), orders)).otherwise(
                     F.array(F.array().cast("array<string>"))
                 )
             ).alias("w"),
@@ -145,11 +141,11 @@ def exploded_statistics(
     )
 
 
-def gather_statistics(long: DataFrame, keys: list[str], orders: int, name: str) -> DataFrame:
+def gather_statistics(long: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Long form back to one statistics array per key (same partitioning, no exchange)."""
     cells = [
         F.sum(F.when(F.col("n") == n, F.col(c)).otherwise(0))
         for c in ("hyp_ngrams", "ref_ngrams", "matches")
-        for n in range(1, orders + 1)
+        for n in range(1, ORDERS[kind] + 1)
     ]
-    return long.groupBy(*keys).agg(F.array(*cells).alias(name))
+    return long.groupBy(*keys).agg(F.array(*cells).alias(kind))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from echotrip.functions.ngrams import CHAR_ORDERS, PEELED_ORDERS, WORD_ORDERS
+from echotrip.functions.ngrams import ORDERS
 
 
 def _orders(stats: Column, orders: int) -> Column:
@@ -28,12 +28,13 @@ def brevity_penalty(hyp_len: Column, ref_len: Column) -> Column:
     )
 
 
-def bleu_score(stats: Column, effective_order: bool, orders: int = WORD_ORDERS) -> Column:
+def bleu_score(stats: Column, effective_order: bool) -> Column:
     """BLEU with exponential smoothing of orders without a match.
 
     ``effective_order``: average only over the orders the hypothesis is long enough for (sentence
     scores); otherwise such an order makes the score 0 (corpus scores).
     """
+    orders = ORDERS["words"]
     reached = F.filter(_orders(stats, orders), lambda c: c["h"] > 0)
 
     def add_order(walk: Column, c: Column) -> Column:
@@ -64,16 +65,12 @@ def bleu_score(stats: Column, effective_order: bool, orders: int = WORD_ORDERS)
 
 
 def chrf_score(
-    char_stats: Column,
-    word_stats: Column | None = None,
-    char_orders: int = CHAR_ORDERS,
-    word_orders: int = PEELED_ORDERS,
-    beta: float = 2.0,
+    char_stats: Column, peeled_stats: Column | None = None, beta: float = 2.0
 ) -> Column:
-    """chrF, or chrF++ when word statistics are given."""
-    cells = _orders(char_stats, char_orders)
-    if word_stats is not None:
-        cells = F.concat(cells, _orders(word_stats, word_orders))
+    """chrF, or chrF++ when the statistics of peeled words are given."""
+    cells = _orders(char_stats, ORDERS["chars"])
+    if peeled_stats is not None:
+        cells = F.concat(cells, _orders(peeled_stats, ORDERS["peeled"]))
     used = F.filter(cells, lambda c: (c["h"] > 0) & (c["r"] > 0))
     sums = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 

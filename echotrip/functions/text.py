@@ -69,8 +69,8 @@ def split_sentences(text: Column, abbreviations: Sequence[str] = ()) -> Column:
     return F.transform(parts, strip)
 
 
-def tokenize_13a(text: Column) -> Column:
-    """mteval-v13a tokens as an array (the tokenisation BLEU is defined on)."""
+def mark_13a(text: Column) -> Column:
+    """Text with white space around every mteval-v13a token (the tokenisation of BLEU)."""
     t = F.rtrim(text, F.lit(WHITESPACE_CHARS))
     t = F.replace(t, F.lit("<skipped>"), F.lit(""))
     t = F.replace(t, F.lit("-\n"), F.lit(""))
@@ -88,7 +88,12 @@ def tokenize_13a(text: Column) -> Column:
         (r"([0-9])(-)", "$1 $2 "),
     ):
         t = F.regexp_replace(t, pattern, repl)
-    return words(t)
+    return t
+
+
+def tokenize_13a(text: Column) -> Column:
+    """mteval-v13a tokens as an array."""
+    return words(mark_13a(text))
 
 
 def peel_punctuation(text: Column) -> Column:

@@ -8,30 +8,22 @@ from pyspark.sql import functions as F
 from echotrip.functions import ngrams, scores
 
 
-# Metric name -> statistics it is computed from.
-STATISTICS = {
-    "bleu": ("_words",),
-    "chrf": ("_chars",),
-    "chrf++": ("_chars", "_peeled"),
-}
-_BUILDERS = {
-    "_words": (ngrams.bleu_statistics, "13a", ngrams.WORD_ORDERS),
-    "_chars": (ngrams.char_statistics, "char", ngrams.CHAR_ORDERS),
-    "_peeled": (ngrams.peeled_statistics, "peeled", ngrams.PEELED_ORDERS),
-}
+# Metric name -> kinds of n-grams it is computed from.
+METRICS = {"bleu": ["words"], "chrf": ["chars"], "chrf++": ["chars", "peeled"]}
 
 
-def _score(metric: str, effective_order: bool) -> Column:
-    if metric == "bleu":
-        return scores.bleu_score(F.col("_words"), effective_order)
-    return scores.chrf_score(F.col("_chars"), F.col("_peeled") if metric == "chrf++" else None)
-
-
-def _needed(metrics: list[str]) -> list[str]:
+def _kinds(metrics: list[str]) -> list[str]:
     for metric in metrics:
-        if metric not in STATISTICS:
+        if metric not in METRICS:
             raise ValueError(f"Unknown metric: {metric}")
-    return [s for s in _BUILDERS if any(s in STATISTICS[m] for m in metrics)]
+    return [k for k in ngrams.ORDERS if any(k in METRICS[m] for m in metrics)]
+
+
+def _score(metric: str, effective_order: bool) -> Column:
+    if metric == "bleu":
+        return scores.bleu_score(F.col("_stats.words"), effective_order)
+    peeled = F.col("_stats.peeled") if metric == "chrf++" else None
+    return scores.chrf_score(F.col("_stats.chars"), peeled)
 
 
 def score_pairs(
@@ -41,9 +33,9 @@ def score_pairs(
 
     Statistics shared by several metrics are computed once, where the row lies: no exchange.
     """
-    needed = _needed(list(metrics.values()))
-    counted = pairs.select(
-        "*", *[_BUILDERS[s][0](F.col(hyp), F.col(ref)).alias(s) for s in needed]
+    kinds = _kinds(list(metrics.values()))
+    counted = pairs.withColumn(
+        "_stats", ngrams.pair_statistics(F.col(hyp), F.col(ref), kinds)
     )
     return counted.select(
         *pairs.columns, *[_score(m, effective_order=True).alias(c) for c, m in metrics.items()]
@@ -67,22 +59,27 @@ def score_pairs_exploded(
 
     ``keys`` must identify a pair. Every statistic is grouped on the one exchange by ``keys``.
     """
-    needed = _needed(list(metrics.values()))
+    kinds = _kinds(list(metrics.values()))
     counted = None
-    for s in needed:
-        _, kind, orders = _BUILDERS[s]
-        long = ngrams.exploded_statistics(pairs, keys, kind, orders, hyp, ref)
-        wide = ngrams.gather_statistics(long, keys, orders, s)
+    for kind in kinds:
+        long = ngrams.exploded_statistics(pairs, keys, kind, hyp, ref)
+        wide = ngrams.gather_statistics(long, keys, kind)
         counted = wide if counted is None else counted.join(wide, keys)
-    return counted.select(
+    return counted.withColumn("_stats", F.struct(*kinds)).select(
         *keys, *[_score(m, effective_order=True).alias(c) for c, m in metrics.items()]
     )
 
 
-def _summed(stats: str) -> Column:
-    """Element-wise sum of statistics arrays (fixed-size aggregate, combined map-side)."""
-    width = 3 * _BUILDERS[stats][2]
-    return F.array(*[F.sum(F.get(F.col(stats), F.lit(i))) for i in range(width)]).alias(stats)
+def _summed(kinds: list[str]) -> Column:
+    """Element-wise sums of the statistics (fixed-size aggregates, combined map-side)."""
+    return F.struct(
+        *[
+            F.array(
+                *[F.sum(F.get(f"_stats.{k}", F.lit(i))) for i in range(3 * ngrams.ORDERS[k])]
+            ).alias(k)
+            for k in kinds
+        ]
+    ).alias("_stats")
 
 
 def corpus_scores(
@@ -92,12 +89,11 @@ def corpus_scores(
 
     The only exchange carries one row of sums per task and group, whatever the group's size.
     """
-    needed = _needed(list(metrics.values()))
+    kinds = _kinds(list(metrics.values()))
     counted = pairs.select(
-        *by, *[_BUILDERS[s][0](F.col(hyp), F.col(ref)).alias(s) for s in needed]
+        *by, ngrams.pair_statistics(F.col(hyp), F.col(ref), kinds).alias("_stats")
     )
-    summed = counted.groupBy(*by).agg(*[_summed(s) for s in needed])
-    return summed.select(
+    return counted.groupBy(*by).agg(_summed(kinds)).select(
         *by, *[_score(m, effective_order=False).alias(c) for c, m in metrics.items()]
     )
 
@@ -110,16 +106,13 @@ def eval_report(frames: DataFrame, by: list[str]) -> DataFrame:
     plain chrF backward, and is named so. All groups are scored in one job.
     """
     forward = F.col("direction") == "forward"
-    hyp, ref = F.col("target_pred"), F.col("target_gold")
+    kinds = list(ngrams.ORDERS)
     counted = frames.select(
         *by,
         "direction",
-        ngrams.bleu_statistics(hyp, ref).alias("_words"),
-        ngrams.char_statistics(hyp, ref).alias("_chars"),
-        # Backward rows need no word part: hand over nothing to count.
-        ngrams.peeled_statistics(F.when(forward, hyp), F.when(forward, ref)).alias("_peeled"),
+        ngrams.pair_statistics(F.col("target_pred"), F.col("target_gold"), kinds).alias("_stats"),
     )
-    summed = counted.groupBy(*by, "direction").agg(*[_summed(s) for s in _BUILDERS])
+    summed = counted.groupBy(*by, "direction").agg(_summed(kinds))
     rows = F.array(
         F.struct(F.lit("bleu").alias("metric"), _score("bleu", False).alias("score")),
         F.when(

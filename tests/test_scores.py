@@ -91,7 +91,7 @@ def test_scoring_shuffles_nothing(pairs, plan):
 
 
 def test_exploded_form_has_one_exchange(pairs, plan):
-    assert plan(ngrams.exploded_statistics(pairs, ["id"], "char", 6)).count("Exchange") == 1
+    assert plan(ngrams.exploded_statistics(pairs, ["id"], "chars")).count("Exchange") == 1
 
 
 def test_corpus_scores(pairs):

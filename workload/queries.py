@@ -277,12 +277,12 @@ def tok13a(spark, sf):
 
 @query
 def word_ngram_stats(spark, sf):
-    return ngrams.exploded_statistics(_first_candidates(spark, sf), SENT, "13a", 4)
+    return ngrams.exploded_statistics(_first_candidates(spark, sf), SENT, "words")
 
 
 @query
 def char_ngram_stats(spark, sf):
-    return ngrams.exploded_statistics(_first_candidates(spark, sf), SENT, "char", 6)
+    return ngrams.exploded_statistics(_first_candidates(spark, sf), SENT, "chars")
 
 
 def _scored(spark, sf, metric: str) -> DataFrame:
