@@ -89,6 +89,7 @@ def rollout(
     n_forward: int = 4,
     n_backward: int = 1,
     greedy_backward: bool = False,
+    greedy_tokens: int = 2 * MAX_NEW_TOKENS,
     seed: int = 0,
     style: str = "plain",
     model: str | None = None,
@@ -97,7 +98,7 @@ def rollout(
     """``(sent_id, lang, sentence, fwd_idx, fwd_text, bwd_idx, bwd_text)`` for each sentence.
 
     ``n_forward`` sampled translations per sentence; each is translated back ``n_backward`` times,
-    or once greedily with twice the length limit. Both levels are written to the shared folder:
+    or once greedily with a length limit of its own. Both levels are written to the shared folder:
     candidates must not be drawn anew when an executor is lost or a second job reads them.
     Sentences are spread by ``sent_id`` first, since model time dwarfs their size.
     """
@@ -119,7 +120,7 @@ def rollout(
     )
     keys = ["sent_id", "fwd_idx"]
     if greedy_backward:
-        back = greedy(back, factory, "bwd_prompt", "bwd_text", keys, 2 * MAX_NEW_TOKENS, stop=stop)
+        back = greedy(back, factory, "bwd_prompt", "bwd_text", keys, greedy_tokens, stop=stop)
         back = back.withColumn("bwd_idx", F.lit(0))
     else:
         back = sample(

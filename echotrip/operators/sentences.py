@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrip.functions import text
+from echotrip.operators.head import prefix_bound
 
 # Words a sentence needs, and the word bound standing in for 128 tokens.
 MIN_WORDS = 5
@@ -59,35 +60,6 @@ def extract_sentences(
     )
 
 
-def _prefix_bound(ids: DataFrame, wanted: int, buckets: int = 1000) -> int:
-    """An id such that at least ``wanted`` ids are not above it, close to the smallest such id.
-
-    Reads only the id column. Counts per equal-width bucket come back (at most ``buckets`` rows),
-    and the bucket the bound falls into is cut again while it holds far more than wanted.
-    """
-    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
-    before = 0
-    while True:
-        width = (high - low) // buckets + 1
-        counts = (
-            ids.where(F.col("doc_id").between(low, high))
-            .groupBy(F.floor((F.col("doc_id") - low) / width).alias("b"))
-            .count()
-            .orderBy("b")
-            .collect()
-        )
-        for bucket, count in counts:
-            last = min(low + (bucket + 1) * width - 1, high)
-            if before + count >= wanted:
-                break
-            before += count
-        else:
-            return high
-        if count <= 4 * wanted or width == 1:
-            return last
-        low, high = low + bucket * width, last
-
-
 def first_sentences(corpus: DataFrame, n: int, **extract) -> DataFrame:
     """First ``n`` sentences in stream order (doc_id, pos), exactly.
 
@@ -99,7 +71,7 @@ def first_sentences(corpus: DataFrame, n: int, **extract) -> DataFrame:
     top = ids.agg(F.max("doc_id")).first()[0]
     wanted = n
     while top is not None:
-        bound = _prefix_bound(ids, wanted)
+        bound = prefix_bound(ids, "doc_id", wanted)
         head = corpus.where(F.col("doc_id") <= bound)
         if bound >= top or extract_sentences(head, **extract).count() >= n:
             corpus = head

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from echotrip.operators import numbering, regression
+from echotrip.operators.candidates import MAX_NEW_TOKENS, Factory, rollout
 from echotrip.operators.metrics import score_pairs
 from echotrip.operators.rewards import group_zscores
 from echotrip.session import stage
@@ -12,6 +13,19 @@ from echotrip.session import stage
 SCORES = ["bleu", "roundtrip_bleu", "chrf", "roundtrip_chrf"]
 
 
+def sample_candidates(pairs: DataFrame, factory: Factory, n: int, **how) -> DataFrame:
+    """``n`` sampled translations of each pair's English side with one greedy back-translation,
+    joined to the pair's gold target. ``pairs``: sent_id, lang, lang_name, text_eng, text_tgt."""
+    asked = pairs.select("sent_id", "lang", "lang_name", pairs["text_eng"].alias("sentence"))
+    rolled = rollout(
+        asked, factory, n, greedy_backward=True, greedy_tokens=MAX_NEW_TOKENS, **how
+    )
+    gold = pairs.select("sent_id", pairs["text_tgt"].alias("gold"))
+    return rolled.withColumnRenamed("sentence", "source").join(gold, "sent_id")
+
+
+
+
 def candidate_scores(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, fwd_idx, scores)``: each candidate against the gold target, its greedy
     back-translation against the source. Needs gold, source, fwd_text and bwd_text."""

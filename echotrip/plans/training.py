@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from echotrip.operators import candidates, rewards
+from echotrip.operators.sentences import first_sentences
 from echotrip.session import stage
+from echotrip.sources.languages import require_languages, with_language_name
+
+# Fixed value: sentences a run trains on.
+NUM_SENTENCES = 20_000
+
+
+def prepare(
+    corpus: DataFrame, languages: DataFrame, lang: str, n: int = NUM_SENTENCES, **extract
+) -> DataFrame:
+    """First ``n`` sentences of the corpus with the target language's code and name."""
+    rows = first_sentences(corpus, n, **extract).withColumn("lang", F.lit(lang))
+    require_languages(languages.sparkSession.createDataFrame([(lang,)], "code STRING"), languages)
+    return with_language_name(rows, languages)
 
 
 def reward_tables(rollouts: DataFrame, metric: str = "both") -> dict[str, DataFrame]:

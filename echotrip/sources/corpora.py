@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrip.functions.text import replace_nbsp
+from echotrip.operators.head import first_rows
 
 CORPUS_SCHEMA = "doc_id BIGINT, text STRING"
 PARALLEL_SCHEMA = "id BIGINT, text STRING"
@@ -80,12 +81,12 @@ def bitext_pairs(table: DataFrame, lang: str, source: str = "eng_Latn", *keep: s
 
 def bitext_train(table: DataFrame, order: list[str], n: int, source: str = "eng_Latn") -> DataFrame:
     """First ``n`` English sentences of a bitext, in the given order."""
-    return table.orderBy(*order).limit(n).select(*order, F.col(f"sentence_{source}").alias("eng"))
+    return first_rows(table, order, n).select(*order, F.col(f"sentence_{source}").alias("eng"))
 
 
 def first_pairs(pairs: DataFrame, order: list[str], n: int | None) -> DataFrame:
     """First ``n`` pairs in the given order; ``None`` keeps all."""
-    return pairs if n is None else pairs.orderBy(*order).limit(n)
+    return pairs if n is None else first_rows(pairs, order, n)
 
 
 def pair_columns(pairs: DataFrame, *keep: str) -> DataFrame:

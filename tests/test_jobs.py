@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from echotrip.operators import candidates, numbering, prompts, reports, transcripts
+from echotrip.operators.head import first_rows
 from echotrip.operators.sentences import extract_sentences
-from echotrip.plans import correlation, evaluation, training
+from echotrip.plans import correlation, evaluation, hosted, training
 from echotrip.session import shared_folder
 from echotrip.streaming import jobs
 
@@ -202,6 +203,38 @@ def test_correlation_plan(spark):
     assert results["bleu_mixed"].first().n_groups == 11 and results["bleu_line"].count() == 200
 
 
+def test_sampled_candidates_carry_gold_and_source(spark, asked):
+    pairs = asked.select("sent_id", "lang", "lang_name", F.col("sentence").alias("text_eng"), F.upper("sentence").alias("text_tgt"))
+    rows = correlation.sample_candidates(pairs, translator(), 2).collect()
+    assert len(rows) == 40 and all(r.gold == r.source.upper() and r.bwd_text == r.fwd_text for r in rows)
+
+
+def test_hosted_rows_and_rewards(spark):
+    dim = spark.createDataFrame([("deu_Latn", "German")], "code string, name string")
+    corpus = spark.createDataFrame([(i, f"This is sentence number {i} of it.") for i in range(9)], "doc_id long, text string")
+    rows = hosted.monolingual_rows(corpus, dim, "deu_Latn", 4).collect()
+    assert [r.sent_id for r in rows] == ["0:0", "1:0", "2:0", "3:0"]
+    with pytest.raises(ValueError, match="Unknown target language"):
+        hosted.monolingual_rows(corpus, dim, "xx", 4)
+    pairs = spark.createDataFrame([("deu_Latn", 1, "eins", "one")], "lang string, id long, text_tgt string, text_eng string")
+    for direction, asked, answer in (("forward", "English: one", "eins"), ("backward", "German: eins", "one")):
+        row = hosted.parallel_rows(pairs, dim, direction).first()
+        assert row.prompt[0].content.endswith(asked) and row.answer == answer
+    chats = spark.createDataFrame([(1, 0, "assistant", "<think>x</think>abc def"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    answers = spark.createDataFrame([(1, "abc def"), (2, "x")], "conv_id long, expected string")
+    got = hosted.score_transcripts(chats, answers, "chrf", scale=0.01).collect()
+    assert [(r.conv_id, r.reward) for r in got] == [(1, 1.0)]
+
+
+def test_first_rows(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), (F.col("id") % 3).alias("j"))
+    for order in (["k"], ["j", "k"]):
+        assert first_rows(df, order, 37).collect() == df.orderBy(*order).limit(37).collect()
+    named = df.withColumn("k", F.col("k").cast("string"))
+    assert first_rows(named, ["k"], 3).count() == 3
+    assert first_rows(df.where("false"), ["k"], 3).count() == 0
+
+
 def test_streamed_sentences_equal_batch(spark, tmp_path):
     corpus = str(tmp_path / "corpus")
     docs = spark.range(40).select(

@@ -400,6 +400,12 @@ scores AS ({select_scores('rolled', _RUBRIC_KEYS, {'bleu': 'bleu', 'chrf': 'chrf
 examples AS (SELECT lang, direction, id, avg(chrf + 0.5 * bleu) AS reward FROM scores GROUP BY ALL)
 SELECT lang, direction, count(*) AS n_examples, round(avg(reward), 6) AS reward FROM examples GROUP BY ALL"""
 
+ORACLE["transcript_rewards"] = f"""WITH {TRANSCRIPTS},
+firsts AS (SELECT conv_id, arg_min(text, turn) AS expected FROM transcripts GROUP BY conv_id),
+replies AS (SELECT conv_id, answer AS hyp, expected AS ref FROM finals JOIN firsts USING (conv_id)
+  WHERE answer IS NOT NULL), {all_scores('replies', 'conv_id', long=True)}
+{select_scores('replies', 'conv_id', {'reward': 'chrf'})}"""
+
 # --- rewards ---
 
 _ROLLOUT_KEYS = "sent_id, fwd_idx, bwd_idx"

@@ -20,7 +20,7 @@ from echotrip.operators import (
     transcripts,
 )
 from echotrip.operators.sentences import extract_sentences, first_sentences
-from echotrip.plans import correlation
+from echotrip.plans import correlation, hosted
 from echotrip.session import spread, stage
 from echotrip.sources import corpora
 from echotrip.sources import languages as langs
@@ -194,6 +194,15 @@ def next_turn(spark, sf):
     )
 
 
+@query
+def transcript_rewards(spark, sf):
+    """Last reply of each conversation against its first message, chrF."""
+    chats = tables.transcripts(spark, sf)
+    expected = chats.groupBy("conv_id").agg(F.min_by("text", "turn").alias("expected"))
+    scored = hosted.score_transcripts(chats, expected)
+    return scored.select("conv_id", *rounded("reward"))
+
+
 # --- candidates ------------------------------------------------------------------------------
 
 
