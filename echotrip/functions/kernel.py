@@ -8,8 +8,8 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 
-# Symbols handled at a time; bounds a task's memory whatever the length of the texts.
-CHUNK_SYMBOLS = 1 << 17
+# Characters handled at a time (or one row): bounds a task's memory whatever the batch holds.
+CHUNK_CHARS = 1 << 18
 
 PUNCTUATION = frozenset(string.punctuation)
 
@@ -73,29 +73,6 @@ def token_sequences(token_lists: list) -> tuple[np.ndarray, np.ndarray]:
     return pd.factorize(tokens)[0], lengths
 
 
-def pair_statistics(hyps: list, refs: list, max_order: int, sequences) -> list[np.ndarray]:
-    """Per pair: hyp n-grams, ref n-grams and matches, each for orders 1..max_order."""
-    rows: list[np.ndarray] = []
-    chunk: list = []
-    size = 0
-
-    def flush() -> None:
-        codes, lengths = sequences(chunk)
-        matches = clipped_matches(codes, lengths, max_order)
-        totals = np.maximum(lengths[:, None] - np.arange(max_order), 0).reshape(-1, 2 * max_order)
-        rows.extend(np.hstack([totals, matches]))
-
-    for hyp, ref in zip(hyps, refs):
-        if chunk and size + len(hyp) + len(ref) > CHUNK_SYMBOLS:
-            flush()
-            chunk, size = [], 0
-        chunk += [hyp, ref]
-        size += len(hyp) + len(ref)
-    if chunk:
-        flush()
-    return rows
-
-
 def peel(words: list[str]) -> list[str]:
     """One trailing ASCII punctuation mark split off each word, else one leading."""
     out: list[str] = []
@@ -107,3 +84,38 @@ def peel(words: list[str]) -> list[str]:
         else:
             out.append(word)
     return out
+
+
+def pair_statistics(hyps: list, refs: list, max_order: int, sequences) -> np.ndarray:
+    """Per pair: hyp n-grams, ref n-grams and matches, each for orders 1..max_order."""
+    codes, lengths = sequences([side for pair in zip(hyps, refs) for side in pair])
+    matches = clipped_matches(codes, lengths, max_order)
+    totals = np.maximum(lengths[:, None] - np.arange(max_order), 0).reshape(-1, 2 * max_order)
+    return np.hstack([totals, matches])
+
+
+def _kind_statistics(kind: str, hyps: list, refs: list, max_order: int) -> np.ndarray:
+    """Statistics of one kind for texts split at white space."""
+    if kind == "chars":
+        hyps, refs = (["".join(words) for words in side] for side in (hyps, refs))
+        return pair_statistics(hyps, refs, max_order, char_sequences)
+    if kind == "peeled":
+        hyps, refs = ([peel(words) for words in side] for side in (hyps, refs))
+    return pair_statistics(hyps, refs, max_order, token_sequences)
+
+
+def batch_statistics(columns: list[pd.Series], orders: dict[str, int]) -> pd.DataFrame:
+    """One column of statistics arrays per kind in ``orders``.
+
+    ``columns``: hyp and ref texts, then both again with 13a tokens marked; "words" uses the last
+    two, the other kinds the first two (give only what is needed).
+    """
+    sizes = sum(column.str.len() for column in columns).to_numpy()
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_CHARS)) + 1
+    rows: dict[str, list[np.ndarray]] = {kind: [] for kind in orders}
+    for start, stop in zip([0, *cuts], [*cuts, len(sizes)]):
+        split = [[t.split() for t in column.iloc[start:stop]] for column in columns]
+        for kind, max_order in orders.items():
+            sides = split[-2:] if kind == "words" else split[:2]
+            rows[kind].extend(_kind_statistics(kind, *sides, max_order))
+    return pd.DataFrame(rows)

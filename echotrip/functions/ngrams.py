@@ -24,16 +24,6 @@ from echotrip.session import spread
 ORDERS = {"words": 4, "chars": 6, "peeled": 2}
 
 
-def _count(kind: str, hyp: list, ref: list):
-    orders = ORDERS[kind]
-    if kind == "chars":
-        joined = [["".join(w) for w in side] for side in (hyp, ref)]
-        return kernel.pair_statistics(*joined, orders, kernel.char_sequences)
-    if kind == "peeled":
-        hyp, ref = ([kernel.peel(w) for w in side] for side in (hyp, ref))
-    return kernel.pair_statistics(hyp, ref, orders, kernel.token_sequences)
-
-
 def pair_statistics(hyp: Column, ref: Column, kinds: list[str]) -> Column:
     """Struct with one statistics array per kind. NULL texts count as empty.
 
@@ -45,14 +35,11 @@ def pair_statistics(hyp: Column, ref: Column, kinds: list[str]) -> Column:
     inputs = (texts if plain else []) + (
         [text.mark_13a(t) for t in texts] if "words" in kinds else []
     )
-    fields = ", ".join(f"{kind}: array<bigint>" for kind in kinds)
+    orders = {kind: ORDERS[kind] for kind in kinds}
 
-    @F.pandas_udf(f"struct<{fields}>")
+    @F.pandas_udf("struct<" + ", ".join(f"{kind}: array<bigint>" for kind in kinds) + ">")
     def statistics(*columns: pd.Series) -> pd.DataFrame:
-        split = [[t.split() for t in column] for column in columns]
-        return pd.DataFrame(
-            {k: _count(k, *(split[-2:] if k == "words" else split[:2])) for k in kinds}
-        )
+        return kernel.batch_statistics(columns, orders)
 
     return statistics(*inputs)
 

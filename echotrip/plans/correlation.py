@@ -24,8 +24,6 @@ def sample_candidates(pairs: DataFrame, factory: Factory, n: int, **how) -> Data
     return rolled.withColumnRenamed("sentence", "source").join(gold, "sent_id")
 
 
-
-
 def candidate_scores(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, fwd_idx, scores)``: each candidate against the gold target, its greedy
     back-translation against the source. Needs gold, source, fwd_text and bwd_text."""

@@ -13,14 +13,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     A machine-local folder is only made up for a local master, where it is the same thing.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="run-echotrip-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="run-echotrip-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -267,6 +267,28 @@ def test_streamed_rewards_equal_batch(spark, tmp_path):
         assert streamed.orderBy(*keys).collect() == batch[name].drop("advantage").orderBy(*keys).collect()
 
 
-def test_shared_folder_is_the_session_setting(spark):
-    folder = shared_folder(spark)
-    assert spark.conf.get("spark.checkpoint.dir") == folder and shared_folder(spark) == folder
+class FakeContext:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class FakeSession:
+    def __init__(self, master, **conf):
+        self.sparkContext, self.conf = FakeContext(master), {k.replace("_", "."): v for k, v in conf.items()}
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    named = FakeSession("yarn", spark_checkpoint_dir="hdfs:///shared/")
+    assert shared_folder(named) == "hdfs:///shared"
+    local = FakeSession("local[2]")
+    assert shared_folder(local) == shared_folder(local) != ""
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(FakeSession("spark://host:7077"))
+    setting = spark.conf.get("spark.checkpoint.dir", None)
+    assert setting is None or shared_folder(spark) == setting.rstrip("/")

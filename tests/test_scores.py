@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,16 +75,19 @@ def test_exploded_scores_are_the_same(pairs):
     assert here == there
 
 
-@pytest.mark.parametrize("chunk", [1, 50, 1 << 17])
+@pytest.mark.parametrize("chunk", [1, 500, 1 << 18])
 def test_kernel_chunks_and_renumbering(chunk, monkeypatch):
-    monkeypatch.setattr(kernel, "CHUNK_SYMBOLS", chunk)
+    monkeypatch.setattr(kernel, "CHUNK_CHARS", chunk)
     draw = random.Random(3)
     letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]  # large alphabet: ids are renumbered
-    texts = [draw.choices(letters[: draw.choice([2, 5, 4000])], k=draw.randint(0, 300)) for _ in range(200)]
-    hyps, refs = ["".join(t) for t in texts[::2]], ["".join(t) for t in texts[1::2]]
-    for got, hyp, ref in zip(kernel.pair_statistics(hyps, refs, 6, kernel.char_sequences), hyps, refs):
-        expected = brute.stats(hyp, ref, 6)
-        assert list(got) == [r[k] for k in range(3) for r in expected]
+    texts = ["".join(draw.choices(letters[: draw.choice([2, 5, 4000])], k=draw.randint(0, 300))) for _ in range(200)]
+    hyps, refs = texts[::2], texts[1::2]
+    marked = [[" ".join(t[:40]) for t in side] for side in (hyps, refs)]
+    got = kernel.batch_statistics([pd.Series(c) for c in (hyps, refs, *marked)], ngrams.ORDERS)
+    for i, (hyp, ref) in enumerate(zip(hyps, refs)):
+        for kind, a, b in (("chars", hyp, ref), ("words", hyp[:40], ref[:40])):
+            expected = brute.stats(a, b, ngrams.ORDERS[kind])
+            assert list(got[kind][i]) == [r[k] for k in range(3) for r in expected]
 
 
 def test_scoring_shuffles_nothing(pairs, plan):
