@@ -103,3 +103,20 @@ def sequence_hash(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = out * np.uint64(0x9FB21C651E98DF25) + hashes[k : k + n]
     return mix(out)
+
+
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of marked bytes of every text."""
+    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries occur twice or more, and which have an equal one before them."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    later, any_ = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    later[order[1:]] = same
+    any_[order[1:]] = same
+    any_[order[:-1]] |= same
+    return any_, later

@@ -4,20 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from echotrip.llm import near_dups
+from echotrip.llm import host_rules, near_dups, perspectives, quality, repeats, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from positives and unlabelled texts outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs.where(~held_out()), labels.where(~held_out()))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: five words, similarity 0.75."""
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without strings of 400 bytes that start anywhere else."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep="none")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as each of its speakers sees it; masks as text ``begin-end begin-end``."""
+    seen = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda x: F.concat_ws("-", x["begin"], x["end"]))
+    return seen.withColumn("mask", F.array_join(spans, " "))
+
+
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on every document, and the verdict on its source."""
+    return host_rules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every encoded length of the documents with its suffix sums."""
+    return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_pu": op1_quality_pu,
     "op2_minhash": op2_minhash,
+    "op4_repeats": op4_repeats,
+    "op5_perspectives": op5_perspectives,
+    "op6_host_rules": op6_host_rules,
+    "op7_token_histogram": op7_token_histogram,
 }

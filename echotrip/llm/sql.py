@@ -24,6 +24,82 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM least LEFT JOIN sizes USING (doc_id)
 """
 
+REPEATS = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 399, 0))) AS i FROM bytes)),
+hits AS (SELECT doc_id, i FROM starts WHERE m IN (SELECT m FROM starts GROUP BY m HAVING count(*) > 1)),
+edges AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hits),
+islands AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island
+  FROM edges),
+spans AS (SELECT doc_id, min(i) AS b, max(i) + 400 AS e FROM islands GROUP BY doc_id, island),
+gaps AS (SELECT doc_id, e, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS next FROM spans),
+sums AS (SELECT doc_id, min(b) AS first, sum(e - b) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+rest AS (
+  SELECT doc_id, string_agg(substr(h, 2 * e + 1, 2 * (coalesce(next, len(h) // 2) - e)), '' ORDER BY e) AS tail
+  FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE substr(h, 1, 2 * first) || tail END)) AS kept_sha256
+FROM bytes LEFT JOIN sums USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+PERSPECTIVES = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(turn / 256.0) AS BIGINT) AS block
+  FROM conversations WHERE conv_id IS NOT NULL),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
+seen AS (
+  SELECT said.*, speaker, role = speaker AS mine,
+    CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head
+  FROM said JOIN speakers USING (conv_id)),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (
+    PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM seen)
+SELECT conv_id, speaker, block, count(*) AS n_turns, CAST(min(at) AS BIGINT) AS start,
+  string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
+  coalesce(string_agg((at + length(head)) || '-' || (at + length(head) + length(text) + 7), ' '
+    ORDER BY turn NULLS FIRST, role, text) FILTER (mine), '') AS mask,
+  CAST(coalesce(sum(length(text) + 7) FILTER (mine), 0) AS BIGINT) AS n_masked
+FROM placed GROUP BY conv_id, speaker, block
+"""
+
+HOST_RULES = f"""
+WITH texts AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, list_aggregate(w[i : i + 7], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM texts WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) AS r(k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
+  FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
+hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM measured WHERE source IS NOT NULL GROUP BY source),
+means AS (SELECT sum(f) / sum(n) AS m FROM hosts),
+prior AS (SELECT m, sum(n * (f / n - m) ** 2) / sum(n) AS v FROM hosts, means GROUP BY m),
+verdicts AS (
+  SELECT source, CASE WHEN v <= 0 THEN m ELSE (f + m * greatest(0, m * (1 - m) / v - 1)) / (n + greatest(0, m * (1 - m) / v - 1)) END > 0.5
+    AS host_rejected
+  FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(host_rejected, false) AS host_rejected, NOT base_failed AND NOT coalesce(host_rejected, false) AS kept
+FROM measured LEFT JOIN verdicts USING (source)
+"""
+
 ORACLE: dict[str, str] = {
     "op2_minhash": NEAR_DUPS,
+    "op4_repeats": REPEATS,
+    "op5_perspectives": PERSPECTIVES,
+    "op6_host_rules": HOST_RULES,
 }
