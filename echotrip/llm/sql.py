@@ -56,11 +56,11 @@ seen AS (
   FROM said JOIN speakers USING (conv_id)),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (
-    PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+    PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM seen)
-SELECT conv_id, speaker, block, count(*) AS n_turns, CAST(min(at) AS BIGINT) AS start,
+SELECT conv_id, speaker, block, count(*) AS n_turns, CAST(min(place) AS BIGINT) AS start,
   string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
-  coalesce(string_agg((at + length(head)) || '-' || (at + length(head) + length(text) + 7), ' '
+  coalesce(string_agg((place + length(head)) || '-' || (place + length(head) + length(text) + 7), ' '
     ORDER BY turn NULLS FIRST, role, text) FILTER (mine), '') AS mask,
   CAST(coalesce(sum(length(text) + 7) FILTER (mine), 0) AS BIGINT) AS n_masked
 FROM placed GROUP BY conv_id, speaker, block

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +24,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
 
 
-@lru_cache(maxsize=2)
 def encoding(path: str, pattern: str = PATTERN):
+    """Built once per task, in a fraction of a second."""
     import tiktoken
 
     with open(path, "rb") as lines:
