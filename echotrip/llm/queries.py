@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrip.llm import host_rules, near_dups, perspectives, quality, repeats, token_counts
+from echotrip.llm import host_rules, mixing, near_dups, perspectives, quality, repeats, token_counts, url_filter
+
+
+# The rules of the pages query.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+MIX_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +65,21 @@ def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by the rules, else by a model learnt from urls that the rules label."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    url = F.col("url")
+    verdict = url_filter.rule_for(url_filter.host_of(url), url_filter.path_of(url), URL_RULES)["verdict"]
+    model = url_filter.train(pages.select("url", verdict.alias("verdict")))
+    return url_filter.judge(pages, URL_RULES, model)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for target shares of four languages, by posteriors from their texts."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, docs, MIX_WEIGHTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": op1_quality_pu,
     "op2_minhash": op2_minhash,
@@ -61,4 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_perspectives": op5_perspectives,
     "op6_host_rules": op6_host_rules,
     "op7_token_histogram": op7_token_histogram,
+    "op8_url_filter": op8_url_filter,
+    "op10_mixing": op10_mixing,
 }
