@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrip.llm import host_rules, mixing, near_dups, perspectives, quality, repeats, token_counts, url_filter
+from echotrip.llm import host_rules, mixing, near_dups, perspectives, quality, repeats, token_counts, url_filter, vector_dups
 
 
 # The rules of the pages query.
@@ -74,6 +74,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, model)
 
 
+def op9_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 among all embeddings."""
+    return vector_dups.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all documents for target shares of four languages, by posteriors from their texts."""
     docs = table(spark, sf_dir, "documents")
@@ -88,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_host_rules": op6_host_rules,
     "op7_token_histogram": op7_token_histogram,
     "op8_url_filter": op8_url_filter,
+    "op9_vector_dups": op9_vector_dups,
     "op10_mixing": op10_mixing,
 }
