@@ -38,7 +38,6 @@ class Settings:
     batch: int = 16  # signature entries compared between two looks at the posterior
     miss: float = 1e-6
     star_rounds: int = 2
-    rare: int = 8  # a shingle of at most so many unsettled texts is rare
     seed: int = 7
 
     @property
@@ -191,54 +190,53 @@ def verify(pairs: DataFrame, cards: DataFrame, sets: DataFrame, s: Settings) ->
     return both.where(100 * common >= s.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def _open(banded: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Members of bands that still hold more than one component: id, n_shingles, band, part."""
+def _open(rows: DataFrame, label: DataFrame | None, key: str) -> DataFrame:
+    """Rows (id, ``key``, ...) of keys that still hold more than one component, with it as ``part``."""
     if label is None:
-        return banded.withColumn("part", F.col("id"))
-    named = banded.join(label, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = named.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    return stage(named.join(mixed.select("band"), "band", "left_semi"), "open")
+        return rows.withColumn("part", F.col("id"))
+    named = rows.join(label, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
+    mixed = named.groupBy(key).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    return stage(named.join(mixed.select(key), key, "left_semi"), "open")
 
 
-def _star_pairs(parts: DataFrame, turn: int) -> DataFrame:
-    """Every member of a band with the band's head: the smallest set first, another one in each later turn."""
-    order = F.struct("n_shingles", "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "id"), "id")
+def _star_pairs(parts: DataFrame, key: str, rank: str, turn: int) -> DataFrame:
+    """Every member of a key with the key's head: the one of least ``rank`` first, another in odd turns."""
+    order = F.struct(F.expr(rank), "id") if turn % 2 == 0 else F.struct(F.xxhash64(F.lit(turn), "id"), "id")
     head = F.min(F.struct(order.alias("rank"), F.col("id").alias("head"), F.col("part").alias("head_part")))
-    heads = parts.groupBy("band").agg(head.alias("h")).select("band", "h.head", "h.head_part")
-    pairs = parts.join(heads, "band").where("part <> head_part")
+    heads = parts.groupBy(key).agg(head.alias("h")).select(key, "h.head", "h.head_part")
+    pairs = parts.join(heads, key).where("part <> head_part")
     return pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
 
-def _prefix_pairs(ids: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different components that share one of their rarest shingles.
+def _prefix(ids: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The rarest shingles of every text: id, n, shingle, place (from 1), rest (shingles from there on).
 
     With shingles ordered from rare to common, two sets that reach the threshold share one of the first
-    n - ceil(threshold * n) + 1 of either. Shingles of at most ``rare`` texts make their few pairs directly. A prefix that
-    holds a more common one holds all rare ones of its text, so two texts that meet only there share at most their common
-    shingles: that bounds their similarity from above, and a text that cannot reach even the one with the
-    fewest rare shingles is left out before anything is paired. Nothing is lost, and what thousands share makes few pairs.
+    n - ceil(threshold * n) + 1 of either.
     """
-    rows = sets.join(ids, "id").select("id", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = sets.join(ids, "id", "left_semi").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    own = Window.partitionBy("id")
-    ranked = rows.join(often, "shingle").withColumns(
-        {
-            "rank": F.row_number().over(own.orderBy("often", "shingle")),
-            "held": F.count(F.when(F.col("often") > 1, True)).over(own),
-            "usual": F.count(F.when(F.col("often") > s.rare, True)).over(own),
-        }
-    )
-    prefix = ranked.where(F.expr(f"rank <= n - (({s.percent} * n + 99) div 100) + 1 and often > 1"))
-    prefix = stage(prefix.select("id", "part", "n", "held", "usual", "often", "shingle"), "prefix")
-    mixed = prefix.groupBy("shingle").agg(
-        F.min("part").alias("lo"), F.max("part").alias("hi"), F.min(F.col("n") - F.col("usual")).alias("fewest")
-    )
-    mixed = mixed.where("lo <> hi").select("shingle", "fewest")
-    left = prefix.join(mixed, "shingle").withColumn("most", F.expr(f"if(often > {s.rare}, usual, held)"))
-    left = stage(left.where(f"often <= {s.rare} or 100 * most >= {s.percent} * (n + fewest)"), "left")
-    left = left.select("id", "part", "n", "most", "shingle")
-    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "most")])
-    bound = f"100 * least(most, most_b) >= {s.percent} * (n + n_b - least(most, most_b))"
+    order = Window.partitionBy("id").orderBy("often", "shingle")
+    ranked = rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
+    prefix = ranked.where(F.expr(f"place <= n - (({s.percent} * n + 99) div 100) + 1 and often > 1"))
+    return prefix.select("id", "n", "shingle", "place", F.expr("n - place + 1").alias("rest"))
+
+
+def _prefix_pairs(parts: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles.
+
+    Two texts share at most what follows, in either, from the first shingle they share. That bounds their similarity, and
+    a text that cannot even reach the one with the fewest rarer shingles is left out before anything is paired. Of shingles that
+    the same texts share, the first stands for all. Nothing is lost, and what thousands share makes few pairs.
+    """
+    sign = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
+    mixed = parts.groupBy("shingle").agg(sign.alias("sign"), F.count("*").alias("size"), (F.min("place") - 1).alias("fewest"))
+    first = F.min(F.struct("shingle", "fewest")).alias("first")
+    mixed = mixed.groupBy("sign", "size").agg(first).select("first.shingle", "first.fewest")
+    left = parts.join(mixed, "shingle").where(f"100 * rest >= {s.percent} * (n + fewest)")
+    left = stage(left.select("id", "part", "n", "rest", "shingle"), "left")
+    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "rest")])
+    bound = f"100 * least(rest, rest_b) >= {s.percent} * (n + n_b - least(rest, rest_b))"
     pairs = left.join(right, "shingle").where(f"id < id_b and part <> part_b and {bound}")
     return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
@@ -269,13 +267,16 @@ def near_duplicates(
     cards = stage(made.select("id", "n_shingles", "signature").join(wanted, "id", "left_semi"), "wanted")
     sets = stage(texts.join(wanted, "id", "left_semi").mapInArrow(_sets("id", "text", s.words), SETS), "sets")
 
-    links, label, tried = None, None, None
-    for turn in range(s.star_rounds + 1):
-        parts = _open(banded, label)
+    links, label, tried, prefix = None, None, None, None
+    for turn in range(2 * s.star_rounds + 1):
         if turn < s.star_rounds:
-            pairs = _star_pairs(parts, turn)
+            pairs = _star_pairs(_open(banded, label, "band"), "band", "n_shingles", turn)
         else:
-            pairs = _prefix_pairs(parts.groupBy("id").agg(F.first("part").alias("part")), sets, s)
+            if prefix is None:
+                prefix = stage(_prefix(_open(banded, label, "band").select("id").distinct(), sets, s), "prefix")
+            parts = _open(prefix, label, "shingle")
+            last = turn == 2 * s.star_rounds
+            pairs = _prefix_pairs(parts, s) if last else _star_pairs(parts, "shingle", "place", turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
