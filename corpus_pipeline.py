@@ -5,27 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from echotrip.llm import near_dups
+from echotrip.llm import mixing, near_dups, pieces, quality, repeats
+from echotrip.llm.queries import MIX_WEIGHTS, held_out, table
 from echotrip.session import stage
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    verdict = near_dups.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(verdict, "doc_id", "left_semi")
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = quality.train(docs.where(~held_out()), labels)
+    return quality.keep_good(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; rows without an id stay."""
+    kept = near_dups.near_duplicates(docs).where("kept").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of strings of 400 bytes; the first copy stays."""
+    return repeats.cut_text(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say: target shares of four languages, none of which shrinks."""
+    return mixing.repeat(docs, mixing.mix(docs, docs, MIX_WEIGHTS, lossless=True))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document."""
+    encoded = pieces.encode(docs, pieces.read_model())
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("MinHash near-dedup", near_dedup),
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix_languages),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+# The classifier and the encoding have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None

@@ -180,3 +180,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score reaches the threshold; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [model.score(features(data, offsets)) for _, _, data, offsets in arrays.pieces(batch.column(at))]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) >= settings.threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrip.llm import host_rules, mixing, near_dups, perspectives, quality, repeats, token_counts, url_filter, vector_dups
+from echotrip.llm import host_rules, mixing, near_dups, perspectives, pieces, quality, repeats, token_counts, url_filter, vector_dups
 
 
 # The rules of the pages query.
@@ -42,6 +42,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the digest of what they decode to."""
+    model = pieces.read_model()
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model)
+    decoded = pieces.decode(encoded, model)
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without strings of 400 bytes that start anywhere else."""
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep="none")
@@ -88,6 +96,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": op1_quality_pu,
     "op2_minhash": op2_minhash,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_repeats": op4_repeats,
     "op5_perspectives": op5_perspectives,
     "op6_host_rules": op6_host_rules,

@@ -239,3 +239,35 @@ def remove_repeats(
     both = rows.alias("r").join(spans.alias("s"), F.expr("r.id <=> s.id and r.tag = s.tag"), "left")
     both = both.select("r.id", "r.text", F.octet_length("r.text").cast("bigint").alias("n_bytes"), "s.spans")
     return both.mapInArrow(_cut, CUT).withColumnRenamed("id", id_col)
+
+
+def _replace(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                if not spans.is_valid or not text.is_valid:
+                    texts.append(text.as_py())
+                    continue
+                data, fields = text.as_py().encode(), spans.values
+                begin, end = merged(fields.field("start").to_numpy().astype(np.int64), fields.field("end").to_numpy().astype(np.int64))
+                kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
+                texts.append(kept.decode("utf-8", "ignore"))
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return run
+
+
+def cut_text(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "first", settings: Settings = Settings()
+) -> DataFrame:
+    """``docs``, all rows and columns, with repeats cut out of the text; a character cut in two goes."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
+    spans = stage(marked_spans(rows.select("id", F.xxhash64("text").alias("tag"), "text"), keep, settings), "spans")
+    tagged = docs.withColumn("__tag", F.xxhash64(text)).alias("d")
+    same = (F.col(f"d.`{id_col}`").cast("bigint").eqNullSafe(F.col("s.id"))) & (F.col("d.__tag") == F.col("s.tag"))
+    both = tagged.join(spans.alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], "s.spans")
+    return both.mapInArrow(_replace(docs.columns.index(text_col)), docs.schema)
