@@ -29,9 +29,9 @@ from echotrip.session import stage
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 12
-    sample: int = 3_000  # labelled documents to learn from, at most
-    learner_steps: int = 30
-    penalty: float = 1e-3
+    sample: int = 3_000  # labelled documents to learn from, about, drawn by a hash of the text
+    learner_steps: int = 50
+    penalty: float = 1e-5
     steps: int = 40
     tolerance: float = 1e-9  # of the largest relative miss
     restage: int = 10  # steps after which rates are written and read again
@@ -45,7 +45,8 @@ def words(text: Column) -> Column:
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], text_col: str, domain_col: str, s: Settings) -> DataFrame:
     """``docs`` with __n (tokens) and __p (posterior of each of ``domains``)."""
     known = labelled.where(F.col(domain_col).isin(domains)).select(F.col(text_col).alias("__text"), F.col(domain_col).alias("__domain"))
-    known = known.orderBy(F.xxhash64("__text"), "__text", "__domain").limit(s.sample)
+    share = s.sample / max(known.count(), 1)
+    known = known.where(F.pmod(F.xxhash64(F.lit(17), "__text"), F.lit(1 << 20)) < share * (1 << 20))
     index = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("__domain")) - 1
     known = stage(known.select(words(F.col("__text")).alias("__words"), index.cast("double").alias("__label")), "labelled")
     rows = docs.withColumn("__words", words(F.col(text_col))).withColumn("__n", F.size("__words").cast("double"))
@@ -102,7 +103,8 @@ def mix(
     """One row per document: id, n_tokens, posterior (by the order of ``weights``), rate.
 
     ``labelled`` holds texts and their domains; the documents' own domain column is never looked at. ``total`` is the wanted number
-    of expected tokens (default: as many as there are); ``lossless`` takes the smallest at which no domain shrinks.
+    of expected tokens (default: as many as there are); ``lossless`` raises it, at the same shares, until no document's rate is
+    below 1 (without effect if some rate is 0).
     """
     s, domains = settings, list(weights)
     share = [weights[d] / sum(weights.values()) for d in domains]
@@ -114,6 +116,9 @@ def mix(
     if total is None:
         total = max((x / w for x, w in zip(sums, share) if w > 0), default=0.0) if lossless else sum(sums)
     fitted = fit_rates(held, [total * w for w in share], s)
+    if lossless:
+        least = fitted.where("__n > 0").agg(F.min("__rate")).first()[0] or 1.0
+        fitted = fitted.withColumn("__rate", F.col("__rate") / least)
     return fitted.select(
         F.col("__id").alias(id_col), F.col("__n").cast("bigint").alias("n_tokens"), F.col("__p").alias("posterior"), F.col("__rate").alias("rate")
     )
