@@ -21,20 +21,31 @@ def _fraction(a: float, b: float, x: float) -> float:
             c = 1.0 + numerator / c
             c = c if abs(c) > tiny else tiny
             value *= c * d
-        if abs(c * d - 1.0) < 1e-16:
-            break
-    return value
+        if abs(c * d - 1.0) < 1e-15:
+            return value
+    raise ArithmeticError(f"the incomplete beta function does not converge for {a}, {b}, {x}")
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
-    if x <= 0 or x >= 1:
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """ln(gamma(a + b) / gamma(a)), without cancellation for large a."""
+    if a < 20:
+        return lgamma(a + b) - lgamma(a)
+    tail = lambda v: 1 / (12 * v) - 1 / (360 * v**3) + 1 / (1260 * v**5)
+    return (a - 0.5) * log1p(b / a) + b * (log(a + b) - 1) + tail(a + b) - tail(a)
+
+
+def incomplete_beta(a: float, b: float, x: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function I_x(a, b); ``rest`` is 1 - x where that is known better."""
+    if x <= 0 or x >= 1 and not rest:
         return float(x >= 1)
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x))
+    y = 1 - x if rest is None else rest
+    large, small = max(a, b), min(a, b)
+    front = exp(_log_gamma_ratio(large, small) - lgamma(small) + a * log1p(-y) + b * log(y))
     if x < (a + 1) / (a + b + 2):
         return front * _fraction(a, b, x) / a
-    return 1.0 - front * _fraction(b, a, 1 - x) / b
+    return 1.0 - front * _fraction(b, a, y) / b
 
 
 def two_sided_p(t: float, freedom: float) -> float:
-    return incomplete_beta(freedom / 2, 0.5, freedom / (freedom + t * t))
+    whole = freedom + t * t
+    return incomplete_beta(freedom / 2, 0.5, freedom / whole, t * t / whole)

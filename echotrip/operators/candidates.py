@@ -132,38 +132,58 @@ def rollout(
     )
 
 
-def _slots(value: Column, index: Column, n: int) -> Column:
-    """Array of ``n`` slots filled by index; an aggregate of fixed size, combined map-side."""
-    slots = F.array(*[F.max(F.when(index == k, value)) for k in range(n)])
-    return F.filter(slots, lambda v: v.isNotNull())
+def _slots(text: Column, index: Column, n: int) -> Column:
+    """Array of ``n`` (held, text) slots filled by index; an aggregate of fixed size, combined map-side."""
+    return F.array(
+        *[F.struct(F.count(F.when(index == k, 1)).alias("held"), F.max(F.when(index == k, text)).alias("text")) for k in range(n)]
+    )
+
+
+def _checked(value: Column, bad: Column, what: str) -> Column:
+    return F.when(bad, F.raise_error(F.lit(what))).otherwise(value)
+
+
+def _texts(slots: Column) -> Column:
+    """Texts of the slots that are held, NULL texts included, by index."""
+    return F.transform(F.filter(slots, lambda s: s["held"] > 0), lambda s: s["text"])
+
+
+def _stray(index: str, n: int) -> Column:
+    """Number of rows whose index is none of 0 to n - 1."""
+    return F.count(F.when(F.coalesce(F.col(index).between(0, n - 1), F.lit(False)), None).otherwise(1))
 
 
 def regroup(df: DataFrame, keys: list[str], index: str, text: str, n: int, out: str) -> DataFrame:
     """Flat completions to one list per key, ordered by index; ``n`` is the fan-out.
 
     Uses ``n`` fixed slots rather than a growing list, so memory per key is bounded by the fan-out
-    whatever the input holds.
+    whatever the input holds. NULL texts keep their place. An index that is missing, outside 0 to n - 1 or
+    there twice is an error.
     """
-    return df.groupBy(*keys).agg(_slots(F.col(text), F.col(index), n).alias(out))
+    slots = df.groupBy(*keys).agg(_slots(F.col(text), F.col(index), n).alias("_slots"), _stray(index, n).alias("_stray"))
+    twice = F.exists("_slots", lambda s: s["held"] > 1)
+    whole = _checked(_texts(F.col("_slots")), (F.col("_stray") > 0) | twice, f"{index}: an index is outside 0 to {n - 1} or not unique")
+    return slots.select(*keys, whole.alias(out))
 
 
 def regroup_tree(rollouts: DataFrame, n_forward: int, n_backward: int) -> DataFrame:
-    """``(sent_id, fwd_texts, bwd_texts)`` with back-translations nested per forward candidate."""
-    def back(k: int) -> Column:
-        return F.array(
-            *[
-                F.max(F.when((F.col("fwd_idx") == k) & (F.col("bwd_idx") == j), F.col("bwd_text")))
-                for j in range(n_backward)
-            ]
-        )
+    """``(sent_id, fwd_texts, bwd_texts)`` with back-translations nested per forward candidate.
 
-    nested = F.transform(
-        F.array(*[back(k) for k in range(n_forward)]),
-        lambda texts: F.filter(texts, lambda t: t.isNotNull()),
+    NULL texts keep their place; indexes outside the fan-out, or pairs of them that are there twice, are an error.
+    """
+    slots = rollouts.groupBy("sent_id").agg(
+        _slots(F.col("fwd_text"), F.col("fwd_idx"), n_forward).alias("_fwd"),
+        F.array(*[_slots(F.col("bwd_text"), F.when(F.col("fwd_idx") == k, F.col("bwd_idx")), n_backward) for k in range(n_forward)]).alias("_bwd"),
+        _stray("fwd_idx", n_forward).alias("_stray"),
+        _stray("bwd_idx", n_backward).alias("_stray_back"),
     )
-    return rollouts.groupBy("sent_id").agg(
-        _slots(F.col("fwd_text"), F.col("fwd_idx"), n_forward).alias("fwd_texts"),
-        F.filter(nested, lambda texts: F.size(texts) > 0).alias("bwd_texts"),
+    twice = F.exists("_bwd", lambda slots: F.exists(slots, lambda s: s["held"] > 1))
+    bad = (F.col("_stray") > 0) | (F.col("_stray_back") > 0) | twice
+    nested = F.filter(F.transform("_bwd", _texts), lambda texts: F.size(texts) > 0)
+    return slots.select(
+        "sent_id",
+        _checked(_texts(F.col("_fwd")), bad, "rollouts: an index is outside the fan-out or not unique").alias("fwd_texts"),
+        nested.alias("bwd_texts"),
     )
 
 

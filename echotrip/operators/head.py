@@ -15,18 +15,19 @@ def prefix_bound(ids: DataFrame, column: str, wanted: int, buckets: int = 1000)
     rows than wanted.
     """
     value = F.col(column)
+    wide = value.cast("decimal(38,0)")  # ids may lie further apart than 2^63
     low, high = ids.agg(F.min(value), F.max(value)).first()
     before = 0
     while True:
         width = (high - low) // buckets + 1
         counts = (
             ids.where(value.between(low, high))
-            .groupBy(F.floor((value - low) / width).alias("b"))
+            .groupBy(F.floor((wide - F.lit(str(low)).cast("decimal(38,0)")) / F.lit(str(width)).cast("decimal(38,0)")).alias("b"))
             .count()
             .orderBy("b")
             .collect()
         )
-        for bucket, count in counts:
+        for bucket, count in ((int(b), c) for b, c in counts):
             if before + count >= wanted:
                 break
             before += count
@@ -43,11 +44,11 @@ def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
     A plain ordered limit sends up to ``n`` rows of every task to one task. Where the first order
     column is an integer, rows beyond a bound on it are filtered out first (pushed down to the
-    scan), so about as many rows as wanted are left to sort.
+    scan), so about as many rows as wanted are left to sort. NULLs come first, as in any ordered limit.
     """
     if isinstance(df.schema[order[0]].dataType, T.IntegralType):
         top = df.agg(F.max(order[0])).first()[0]
         if top is not None:
             bound = prefix_bound(df.select(order[0]), order[0], n)
-            df = df.where(F.col(order[0]) <= bound)
+            df = df.where(F.col(order[0]).isNull() | (F.col(order[0]) <= bound))
     return df.orderBy(*order).limit(n)

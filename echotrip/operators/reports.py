@@ -38,20 +38,21 @@ def preview(df: DataFrame, by: list[str], order: list[str], n: int = 5) -> DataF
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def example_table(
-    rollouts: DataFrame, rewards: DataFrame, order: list[str], n: int = 5
-) -> DataFrame:
-    """All candidates of the first ``n`` sentences with their first back-translation.
+def first_sentence_ids(sentences: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """``(sent_id, example_idx)`` of the first ``n`` sentences by ``order``."""
+    first = sentences.select("sent_id", *order).distinct().orderBy(*order, "sent_id").limit(n)
+    rank = F.row_number().over(Window.orderBy(*order, "sent_id")) - 1  # over n rows
+    return first.select("sent_id", rank.alias("example_idx"))
+
 
-    ``rewards`` holds the forward rewards (sent_id, fwd_idx, bleu, chrf); ``order`` are the
-    columns of ``rollouts`` that order sentences.
+def example_table(rollouts: DataFrame, rewards: DataFrame, shown: DataFrame) -> DataFrame:
+    """All candidates of the ``shown`` sentences (sent_id, example_idx) with their first back-translation.
+
+    ``rewards`` holds the forward rewards (sent_id, fwd_idx, bleu, chrf); only those of shown sentences
+    are needed, so score only these.
     """
-    first = rollouts.select("sent_id", *order).distinct().orderBy(*order, "sent_id").limit(n)
-    rank = F.row_number().over(Window.orderBy(*order, "sent_id")) - 1  # over n rows
-    numbered = first.select("sent_id", rank.alias("example_idx"))
-    shown = rollouts.where(F.col("bwd_idx") == 0).join(F.broadcast(numbered), "sent_id")
-    # The few shown candidates are the broadcast side.
-    return rewards.join(F.broadcast(shown), ["sent_id", "fwd_idx"]).select(
+    first = rollouts.where(F.col("bwd_idx") == 0).join(shown, "sent_id")
+    return rewards.join(first, ["sent_id", "fwd_idx"]).select(
         F.col("sentence").alias("original_english"),
         F.col("example_idx").alias("fwd_idx"),
         F.col("fwd_text").alias("predicted_target"),

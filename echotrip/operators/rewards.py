@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrip.operators.metrics import score_pairs
@@ -11,11 +11,6 @@ from echotrip.operators.metrics import score_pairs
 STD_FLOOR = 1e-8
 REWARD_METRICS = {"bleu": "bleu", "chrf": "chrf++"}
 
-# A group above HOT_ROWS rows is handled by broadcast; at most HOT_GROUPS of them, the largest.
-# Any group left over is then smaller than 1/HOT_GROUPS of all rows or than HOT_ROWS.
-HOT_ROWS = 100_000
-HOT_GROUPS = 1_000
-
 
 def cycle_rewards(rollouts: DataFrame) -> DataFrame:
     """Score every back-translation against its own sentence, where the row lies.
@@ -52,27 +47,14 @@ def _moments(value: str) -> list[tuple[str, Column]]:
 def with_group_moments(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Add count, mean, sample deviation, min and max of each value within its group.
 
-    Groups are normally a handful of candidates and a window suits them. A group may also hold a
-    large share of all rows: the few largest ones get their moments from an aggregation with
-    map-side combine, sent to every task (at most HOT_GROUPS rows), and their rows are strewn over
-    the window's partitions instead of meeting in one. Reads ``df`` twice, so stage it if it is
-    expensive.
+    One way for groups of every size: moments come from an aggregation with map-side combine and go back by a
+    join on the keys, whose large partitions adaptive execution splits; no window gathers a group. Null
+    keys are a group. Reads ``df`` twice, so stage it if it is expensive.
     """
     aggregates = [("_n", F.count("*"))] + [m for v in values for m in _moments(v)]
-    hot = (
-        df.groupBy(*keys)
-        .agg(*[a.alias(f"_hot{n}") for n, a in aggregates])
-        .where(F.col("_hot_n") > HOT_ROWS)
-        .orderBy(F.desc("_hot_n"), *keys)
-        .limit(HOT_GROUPS)
-    )
-    marked = df.join(F.broadcast(hot), keys, "left")
-    others = [c for c in df.columns if c not in keys]
-    strewn = F.when(F.col("_hot_n").isNotNull(), F.xxhash64(*others)).otherwise(F.lit(0))
-    window = Window.partitionBy(*keys, "_strewn")
-    return marked.withColumn("_strewn", strewn).select(
-        *df.columns, *[F.coalesce(F.col(f"_hot{n}"), a.over(window)).alias(n) for n, a in aggregates]
-    )
+    moments = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(*[a.alias(n) for n, a in aggregates])
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(moments, same).select(*df.columns, *[n for n, _ in aggregates])
 
 
 def _standardised(value: str, constant: Column, spread: Column) -> Column:

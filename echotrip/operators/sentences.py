@@ -72,7 +72,7 @@ def first_sentences(corpus: DataFrame, n: int, **extract) -> DataFrame:
     wanted = n
     while top is not None:
         bound = prefix_bound(ids, "doc_id", wanted)
-        head = corpus.where(F.col("doc_id") <= bound)
+        head = corpus.where(F.col("doc_id").isNull() | (F.col("doc_id") <= bound))
         if bound >= top or extract_sentences(head, **extract).count() >= n:
             corpus = head
             break

@@ -27,12 +27,15 @@ def parallel_rows(pairs: DataFrame, languages: DataFrame, direction: str = "forw
 def score_transcripts(
     chats: DataFrame, answers: DataFrame, metric: str = "chrf", scale: float = 1.0
 ) -> DataFrame:
-    """``(conv_id, answer, expected, reward)``: last reply against the expected answer.
+    """``(conv_id, answer, expected, reward, answered)``: last reply against the expected answer.
 
     ``answers`` holds (conv_id, expected). The reward is plain chrF or BLEU on 0-100, times
-    ``scale``. Conversations without a reply get no row.
+    ``scale``. A conversation without a reply has reward 0 and ``answered`` false; one without an
+    expected answer has a NULL reward.
     """
-    replies = transcripts.final_answers(chats).where(F.col("answer").isNotNull())
-    paired = replies.select("conv_id", "answer").join(answers, "conv_id")
-    scored = metrics.sentence_metric(paired, metric, 0, "reward", "answer", "expected")
-    return scored.withColumn("reward", F.col("reward") * scale)
+    replies = transcripts.final_answers(chats).select("conv_id", "answer")
+    paired = replies.join(answers, "conv_id", "left").withColumn("answered", F.col("answer").isNotNull())
+    asked = paired.withColumn("_hyp", F.coalesce("answer", F.lit(""))).withColumn("_ref", F.coalesce("expected", F.lit("")))
+    scored = metrics.sentence_metric(asked, metric, 0, "reward", "_hyp", "_ref")
+    reward = F.when(F.col("expected").isNull(), None).when(F.col("answered"), F.coalesce("reward", F.lit(0.0)) * scale)
+    return scored.select("conv_id", "answer", "expected", reward.otherwise(0.0).alias("reward"), "answered")

@@ -107,12 +107,21 @@ def test_regroup_and_flatten(spark):
     lists = candidates.regroup(flat, ["k"], "i", "t", 3, "ts")
     assert {r.k: r.ts for r in lists.collect()} == {"a": ["x", "y"], "b": ["z", "w"]}
     assert candidates.flatten(lists, ["k"], "ts", "i", "t").count() == 4
+    holes = spark.createDataFrame([("a", 0, "x"), ("a", 1, None), ("a", 2, "y")], "k string, i int, t string")
+    assert candidates.regroup(holes, ["k"], "i", "t", 3, "ts").first().ts == ["x", None, "y"]
+    for wrong in ([("a", 3, "x")], [("a", 0, "x"), ("a", 0, "y")], [("a", None, "x")], [("a", -1, "x")]):
+        with pytest.raises(Exception, match="outside 0 to 2 or not unique"):
+            candidates.regroup(spark.createDataFrame(wrong, "k string, i int, t string"), ["k"], "i", "t", 3, "ts").collect()
     tree = spark.createDataFrame(
         [("s", j, f"f{j}", k, f"b{j}{k}") for j in range(2) for k in range(3)],
         "sent_id string, fwd_idx int, fwd_text string, bwd_idx int, bwd_text string",
     )
     row = candidates.regroup_tree(tree, 2, 3).first()
     assert row.fwd_texts == ["f0", "f1"] and row.bwd_texts == [["b00", "b01", "b02"], ["b10", "b11", "b12"]]
+    with pytest.raises(Exception, match="outside the fan-out or not unique"):
+        candidates.regroup_tree(tree.union(tree.limit(1)), 2, 3).collect()
+    with pytest.raises(Exception, match="outside the fan-out or not unique"):
+        candidates.regroup_tree(tree, 2, 2).collect()
 
 
 def test_index_rows(spark):
@@ -223,7 +232,8 @@ def test_hosted_rows_and_rewards(spark):
     chats = spark.createDataFrame([(1, 0, "assistant", "<think>x</think>abc def"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
     answers = spark.createDataFrame([(1, "abc def"), (2, "x")], "conv_id long, expected string")
     got = hosted.score_transcripts(chats, answers, "chrf", scale=0.01).collect()
-    assert [(r.conv_id, r.reward) for r in got] == [(1, 1.0)]
+    assert sorted((r.conv_id, r.reward, r.answered) for r in got) == [(1, 1.0, True), (2, 0.0, False)]
+    assert hosted.score_transcripts(chats, answers.where("conv_id = 2")).where("conv_id = 1").first().reward is None
 
 
 def test_first_rows(spark):
@@ -233,6 +243,8 @@ def test_first_rows(spark):
     named = df.withColumn("k", F.col("k").cast("string"))
     assert first_rows(named, ["k"], 3).count() == 3
     assert first_rows(df.where("false"), ["k"], 3).count() == 0
+    some = spark.createDataFrame([(None,), (1,), (2,), (-(2**62),), (2**62,)], "k long")
+    assert [r.k for r in first_rows(some, ["k"], 3).collect()] == [None, -(2**62), 1]
 
 
 def test_streamed_sentences_equal_batch(spark, tmp_path):

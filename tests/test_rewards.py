@@ -49,24 +49,37 @@ def test_equal_values_whose_mean_misses_them(spark):
     assert {r.bleu for r in rewards.group_zscores(df, ["sent_id"], ["bleu"]).collect()} == {None}
 
 
-def test_hot_groups_give_the_same(spark, monkeypatch, plan):
-    """One group holds a third of all rows; with the hot path on, results stay the same."""
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 400)).alias("sent_id"),
+def test_hot_groups(spark):
+    """One group holds most rows, all of one reward; its rows keep to several tasks and no window gathers them."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 100 == 0, None).otherwise(F.concat(F.lit("g"), F.col("id") % 400)).alias("sent_id"),
         F.col("id").cast("int").alias("fwd_idx"),
         F.lit(0).alias("bwd_idx"),
-        (F.col("id") * 37 % 101).cast("double").alias("bleu"),
+        F.when(F.col("id") % 10 > 0, 0.0).otherwise((F.col("id") * 37 % 101).cast("double")).alias("bleu"),
         (F.col("id") * 17 % 89).cast("double").alias("chrf"),
     )
-    usual = rewards.advantages(df, ["sent_id"]).orderBy("fwd_idx").collect()
-    monkeypatch.setattr(rewards, "HOT_ROWS", 100)
-    strewn = rewards.with_group_moments(df, ["sent_id"], ["bleu"])
-    assert {r._n for r in strewn.where("sent_id = 'hot'").collect()} == {1000}
-    hot = rewards.advantages(df, ["sent_id"]).orderBy("fwd_idx").collect()
-    for a, b in zip(usual, hot):
-        assert a.fwd_idx == b.fwd_idx and a.group_size == b.group_size
-        assert a.adv_bleu == pytest.approx(b.adv_bleu, abs=1e-9)
-        assert a.adv_chrf == pytest.approx(b.adv_chrf, abs=1e-9)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.shuffle.partitions": "50",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        moments = rewards.with_group_moments(df, ["sent_id"], ["bleu", "chrf"]).withColumn("task", F.spark_partition_id())
+        rows = moments.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    hot = [r for r in rows if r.sent_id == "hot"]
+    assert len(rows) == 30_000 and {r._n for r in hot} == {27_000} and len({r.task for r in hot}) > 2
+    assert {r._n for r in rows if r.sent_id is None} == {300}
+    assert {(r._bleu_min, r._bleu_max) for r in hot} == {(0.0, 0.0)}
+    got = {r.fwd_idx: r for r in rewards.advantages(df, ["sent_id"]).collect()}
+    assert got[1].adv_bleu == 0.0 and got[1].group_size == 27_000
 
 
 def test_advantages_sum_to_zero_and_survive_repartitioning(spark):
@@ -155,7 +168,34 @@ def test_mixed_model_against_brute_force(spark):
         list(np.sqrt(sigma2 * np.diag(np.linalg.inv(a)))), rel=1e-9
     )
     best = min(_reml(u / (1 - u), groups)[0] for u in np.linspace(0, 0.99, 1000))
-    assert fit.criterion <= best + 1e-2 and (fit.n_groups, fit.n_rows) == (60, len(rows))
+    assert fit.criterion <= best + 1e-9 and (fit.n_groups, fit.n_rows) == (60, len(rows))
+
+
+def test_mixed_model_has_no_largest_ratio(spark):
+    """Strong slopes, none at all, and a fit of its own for each; the best ratio is found whatever its size."""
+    rng = np.random.default_rng(5)
+    fits, rows = {}, []
+    for name, spread, noise in (("steep", 20.0, 0.5), ("steeper", 2e3, 1e-2), ("none", 0.0, 1.0)):
+        for g in range(60):
+            z = rng.normal(size=8)
+            y = 0.2 + z + rng.normal(0, spread) * z + rng.normal(0, noise, size=8) if spread else 0.2 + z + np.tile([1.0, -1.0], 4) * noise
+            fits.setdefault(name, []).append((z, y, z))
+            rows += [(name, g, float(a), float(b)) for a, b in zip(z, y)]
+    df = spark.createDataFrame(rows, "name string, sent_idx long, x double, y double")
+    got = {r.name: r for r in regression.mixed_model(df, "x", "y", "x", by=("name",)).collect()}
+    assert 500 < got["steep"].lam < 5000 and 200 < got["steep"].slope_variance < 800 and got["steeper"].lam > 1e9
+    for name in ("steep", "none"):
+        criterion, beta, sigma2, _ = _reml(got[name].lam, fits[name])
+        assert [got[name].criterion, got[name].slope, got[name].sigma2] == pytest.approx([criterion, beta[1], sigma2], rel=1e-6)
+        tried = [got[name].lam * f for f in (0.9, 0.99, 1.01, 1.1)] + [0.0, 1e-3, 10.0, 1e5]
+        assert criterion <= min(_reml(t, fits[name])[0] for t in tried) + 1e-7
+    assert regression.mixed_model(df.where("false"), "x", "y", "x", by=("name",)).collect() == []
+
+
+def test_p_value_with_many_rows():
+    for freedom in (1e2, 1e4, 1e6, 1e8, 1e10, 1e12):
+        assert two_sided_p(0.01, freedom) == pytest.approx(math.erfc(0.01 / math.sqrt(2)), abs=3e-3 / freedom + 1e-9)
+    assert two_sided_p(0.0, 5) == pytest.approx(1.0)
 
 
 def test_finite_filter_is_cumulative(spark):

@@ -403,22 +403,33 @@ SELECT lang, direction, count(*) AS n_examples, round(avg(reward), 6) AS reward
 ORACLE["transcript_rewards"] = f"""WITH {TRANSCRIPTS},
 firsts AS (SELECT conv_id, arg_min(text, turn) AS expected FROM transcripts GROUP BY conv_id),
 replies AS (SELECT conv_id, answer AS hyp, expected AS ref FROM finals JOIN firsts USING (conv_id)
-  WHERE answer IS NOT NULL), {all_scores('replies', 'conv_id', long=True)}
-{select_scores('replies', 'conv_id', {'reward': 'chrf'})}"""
+  WHERE answer IS NOT NULL), {all_scores('replies', 'conv_id', long=True)},
+rated AS ({select_scores('replies', 'conv_id', {'reward': 'chrf'})})
+SELECT conv_id, CASE WHEN answer IS NULL THEN 0.0 ELSE coalesce(reward, 0.0) END AS reward, answer IS NOT NULL AS answered
+FROM finals LEFT JOIN rated USING (conv_id)"""
 
 # --- rewards ---
 
 _ROLLOUT_KEYS = "sent_id, fwd_idx, bwd_idx"
-REWARDS = f"""{ROLLOUTS},
-    scored AS (SELECT {_ROLLOUT_KEYS}, bwd_text AS hyp, sentence AS ref FROM rollouts),
-    {all_scores('scored', _ROLLOUT_KEYS)},
-    exact AS (SELECT {_ROLLOUT_KEYS}, coalesce(bleu, 0) AS bleu, coalesce(chrfpp, 0) AS chrf
-      FROM scored LEFT JOIN bleu USING ({_ROLLOUT_KEYS}) LEFT JOIN chrfpp USING ({_ROLLOUT_KEYS})),
+def _rewards(rollouts: str) -> str:
+    """Scores of distinct (back-translation, sentence) texts by a whole number, then back to the rollouts."""
+    return f"""
+    texts AS (SELECT DISTINCT bwd_text AS hyp, sentence AS ref FROM {rollouts}),
+    scored AS MATERIALIZED (SELECT row_number() OVER (ORDER BY hyp, ref) AS pid, hyp, ref FROM texts),
+    {all_scores('scored', 'pid')},
+    rated AS (SELECT hyp, ref, coalesce(bleu, 0) AS bleu, coalesce(chrfpp, 0) AS chrf
+      FROM scored LEFT JOIN bleu USING (pid) LEFT JOIN chrfpp USING (pid)),
+    exact AS (SELECT {_ROLLOUT_KEYS}, bleu, chrf FROM {rollouts} JOIN rated ON hyp = bwd_text AND ref = sentence),
     rewards AS (SELECT {_ROLLOUT_KEYS}, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf FROM exact),
     fwd_rewards AS (SELECT sent_id, fwd_idx, round(avg(bleu), 6) AS bleu, round(avg(chrf), 6) AS chrf
       FROM exact GROUP BY ALL)"""
+
+
+REWARDS = f"{ROLLOUTS}, {_rewards('rollouts')}"
 ORACLE["cycle_rewards"] = f"WITH {REWARDS} SELECT * FROM rewards"
 ORACLE["forward_rewards"] = f"WITH {REWARDS} SELECT * FROM fwd_rewards"
+ORACLE["forward_rewards_sum"] = f"""WITH {REWARDS} SELECT sent_id, fwd_idx, round(sum(bleu), 6) AS bleu, round(sum(chrf), 6) AS chrf
+FROM exact GROUP BY ALL"""
 
 
 def advantage(value: str, group: str) -> str:
@@ -493,32 +504,48 @@ line AS (SELECT metric, CAST(i AS INTEGER) AS i, lo + i * (hi - lo) / 199 AS x,
 SELECT metric, i, round(x, 6) AS x, round(s * x + c, 6) AS y FROM line"""
 
 
-def _profile(grid: str, name: str) -> str:
+def _profile(grid: str, name: str, key: str) -> str:
     return f"""
-    {name}_sums AS (SELECT metric, u, lam, sum(n - c * sz * sz) AS a11, sum(sx - c * sz * szx) AS a12,
+    {name}_sums AS (SELECT {key}, lam, sum(n - c * sz * sz) AS a11, sum(sx - c * sz * szx) AS a12,
         sum(sxx - c * szx * szx) AS a22, sum(sy - c * sz * szy) AS b1, sum(sxy - c * szx * szy) AS b2,
         sum(syy - c * szy * szy) AS q, sum(n) AS n_rows, count(*) AS n_groups, sum(ln(1 + lam * szz)) AS logdet
-      FROM (SELECT *, u / (1 - u) AS lam, (u / (1 - u)) / (1 + (u / (1 - u)) * szz) AS c
-            FROM groups JOIN {grid} USING (metric)) GROUP BY ALL),
+      FROM (SELECT *, lam / (1 + lam * szz) AS c FROM groups JOIN {grid} USING ({key})) GROUP BY ALL),
     {name}_fit AS (SELECT *, a11 * a22 - a12 * a12 AS det, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS intercept,
         (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS slope FROM {name}_sums),
     {name}_var AS (SELECT *, (q - intercept * b1 - slope * b2) / (n_rows - 2) AS sigma2 FROM {name}_fit),
-    {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY
-        round((n_rows - 2) * ln(sigma2) + logdet + ln(det), 8), u) AS k FROM {name}_var) WHERE k = 1)"""
-
-
+    {name} AS MATERIALIZED (SELECT * FROM (SELECT *, lag(lam) OVER o AS low, lead(lam) OVER o AS high,
+        row_number() OVER (PARTITION BY {key} ORDER BY (n_rows - 2) * ln(sigma2) + logdet + ln(det), lam) AS k
+      FROM {name}_var WINDOW o AS (PARTITION BY {key} ORDER BY lam)) WHERE k = 1)"""
+
+
+def _reml(key: str) -> str:
+    """Twelfths of a decade up to 10^12, then four ever finer grids around the best: no derivative, no ratio left out."""
+    steps = [f"""
+    grid_0 AS (SELECT {key}, CASE WHEN i = 0 THEN 0.0 ELSE 10.0 ** ((i - 145) / 12.0) END AS lam
+      FROM (SELECT DISTINCT {key} FROM groups), range(290) AS r(i))"""]
+    for level in range(5):
+        if level:
+            steps.append(f"""
+    grid_{level} AS (SELECT {key}, coalesce(low, lam) + i * (coalesce(high, lam) - coalesce(low, lam)) / 60 AS lam
+      FROM level_{level - 1}, range(61) AS r(i))""")
+        steps.append(_profile(f"grid_{level}", f"level_{level}", key))
+    return ",".join(steps)
+
+
+_SUMS = """CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(x * x) AS sxx, sum(x * y) AS sxy,
+  sum(y * y) AS syy, sum(z * z) AS szz, sum(z * x) AS szx, sum(z * y) AS szy"""
 ORACLE["mixed_slope"] = f"""WITH {ZSCORES},
-groups AS (SELECT metric, lang, id, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz,
-  sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, sum(z * z) AS szz, sum(z * x) AS szx, sum(z * y) AS szy
-  FROM usable GROUP BY ALL),
-coarse_grid AS (SELECT metric, i / 64.0::DOUBLE AS u FROM (VALUES ('bleu'), ('chrf')) AS m(metric), range(64) AS r(i)),
-{_profile('coarse_grid', 'coarse')},
-fine_grid AS (SELECT metric, greatest(u - 1 / 64.0, 0.0) + i * (least(u + 1 / 64.0, 1 - 1 / 128.0)
-  - greatest(u - 1 / 64.0, 0.0)) / 32 AS u FROM coarse, range(33) AS r(i)),
-{_profile('fine_grid', 'fine')}
+groups AS (SELECT metric, lang, id, {_SUMS} FROM usable GROUP BY ALL), {_reml('metric')}
 SELECT metric, CAST(n_rows AS BIGINT) AS n_rows, n_groups, round(intercept, 5) AS intercept, round(slope, 5) AS slope,
   round(sqrt(sigma2 * a22 / det), 5) AS intercept_se, round(sqrt(sigma2 * a11 / det), 5) AS slope_se,
-  round(sigma2, 5) AS sigma2, round(lam * sigma2, 5) AS slope_variance, round(lam, 5) AS lam FROM fine"""
+  round(sigma2, 5) AS sigma2, round(lam * sigma2, 3) AS slope_variance, round(lam, 3) AS lam FROM level_4"""
+ORACLE["mixed_slope_strong"] = f"""WITH {ZSCORES},
+steep AS (SELECT lang, id, roundtrip_bleu AS x, roundtrip_chrf AS z,
+    0.5 * roundtrip_bleu + 0.1 * bleu + (id * 37 % 41 - 20) * roundtrip_chrf AS y
+  FROM z WHERE roundtrip_bleu IS NOT NULL AND bleu IS NOT NULL AND roundtrip_chrf IS NOT NULL),
+groups AS (SELECT lang, id, {_SUMS} FROM steep GROUP BY ALL), {_reml('lang')}
+SELECT lang, CAST(n_rows AS BIGINT) AS n_rows, n_groups, round(intercept, 4) AS intercept, round(slope, 4) AS slope,
+  round(sigma2, 4) AS sigma2, lam > 127 AS above FROM level_4"""
 
 # --- logged log-probabilities ---
 
@@ -580,10 +607,11 @@ ORACLE["step_log"] = f"""WITH {STEPS} SELECT step, epoch, {', '.join(f'round({c}
 ORACLE["epoch_log"] = f"""WITH {STEPS}
 SELECT epoch, count(*) AS n_steps, round(sum(reward_bleu), 9) AS reward_bleu, round(sum(reward_chrf), 9) AS reward_chrf
 FROM steps GROUP BY epoch"""
-ORACLE["example_table"] = f"""WITH {REWARDS},
+ORACLE["example_table"] = f"""WITH {ROLLOUTS},
 shown AS (SELECT sent_id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS example_idx FROM sentences
-  ORDER BY doc_id, pos LIMIT 5)
+  ORDER BY doc_id, pos LIMIT 5),
+few AS (SELECT rollouts.* FROM rollouts JOIN shown USING (sent_id)), {_rewards('few')}
 SELECT sentence AS original_english, CAST(example_idx AS INTEGER) AS fwd_idx, fwd_text AS predicted_target, r.fwd_idx AS bwd_idx,
   bwd_text AS final_predicted_english, round(f.bleu, 6) AS bleu, round(f.chrf, 6) AS chrf
-FROM rollouts r JOIN shown USING (sent_id) JOIN fwd_rewards f ON f.sent_id = r.sent_id AND f.fwd_idx = r.fwd_idx
+FROM few r JOIN shown USING (sent_id) JOIN fwd_rewards f ON f.sent_id = r.sent_id AND f.fwd_idx = r.fwd_idx
 WHERE bwd_idx = 0"""

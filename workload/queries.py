@@ -200,7 +200,7 @@ def transcript_rewards(spark, sf):
     chats = tables.transcripts(spark, sf)
     expected = chats.groupBy("conv_id").agg(F.min_by("text", "turn").alias("expected"))
     scored = hosted.score_transcripts(chats, expected)
-    return scored.select("conv_id", *rounded("reward"))
+    return scored.select("conv_id", *rounded("reward"), "answered")
 
 
 # --- candidates ------------------------------------------------------------------------------
@@ -491,10 +491,28 @@ def mixed_slope(spark, sf):
     fits = _per_metric(spark, sf, fit)
     return fits.select(
         "metric", "n_rows", "n_groups",
-        *rounded("intercept", "slope", "intercept_se", "slope_se", "sigma2", "slope_variance", "lam", digits=5),
+        *rounded("intercept", "slope", "intercept_se", "slope_se", "sigma2", digits=5),
+        *rounded("slope_variance", "lam", digits=3),
     )
 
 
+@query
+def mixed_slope_strong(spark, sf):
+    """A random slope that dwarfs the noise: the variance ratio is in the thousands and more. One fit per language."""
+    table = stage(_zscores(spark, sf), "zscores")
+    rows = regression.finite_rows(table, "bleu").withColumn("sent_idx", F.concat_ws(":", "lang", "id"))
+    steep = F.col("id") * 37 % 41 - 20
+    rows = rows.withColumn("y", F.expr("0.5 * roundtrip_bleu + 0.1 * bleu") + steep * F.col("roundtrip_chrf"))
+    rows = rows.where(regression.is_finite("roundtrip_chrf"))
+    fits = regression.mixed_model(rows, "roundtrip_bleu", "y", "roundtrip_chrf", by=("lang",))
+    return fits.select("lang", "n_rows", "n_groups", *rounded("intercept", "slope", "sigma2", digits=4), (F.col("lam") > 127).alias("above"))
+
+
+@query
+def forward_rewards_sum(spark, sf):
+    return rewards.forward_rewards(_rewards(spark, sf), how="sum").select("sent_id", "fwd_idx", *rounded("bleu", "chrf"))
+
+
 # --- logged log-probabilities ----------------------------------------------------------------
 
 
@@ -633,8 +651,10 @@ def epoch_log(spark, sf):
 
 @query
 def example_table(spark, sf):
-    rolled = tables.rollouts(spark, sf)
-    table = reports.example_table(rolled, forward_rewards(spark, sf), SENT)
+    shown = reports.first_sentence_ids(tables.sentences(spark, sf), SENT)
+    rolled = tables.rollouts(spark, sf).join(shown.select("sent_id"), "sent_id", "left_semi")
+    scored = rewards.forward_rewards(rewards.cycle_rewards(rolled)).select("sent_id", "fwd_idx", *rounded("bleu", "chrf"))
+    table = reports.example_table(rolled, scored, shown)
     return table.select(
         "original_english", "fwd_idx", "predicted_target", "bwd_idx", "final_predicted_english",
         *rounded("bleu", "chrf"),
