@@ -65,7 +65,7 @@ def test_near_duplicates(spark):
         for b in ids[x + 1 :]
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
     ]
-    assert len(links) > 500
+    assert len(links) > 250
     expected = reachable(ids, links)
     assert set(got) == set(ids)
     assert {i: r.component_id for i, r in got.items()} == expected
