@@ -615,3 +615,27 @@ SELECT sentence AS original_english, CAST(example_idx AS INTEGER) AS fwd_idx, fw
   bwd_text AS final_predicted_english, round(f.bleu, 6) AS bleu, round(f.chrf, 6) AS chrf
 FROM few r JOIN shown USING (sent_id) JOIN fwd_rewards f ON f.sent_id = r.sent_id AND f.fwd_idx = r.fwd_idx
 WHERE bwd_idx = 0"""
+
+# --- files, logs, streams and sampled rollouts ---
+
+ORACLE["lang_csv"] = ORACLE["lang_dim"]
+ORACLE["parallel_folder"] = f"WITH {PAIRS} SELECT lang, id, split, text_tgt, text_eng FROM pairs WHERE split = 'dev'"
+ORACLE["correlation_csv"] = f"""WITH {ZSCORES},
+numbered AS (SELECT *, row_number() OVER (ORDER BY {_CAND_KEYS}) - 1 AS row_index FROM z)
+SELECT row_index, {", ".join(f"round({s}, 6) AS {s}" for s in _SCORES)}, row_index // 10 AS sent_idx FROM numbered"""
+ORACLE["metric_log"] = f"""SELECT step, split, lang, direction, metric, score
+FROM ({ORACLE["eval_report"]}) AS report, (VALUES (1::BIGINT), (2)) AS s(step)"""
+ORACLE["streamed_sentences"] = ORACLE["sentences"]
+ORACLE["streamed_rewards"] = ORACLE["cycle_rewards"]
+
+
+def _rolled(n_forward: int, n_backward: int, every: int) -> str:
+    return f"""WITH {SENTENCES},
+forth AS (SELECT sent_id, sentence, CAST(k AS INTEGER) AS fwd_idx, {drop_words('sentence', '0', 5)} AS fwd_text
+  FROM sentences, range({n_forward}) AS r(k))
+SELECT sent_id, 'fr' AS lang, sentence, fwd_idx, fwd_text, CAST(j AS INTEGER) AS bwd_idx,
+  {drop_words('fwd_text', '0', every)} AS bwd_text FROM forth, range({n_backward}) AS r(j)"""
+
+
+ORACLE["sampled_rollouts"] = _rolled(2, 2, 5)
+ORACLE["greedy_rollouts"] = _rolled(1, 1, 7)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,10 @@ from echotrip.operators import (
 )
 from echotrip.operators.sentences import extract_sentences, first_sentences
 from echotrip.plans import correlation, hosted
-from echotrip.session import spread, stage
-from echotrip.sources import corpora
+from echotrip.session import shared_folder, spread, stage
+from echotrip.sources import corpora, results
 from echotrip.sources import languages as langs
+from echotrip.streaming import jobs
 from workload import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -659,3 +661,103 @@ def example_table(spark, sf):
         "original_english", "fwd_idx", "predicted_target", "bwd_idx", "final_predicted_english",
         *rounded("bleu", "chrf"),
     )
+
+
+# --- files, logs, streams and sampled rollouts --------------------------------------------------
+
+
+def _folder(spark, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def lang_csv(spark, sf):
+    """The dimension written as CSV for the languages of the data, then read back and counted."""
+    path = _folder(spark, "langs")
+    used = tables.read(spark, sf, "documents").select(F.col("lang").alias("code")).distinct()
+    tables.languages(spark).join(used, "code").select("code", "name").write.csv(path, header=True)
+    docs = tables.read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    named = langs.with_language_name(docs, langs.read_languages(spark, path))
+    return named.select(F.col("lang").alias("code"), F.col("lang_name").alias("name"), "n_docs")
+
+
+@query
+def parallel_folder(spark, sf):
+    """Files per language and split, read for three languages and one split, then matched."""
+    path = _folder(spark, "parallel")
+    tgt, eng = tables.parallel_files(spark, sf)
+    rows = tgt.unionByName(eng.withColumn("lang", F.lit("eng")))
+    rows.write.partitionBy("lang", "split").parquet(path)
+    left = corpora.read_parallel(spark, path, ["fr", "es", "de"], "dev")
+    return corpora.parallel_pairs(left, corpora.read_parallel(spark, path, ["eng"], "dev"))
+
+
+@query
+def correlation_csv(spark, sf):
+    """z-scores with a row number, written as CSV and read back; sentences by blocks of ten rows."""
+    keys = ["lang", "id", "fwd_idx"]
+    rows = numbering.index_rows(_zscores(spark, sf), keys)
+    rows = rows.select("row_index", *rounded(*correlation.SCORES), numbering.block_index(F.col("row_index")).alias("sent_idx"))
+    path = _folder(spark, "correlation")
+    results.write_correlation(rows, path)
+    return results.read_correlation(spark, path)
+
+
+@query
+def metric_log(spark, sf):
+    """The evaluation report appended for two steps and read back."""
+    report, path = stage(eval_report(spark, sf), "report"), _folder(spark, "metrics")
+    for step in (1, 2):
+        results.append_metrics(report, path, step)
+    return results.read_metrics(spark, path)
+
+
+@query
+def streamed_sentences(spark, sf):
+    """All documents as arriving files, taken by a stream that stops when it has seen them."""
+    path, out = _folder(spark, "arriving"), _folder(spark, "streamed")
+    tables.corpus(spark, sf).select("doc_id", "text").repartition(6, "doc_id").write.parquet(path)
+    jobs.stream_sentences(spark, path, out, _folder(spark, "offsets"), files_per_batch=2).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def streamed_rewards(spark, sf):
+    """Rollouts as arriving files, scored by a stream; forward rewards over what it stored."""
+    path, out = _folder(spark, "arriving"), _folder(spark, "streamed")
+    columns = ["sent_id", "sentence", "fwd_idx", "fwd_text", "bwd_idx", "bwd_text"]
+    tables.rollouts(spark, sf).select(*columns).repartition(4, "sent_id").write.parquet(path)
+    jobs.stream_rewards(spark, path, out, _folder(spark, "offsets"), files_per_batch=2).awaitTermination()
+    stored = spark.read.schema(jobs.REWARD_SCHEMA).parquet(out)
+    return stored.select("sent_id", "fwd_idx", "bwd_idx", *rounded("bleu", "chrf"))
+
+
+def dropper():
+    """Test translator: a sample lacks every fifth word, a greedy answer every seventh."""
+
+    def factory():
+        def translate(asked, seeds, options):
+            every = 5 if options["do_sample"] else 7
+            texts = [p.split("\n\n", 1)[1].split(": ", 1)[1].rsplit("\n", 1)[0].split() for p in asked]
+            return ["  " + " ".join(w for i, w in enumerate(t) if i % every) + "\nmore" for t in texts]
+
+        return translate
+
+    return factory
+
+
+def _rollout_input(spark, sf) -> DataFrame:
+    rows = tables.sentences(spark, sf).select("sent_id", "sentence", F.lit("fr").alias("lang"))
+    return langs.with_language_name(rows, tables.languages(spark))
+
+
+@query
+def sampled_rollouts(spark, sf):
+    """Two sampled candidates a sentence, two sampled back-translations each, through the rollout."""
+    return candidates.rollout(_rollout_input(spark, sf), dropper(), 2, 2)
+
+
+@query
+def greedy_rollouts(spark, sf):
+    """One sampled candidate a sentence with a greedy back-translation."""
+    return candidates.rollout(_rollout_input(spark, sf), dropper(), 1, greedy_backward=True)
