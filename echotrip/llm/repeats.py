@@ -5,20 +5,23 @@ earlier position, that is if it is not the smallest position of its bucket in th
 suffix array of the corpus would take several times its size in shuffles, so buckets are told by fingerprints and
 found from coarse to fine:
 
-1. Equal texts are folded into one; every copy is a repeat of the whole.
-2. Every start of ``length`` bytes has an anchor, the smallest hashed 32-byte piece among the first ``reach`` positions.
+1. Every start of ``length`` bytes has an anchor, the smallest hashed 32-byte piece among the first ``reach`` positions.
    Starts that share an anchor form a run (about two runs per ``reach`` bytes). Equal strings have
    equal anchors at equal places, and all strings of a run hold the core that begins at its anchor,
    so only runs whose core occurs twice can hold a repeat.
-3. Runs of equal extent and bytes repeat as a whole. Where runs of one core differ, one run of each kind is opened
-   and its starts are ranked by fingerprints of all their ``length`` bytes; the smallest position is the first occurrence.
+2. Runs of equal extent and bytes repeat as a whole. Where runs of one core differ, one run of each kind is opened into tiles
+   of ``tile`` starts at fixed distances from the anchor, and the same is asked of tiles: a core that all its strings hold, then the whole.
+3. Tiles that still differ are opened into single starts, ranked by fingerprints of all ``length`` bytes; the smallest position
+   of a rank is the first occurrence.
 
 ``keep="first"`` removes bytes that an earlier string covers; ``keep="none"`` removes all occurrences. Positions are ordered by
-document id, then byte. Fingerprints have 64 bits and are compared together with the core's 64.
+document id, then byte. Fingerprints have 64 bits and are compared together with those of the cores they lie in. Texts go through a shuffle
+only where a run is opened or a span is cut, as far as a bitmap of fixed size can tell.
 
-Defined results: null text is empty; texts shorter than ``length`` lose nothing; a row repeated with the same id and text is
-a copy like any other and each such row is returned; an empty table gives an empty result; null ids are kept and sort first.
-Cuts that split a character leave bytes that are not valid UTF-8: bytes are exact, ``cut_text`` drops the broken character.
+Defined results: null text is empty; texts shorter than ``length`` lose nothing; of rows of one id that share a text, none is earlier
+than another (they lose all with ``none`` and nothing to each other with ``first``), and each is returned; an empty table gives an empty
+result; null ids are kept and come first. Cuts that split a character leave bytes that are not valid UTF-8: bytes are
+exact, ``cut_text`` drops the broken character.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echotrip.llm import arrays
+from echotrip.llm.sift import with_likely
 from echotrip.session import stage
 
 PIECE = 32
@@ -43,6 +47,7 @@ POSITION_BITS = 31
 class Settings:
     length: int = 400
     reach: int = 192
+    tile: int = 16
 
     @property
     def core(self) -> int:
@@ -50,7 +55,9 @@ class Settings:
 
 
 RUNS = "id bigint, tag bigint, start int, extra int, lead int, core bigint, body bigint"
-WINDOWS = "core bigint, rank bigint, id bigint, tag bigint, start int"
+TILES = "id bigint, tag bigint, start int, extra int, core bigint, body bigint, ranks binary"
+# The order of positions as one number: id, then byte.
+PLACE = "cast(coalesce(id, -9223372036854775808) as decimal(38,0)) * 2147483648 + start"
 
 
 def _anchors(roll: arrays.Rolling, size: int, reach: int) -> np.ndarray:
@@ -106,74 +113,115 @@ def _runs(s: Settings):
     return run
 
 
-def _windows(s: Settings):
+def _tiles(s: Settings):
+    """Opened runs cut into tiles of starts whose distance from the anchor is t * tile to t * tile + tile - 1."""
+
+    def cut(roll: arrays.Rolling, kinds: pa.StructArray, shift: int):
+        start, extra, lead = (kinds.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "extra", "lead"))
+        anchor = start + lead
+        low, high = (lead - extra) // s.tile, lead // s.tile
+        counts = high - low + 1
+        run = np.repeat(np.arange(len(start)), counts)
+        at = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = np.maximum(start[run], anchor[run] - at * s.tile - (s.tile - 1))
+        last = np.minimum(start[run] + extra[run], anchor[run] - at * s.tile)
+        begin = anchor[run] - at * s.tile + shift
+        parent = kinds.field("core").to_numpy(zero_copy_only=False).view(np.uint64)[run]
+        core = arrays.mix(roll.of(begin, begin + s.length - s.tile + 1) ^ arrays.mix(parent + at.astype(np.uint64)))
+        body = roll.of(first + shift, last + shift + s.length) ^ arrays.mix((anchor[run] - first).astype(np.uint64))
+        sizes = last - first + 1
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        every = np.repeat(first + shift - ends[:-1], sizes) + np.arange(ends[-1])
+        ranks = roll.of(every, every + s.length)
+        return first, last - first, core, body, [ranks[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in arrays.pieces(batch.column("text")):
                 roll = arrays.Rolling(data)
                 for row in range(lo, hi):
-                    kinds = batch.column("kinds")[row].values
-                    begin = kinds.field("start").to_numpy().astype(np.int64)[: len(kinds)]
-                    counts = kinds.field("extra").to_numpy().astype(np.int64) + 1
-                    total = np.concatenate([[0], np.cumsum(counts)])
-                    starts = np.arange(total[-1]) + np.repeat(begin - total[:-1], counts)
-                    at = starts + offsets[row - lo]
-                    n = len(starts)
+                    first, extra, core, body, ranks = cut(roll, batch.column("kinds")[row].values, int(offsets[row - lo]))
+                    n = len(first)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.repeat(kinds.field("core").to_numpy(), counts)),
-                            pa.array(roll.of(at, at + s.length).view(np.int64)),
                             pa.array([batch.column("id")[row].as_py()] * n, pa.int64()),
                             pa.array([batch.column("tag")[row].as_py()] * n, pa.int64()),
-                            pa.array(starts.astype(np.int32)),
+                            pa.array(first.astype(np.int32)),
+                            pa.array(extra.astype(np.int32)),
+                            pa.array(core.view(np.int64)),
+                            pa.array(body.view(np.int64)),
+                            pa.array(ranks, pa.binary()),
                         ],
-                        names=["core", "rank", "id", "tag", "start"],
+                        names=["id", "tag", "start", "extra", "core", "body", "ranks"],
                     )
 
     return run
 
 
-def marked_spans(docs: DataFrame, keep: str, s: Settings) -> DataFrame:
-    """``docs`` (id, tag, text) -> id, tag, spans: begin and end of strings to remove, unmerged, one row per text that has any."""
-    sized = docs.select("id", "tag", F.xxhash64(F.lit(1), "text").alias("tag_2"), F.octet_length("text").alias("size"))
-    long = sized.where(f"size >= {s.length}")
-    class_of = long.groupBy("tag", "tag_2").agg(F.count("*").alias("copies"), F.min(F.struct("id")).alias("least"))
-    class_of = class_of.where("copies > 1").select("tag", "tag_2", F.col("least.id").alias("least"))
-    copies = stage(long.join(class_of, ["tag", "tag_2"]), "copies")
-    whole = copies if keep == "none" else copies.where("not id <=> least")
-    whole = whole.select("id", "tag", F.lit(0).alias("start"), F.col("size").alias("end")).distinct()
-
-    later = copies.where("not id <=> least").select("id", "tag").distinct()
-    one = docs.join(later, [docs.id.eqNullSafe(later.id), docs.tag == later.tag], "left_anti")
-    runs = stage(one.select("id", "tag", "text").mapInArrow(_runs(s), RUNS).distinct(), "runs")
-    cores = runs.groupBy("core").agg(F.count("*").alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi"))
-    cores = cores.where("n > 1").select("core", (F.col("lo") != F.col("hi")).alias("mixed"))
-    twice = stage(runs.join(cores, "core"), "twice")
-    place = F.struct("id", "tag", "start")
-    kinds = stage(twice.groupBy("core", "body", "mixed").agg(
-        F.count("*").alias("n"), F.min(place).alias("least"), F.first("extra").alias("extra")
-    ), "kinds")
-    many = kinds.where("n > 1").select("core", "body", F.col("least.id").alias("least_id"), F.col("least.start").alias("least_start"))
-    same = twice.join(many, ["core", "body"])
-    if keep == "first":
-        same = same.where("not (id <=> least_id and start = least_start)")
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The starts of opened tiles, one row each."""
+    for batch in batches:
+        counts = batch.column("extra").to_numpy().astype(np.int64) + 1
+        rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = batch.column("start").to_numpy().repeat(counts) + inside.astype(np.int32)
+        ranks = np.frombuffer(b"".join(batch.column("ranks").to_pylist()), np.int64)
+        taken = [batch.column(c).take(rows) for c in ("core", "id", "tag")]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array(start.astype(np.int32)), pa.array(ranks)], names=["core", "id", "tag", "start", "rank"])
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    """Rows whose core is not the only one of its kind."""
+    cores = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(cores.select("core"), "core", "left_semi")
+
+
+def _settle(rows: DataFrame, keep: str, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Spans of rows that repeat as a whole, and one row of each kind of the cores that have several."""
+    kinds = rows.groupBy("core", "body").agg(F.count("*").alias("n"), F.min(F.expr(PLACE)).alias("least"))
+    kinds = stage(kinds, "kinds")
+    several = kinds.groupBy("core").agg((F.count("*") > 1).alias("mixed"))
+    known = rows.join(kinds.join(several, "core"), ["core", "body"]).withColumn("later", F.expr(f"{PLACE} <> least"))
+    known = stage(known, "known")
+    same = known.where("n > 1" if keep == "none" else "later")
     same = same.select("id", "tag", "start", (F.col("start") + F.col("extra") + s.length).alias("end"))
+    return same, known.where("mixed and not later")
 
-    opened = kinds.where("mixed").select("least.id", "least.tag", F.struct("least.start", "extra", "core").alias("kind"))
-    opened = opened.groupBy("id", "tag").agg(F.collect_list("kind").alias("kinds"))
-    d = docs.alias("d").join(opened.alias("o"), F.expr("d.id <=> o.id and d.tag = o.tag"))
-    d = d.select("d.id", "d.tag", "d.text", "o.kinds")
-    windows = stage(d.mapInArrow(_windows(s), WINDOWS), "windows")
-    ranks = windows.groupBy("core", "rank").agg(F.min(place).alias("least"), F.max(place).alias("last"))
-    ranks = ranks.where("least <> last").select("core", "rank", F.col("least.id").alias("least_id"), F.col("least.start").alias("least_start"))
-    again = windows.join(ranks, ["core", "rank"])
+
+def marked_spans(docs: DataFrame, keep: str, s: Settings) -> DataFrame:
+    """``docs`` (id, tag, text) -> id, tag, spans: begin and end of strings to remove, unmerged, one row per text that has any."""
+    runs = stage(docs.select("id", "tag", "text").mapInArrow(_runs(s), RUNS), "runs")
+    same, opened = _settle(stage(_twice(runs), "twice"), keep, s)
+    # Repeated rows of one id and text open the same runs; once is enough.
+    kinds = opened.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "extra", "lead", "core")).alias("kinds"))
+    kinds = stage(kinds, "opened")
+    likely = with_likely(docs, kinds, ["id", "tag"]).where("likely").alias("d")
+    texts = likely.join(kinds.alias("o"), F.expr("d.id <=> o.id and d.tag = o.tag")).select("d.id", "d.tag", "d.text", "o.kinds")
+    tiles = stage(texts.mapInArrow(_tiles(s), TILES), "tiles")
+    tile_same, tile_opened = _settle(stage(_twice(tiles), "twice"), keep, s)
+    singles = tile_opened.select("core", "id", "tag", "start", "extra", "ranks")
+    singles = stage(singles.mapInArrow(_single, "core bigint, id bigint, tag bigint, start int, rank bigint"), "singles")
+    ranks = singles.groupBy("core", "rank").agg(F.count("*").alias("n"), F.min(F.expr(PLACE)).alias("least")).where("n > 1")
+    again = singles.join(ranks, ["core", "rank"])
     if keep == "first":
-        again = again.where("not (id <=> least_id and start = least_start)")
+        again = again.where(F.expr(f"{PLACE} <> least"))
     again = again.select("id", "tag", "start", (F.col("start") + s.length).alias("end"))
-    spans = whole.union(same).union(again)
+    spans = same.union(tile_same).union(again)
     return spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def _with_spans(docs: DataFrame, spans: DataFrame, tag: str, id_col: str) -> DataFrame:
+    """``docs`` with ``spans``; only texts that seem to have any are shuffled."""
+    keyed = docs.withColumn("__id", F.col(id_col).cast("bigint")).withColumn("__tag", F.col(tag))
+    wanted = spans.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    marked = with_likely(keyed, wanted, ["__id", "__tag"], "__likely")
+    d, w = marked.where("__likely").alias("d"), wanted.alias("w")
+    cut = d.join(w, F.expr("d.__id <=> w.__id and d.__tag = w.__tag"), "left")
+    cut = cut.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("w.__spans").alias("__spans"))
+    none = F.lit(None).cast(wanted.schema["__spans"].dataType).alias("__spans")
+    return cut.union(marked.where("not __likely").select(*[F.col(f"`{c}`") for c in docs.columns], none))
+
+
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by the given ranges."""
     order = np.argsort(begin, kind="stable")
@@ -236,8 +284,8 @@ def remove_repeats(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("tag"), "text")
     spans = stage(marked_spans(rows, keep, settings), "spans")
-    both = rows.alias("r").join(spans.alias("s"), F.expr("r.id <=> s.id and r.tag = s.tag"), "left")
-    both = both.select("r.id", "r.text", F.octet_length("r.text").cast("bigint").alias("n_bytes"), "s.spans")
+    both = _with_spans(rows, spans, "tag", "id")
+    both = both.select("id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"), F.col("__spans").alias("spans"))
     return both.mapInArrow(_cut, CUT).withColumnRenamed("id", id_col)
 
 
@@ -267,7 +315,5 @@ def cut_text(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
     spans = stage(marked_spans(rows.select("id", F.xxhash64("text").alias("tag"), "text"), keep, settings), "spans")
-    tagged = docs.withColumn("__tag", F.xxhash64(text)).alias("d")
-    same = (F.col(f"d.`{id_col}`").cast("bigint").eqNullSafe(F.col("s.id"))) & (F.col("d.__tag") == F.col("s.tag"))
-    both = tagged.join(spans.alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], "s.spans")
+    both = _with_spans(docs.withColumn("__text_tag", F.xxhash64(text)), spans, "__text_tag", id_col).drop("__text_tag")
     return both.mapInArrow(_replace(docs.columns.index(text_col)), docs.schema)
