@@ -71,19 +71,10 @@ def exploded_statistics(
     )
     if kind == "chars":
         squeezed = sides.select(*keys, "s.is_hyp", text.squeeze(F.col("s.t")).alias("t"))
-        # Long texts: substring walks from the start each time, so cut by symbol array instead.
-        windows = F.when(
-            F.length("t") <= 2000,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))),
-                lambda i: F.substring(F.col("t"), i, F.lit(orders)),
-            ),
-        ).otherwise(
-            F.transform(
-                _windows(F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)), orders),
-                lambda w: F.array_join(w, ""),
-            )
-        )
+        # Cut by an array of symbols: substring walks from the start each time. An empty text has one empty window.
+        symbols = F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0))
+        cut = F.transform(_windows(symbols, orders), lambda w: F.array_join(w, ""))
+        windows = F.when(F.length("t") > 0, cut).otherwise(F.array(F.lit("")))
         starts = squeezed.select(*keys, "is_hyp", F.explode(windows).alias("w"))
         size, gram = F.length("w"), lambda n: F.left("w", F.lit(n))
     else:
