@@ -43,7 +43,7 @@ class Settings:
     prior: float | None = None  # None: estimated from the labels
     steps: int = 400
     rate: float = 0.05
-    decay: float = 3e-3
+    decay: float = 3e-3  # at least; with few positives one over their number
     threshold: float = 0.3
 
 
@@ -123,6 +123,7 @@ def fit_risk(good: np.ndarray, unknown: np.ndarray, prior: float, s: Settings) -
     mean, scale = unknown.mean(axis=0), unknown.std(axis=0) + 1e-9
     shape = lambda x: np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
     p, u = shape(good), shape(unknown)
+    decay = max(s.decay, 1 / len(p))
     w = np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -133,7 +134,7 @@ def fit_risk(good: np.ndarray, unknown: np.ndarray, prior: float, s: Settings) -
         down = (u.T @ flat_u) / len(u) - prior * (p.T @ flat_p) / len(p)
         up = -prior * (p.T @ flat_p) / len(p)
         slope = up + down if negative >= 0 else -down
-        slope[:-1] += s.decay * w[:-1]
+        slope[:-1] += decay * w[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         rate = s.rate / (1 + 4 * t / s.steps)
