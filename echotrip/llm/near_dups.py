@@ -196,14 +196,14 @@ def _open(rows: DataFrame, label: DataFrame | None, key: str) -> DataFrame:
         return rows.withColumn("part", F.col("id"))
     named = rows.join(label, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
     mixed = named.groupBy(key).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    return stage(named.join(mixed.select(key), key, "left_semi"), "open")
+    return stage(named.join(stage(mixed.select(key), "mixed"), key, "left_semi"), "open")
 
 
 def _star_pairs(parts: DataFrame, key: str, rank: str, turn: int) -> DataFrame:
     """Every member of a key with the key's head: the one of least ``rank`` first, another in odd turns."""
     order = F.struct(F.expr(rank), "id") if turn % 2 == 0 else F.struct(F.xxhash64(F.lit(turn), "id"), "id")
     head = F.min(F.struct(order.alias("rank"), F.col("id").alias("head"), F.col("part").alias("head_part")))
-    heads = parts.groupBy(key).agg(head.alias("h")).select(key, "h.head", "h.head_part")
+    heads = stage(parts.groupBy(key).agg(head.alias("h")).select(key, "h.head", "h.head_part"), "heads")
     pairs = parts.join(heads, key).where("part <> head_part")
     return pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
@@ -255,14 +255,16 @@ def near_duplicates(
     made = stage(texts.mapInArrow(_cards("id", "text", s), CARD), "cards")
     light = made.select("id", "n_shingles", "digest_a", "digest_b")
     digest = ["n_shingles", "digest_a", "digest_b"]
-    least = light.where("n_shingles > 0").groupBy(*digest).agg(F.min("id").alias("rep"))
+    # Aggregated sides are staged before they are joined: adaptive execution can then split a common key's rows.
+    least = stage(light.where("n_shingles > 0").groupBy(*digest).agg(F.min("id").alias("rep")), "least")
     members = light.join(least, digest, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     members = stage(members, "members")
     reps = members.where("id = rep and n_shingles > 0").select("id").distinct()
     single = made.join(reps, "id", "left_semi")
     keyed = single.select("id", "n_shingles", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    banded = stage(keyed.join(shared.select("band"), "band", "left_semi"), "banded")
+    shared = stage(shared.select("band"), "shared")
+    banded = stage(keyed.join(shared, "band", "left_semi"), "banded")
     wanted = banded.select("id").distinct()
     cards = stage(made.select("id", "n_shingles", "signature").join(wanted, "id", "left_semi"), "wanted")
     sets = stage(texts.join(wanted, "id", "left_semi").mapInArrow(_sets("id", "text", s.words), SETS), "sets")

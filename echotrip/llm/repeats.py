@@ -172,16 +172,19 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _twice(rows: DataFrame) -> DataFrame:
     """Rows whose core is not the only one of its kind."""
-    cores = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(cores.select("core"), "core", "left_semi")
+    cores = stage(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
+    return rows.join(cores, "core", "left_semi")
 
 
 def _settle(rows: DataFrame, keep: str, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Spans of rows that repeat as a whole, and one row of each kind of the cores that have several."""
     kinds = rows.groupBy("core", "body").agg(F.count("*").alias("n"), F.min(F.expr(PLACE)).alias("least"))
     kinds = stage(kinds, "kinds")
-    several = kinds.groupBy("core").agg((F.count("*") > 1).alias("mixed"))
-    known = rows.join(kinds.join(several, "core"), ["core", "body"]).withColumn("later", F.expr(f"{PLACE} <> least"))
+    # What is staged joins as it is, and adaptive execution can split a common core's rows.
+    several = kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = stage(several.select("core", F.lit(True).alias("several")), "several")
+    named = stage(kinds.join(several, "core", "left").withColumn("mixed", F.coalesce("several", F.lit(False))), "named")
+    known = rows.join(named.drop("several"), ["core", "body"]).withColumn("later", F.expr(f"{PLACE} <> least"))
     known = stage(known, "known")
     same = known.where("n > 1" if keep == "none" else "later")
     same = same.select("id", "tag", "start", (F.col("start") + F.col("extra") + s.length).alias("end"))
@@ -202,6 +205,7 @@ def marked_spans(docs: DataFrame, keep: str, s: Settings) -> DataFrame:
     singles = tile_opened.select("core", "id", "tag", "start", "extra", "ranks")
     singles = stage(singles.mapInArrow(_single, "core bigint, id bigint, tag bigint, start int, rank bigint"), "singles")
     ranks = singles.groupBy("core", "rank").agg(F.count("*").alias("n"), F.min(F.expr(PLACE)).alias("least")).where("n > 1")
+    ranks = stage(ranks.drop("n"), "ranks")
     again = singles.join(ranks, ["core", "rank"])
     if keep == "first":
         again = again.where(F.expr(f"{PLACE} <> least"))
