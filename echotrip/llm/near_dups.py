@@ -209,7 +209,7 @@ def _star_pairs(parts: DataFrame, key: str, rank: str, turn: int) -> DataFrame:
 
 
 def _prefix(ids: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The rarest shingles of every text: id, n, shingle, place (from 1), rest (shingles from there on).
+    """The rarest shingles of every text: id, n, shingle, often (texts that hold it), place (from 1), rest (shingles from there on).
 
     With shingles ordered from rare to common, two sets that reach the threshold share one of the first
     n - ceil(threshold * n) + 1 of either.
@@ -219,7 +219,7 @@ def _prefix(ids: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     order = Window.partitionBy("id").orderBy("often", "shingle")
     ranked = rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
     prefix = ranked.where(F.expr(f"place <= n - (({s.percent} * n + 99) div 100) + 1 and often > 1"))
-    return prefix.select("id", "n", "shingle", "place", F.expr("n - place + 1").alias("rest"))
+    return prefix.select("id", "n", "shingle", "often", "place", F.expr("n - place + 1").alias("rest"))
 
 
 def _prefix_pairs(parts: DataFrame, s: Settings) -> DataFrame:
@@ -227,11 +227,12 @@ def _prefix_pairs(parts: DataFrame, s: Settings) -> DataFrame:
 
     Two texts share at most what follows, in either, from the first shingle they share. That bounds their similarity, and
     a text that cannot even reach the one with the fewest rarer shingles is left out before anything is paired. Of shingles that
-    the same texts share, the first stands for all. Nothing is lost, and what thousands share makes few pairs.
+    the same texts share, the first in the order of places stands for all. Nothing is lost, and what thousands share makes few pairs.
     """
     sign = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
-    mixed = parts.groupBy("shingle").agg(sign.alias("sign"), F.count("*").alias("size"), (F.min("place") - 1).alias("fewest"))
-    first = F.min(F.struct("shingle", "fewest")).alias("first")
+    held = [sign.alias("sign"), F.count("*").alias("size"), (F.min("place") - 1).alias("fewest"), F.min("often").alias("often")]
+    mixed = parts.groupBy("shingle").agg(*held)
+    first = F.min(F.struct("often", "shingle", "fewest")).alias("first")
     mixed = mixed.groupBy("sign", "size").agg(first).select("first.shingle", "first.fewest")
     left = parts.join(mixed, "shingle").where(f"100 * rest >= {s.percent} * (n + fewest)")
     left = stage(left.select("id", "part", "n", "rest", "shingle"), "left")

@@ -73,6 +73,24 @@ def test_near_duplicates(spark):
     assert all(r.kept == (i == expected[i]) for i, r in got.items())
 
 
+def test_last_round_alone_finds_all_links(spark):
+    # One word is one shingle. Of each family, a and b share 90 of 100 words, each of which other, longer texts hold outside their rarest ones.
+    bags = []
+    for k in range(12):
+        word = lambda kind, n: [f"{kind}{k}x{i}" for i in range(n)]  # noqa: B023, E731
+        few, some, many = word("few", 8), word("some", 8), word("many", 74)
+        bags += [word("a", 10) + few + some + many, word("b", 10) + few + some + many]
+        for x, shared in (("p", few + some + many), ("q", some + many), ("r", many)):
+            bags += [word(x, 200) + shared, word(x, 199) + shared]
+    ids = range(len(bags))
+    sets = [set(bag) for bag in bags]
+    links = [(i, j) for i in ids for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert len(links) == 48
+    docs = spark.createDataFrame([(i, " ".join(bag)) for i, bag in enumerate(bags)], "doc_id bigint, text string")
+    got = near_dups.near_duplicates(docs, settings=near_dups.Settings(words=1, star_rounds=0)).collect()
+    assert {r.doc_id: r.component_id for r in got} == reachable(ids, links)
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_dups.near_duplicates(none).collect() == []
