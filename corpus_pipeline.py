@@ -20,9 +20,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows without an id stay."""
-    kept = near_dups.near_duplicates(docs).where("kept").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, of rows of one id the one that is compared; rows without an id stay."""
+    single = near_dups.one_per_id(docs)
+    kept = near_dups.near_duplicates(single).where("kept").select("doc_id")
+    named = single.join(kept, "doc_id", "left_semi")
     return named.select(*docs.columns).union(docs.where("doc_id is null"))
 
 

@@ -242,17 +242,33 @@ def _prefix_pairs(parts: DataFrame, s: Settings) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
+def one_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row per id: the least text, nulls last, then the least of the other columns, which must have an order.
+
+    Rows without an id go. Only ids that occur twice are grouped; their minima are taken before rows move.
+    """
+    rows = docs.where(F.col(id_col).isNotNull())
+    twice = stage(rows.groupBy(id_col).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col), "twice")
+    if twice.isEmpty():
+        return rows
+    rest = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    order = F.struct(F.col(text_col).isNull().alias("__last"), F.col(text_col), *rest)
+    folded = rows.join(twice, id_col, "left_semi").groupBy(id_col).agg(F.min(order).alias("__row"))
+    folded = folded.select(*[F.col(id_col) if c == id_col else F.col("__row")[c].alias(c) for c in docs.columns])
+    return rows.join(twice, id_col, "left_anti").select(*docs.columns).union(stage(folded, "folded"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id that links reach), kept.
+    """One row per id: id, n_shingles, component_id (smallest id that links reach), kept.
 
     Bands of a group of copies hold many members; they only meet map-side minima and joins on the band,
     which adaptive execution splits.
     """
     s = settings
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.where("id is not null")
+    texts = one_per_id(texts, "id", "text")
     made = stage(texts.mapInArrow(_cards("id", "text", s), CARD), "cards")
     light = made.select("id", "n_shingles", "digest_a", "digest_b")
     digest = ["n_shingles", "digest_a", "digest_b"]

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from echotrip.llm import near_dups, repeats, vector_dups
 from echotrip.llm.graph import components
 
@@ -91,6 +92,18 @@ def test_last_round_alone_finds_all_links(spark):
     assert {r.doc_id: r.component_id for r in got} == reachable(ids, links)
 
 
+def test_rows_of_one_id_count_once(spark):
+    words = lambda kind, n: " ".join(f"{kind}{i}" for i in range(n))
+    rows = [(1, words("m", 40), "x"), (2, words("m", 40), "x"), (2, words("a", 30), "x"), (2, None, "x"), (3, words("a", 30), "x")]
+    rows += [(4, None, "x"), (4, None, "w"), (5, words("b", 9), "z"), (5, words("b", 9), "y"), (6, words("m", 40), "x"), (None, "n", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = sorted(tuple(r) for r in near_dups.near_duplicates(docs).collect())
+    assert got == [(1, 36, 1, True), (2, 26, 2, True), (3, 26, 2, False), (4, 0, 4, True), (5, 5, 5, True), (6, 36, 1, False)]
+    stays = [(1, words("m", 40), "x"), (2, words("a", 30), "x"), (4, None, "w"), (5, words("b", 9), "y"), (None, "n", "x")]
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted(stays, key=str)
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_dups.near_duplicates(none).collect() == []
