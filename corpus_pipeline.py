@@ -34,7 +34,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say: target shares of four languages, none of which shrinks."""
-    return mixing.repeat(docs, mixing.mix(docs, docs, MIX_WEIGHTS, lossless=True))
+    return mixing.repeat(docs, mixing.mix(docs, docs, MIX_WEIGHTS, lossless=True, keyed=True))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

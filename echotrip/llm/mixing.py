@@ -6,9 +6,10 @@ gradient descent on the squared misses, each relative to the domain's tokens, fr
 lengths are staged once; a step is one aggregation of a few sums per domain, and rates are an expression over the steps so far,
 so nothing about a document ever leaves the executors. Everything is DataFrame functions and Spark ML.
 
-Rates are expected numbers of copies; ``repeat`` turns them into whole copies by a hash of the id.
+Rates are expected numbers of copies; ``repeat`` turns them into whole copies by a hash of the id, or of the text where there is no id.
 
-Defined results: null and empty texts have no tokens and the posterior of an empty text; repeated rows have a rate each; domains without any
+Defined results: null and empty texts have no tokens and the posterior of an empty text; repeated rows have a rate each; rows without an
+id are mixed as all others; domains without any
 expected tokens cannot be filled and are left out; without labels, or with one domain, all posteriors are equal; an empty table gives an empty result.
 """
 
@@ -99,8 +100,9 @@ def mix(
     text_col: str = "text",
     domain_col: str = "lang",
     settings: Settings = Settings(),
+    keyed: bool = False,
 ) -> DataFrame:
-    """One row per document: id, n_tokens, posterior (by the order of ``weights``), rate.
+    """One row per document: id, n_tokens, posterior (by the order of ``weights``), rate; if ``keyed``, also text_key, a hash of the text.
 
     ``labelled`` holds texts and their domains; the documents' own domain column is never looked at. ``total`` is the wanted number
     of expected tokens (default: as many as there are); ``lossless`` raises it, at the same shares, until no document's rate is
@@ -110,7 +112,7 @@ def mix(
     share = [weights[d] / sum(weights.values()) for d in domains]
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__body"))
     named = labelled.select(F.col(text_col).cast("string").alias("__body"), F.col(domain_col).alias("__named"))
-    held = posteriors(rows, named, domains, "__body", "__named", s).select("__id", "__n", "__p")
+    held = posteriors(rows, named, domains, "__body", "__named", s).select("__id", *[text_key("__body").alias("__key")] * keyed, "__n", "__p")
     held = stage(held, "posteriors")
     sums = held.agg(*[F.coalesce(F.sum(F.col("__n") * F.col("__p")[k]), F.lit(0.0)) for k in range(len(domains))]).first()
     if total is None:
@@ -119,15 +121,28 @@ def mix(
     if lossless:
         least = fitted.where("__n > 0").agg(F.min("__rate")).first()[0] or 1.0
         fitted = fitted.withColumn("__rate", F.col("__rate") / least)
-    return fitted.select(
-        F.col("__id").alias(id_col), F.col("__n").cast("bigint").alias("n_tokens"), F.col("__p").alias("posterior"), F.col("__rate").alias("rate")
-    )
+    shown = [F.col("__id").alias(id_col), F.col("__n").cast("bigint").alias("n_tokens"), F.col("__p").alias("posterior"), F.col("__rate").alias("rate")]
+    return fitted.select(*shown, *[F.col("__key").alias("text_key")] * keyed)
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def repeat(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with every row as often as its rate says: the whole part, and once more with the chance of the rest."""
-    rates = rates.groupBy(id_col).agg(F.min("rate").alias("__rate"))
-    draw = F.pmod(F.xxhash64(F.lit(29), id_col), F.lit(1 << 24)) / float(1 << 24)
+def repeat(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every row as often as its rate says: the whole part, and once more with the chance of the rest.
+
+    Null ids meet null ids. With keyed ``rates``, rows of one id and different texts, and rows without an id, have each their own rate;
+    else the least of their id's.
+    """
+    keys = {"__id": F.col(id_col)} | ({"__key": F.col("text_key")} if "text_key" in rates.columns else {})
+    rates = rates.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.min("rate").alias("__rate"))
+    docs, columns = docs.withColumn("__text_key", text_key(text_col)), docs.columns
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    if "__key" in keys:
+        same &= F.col("__text_key") == F.col("__key")
+    drawn = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(29), "__text_key")).otherwise(F.xxhash64(F.lit(29), id_col))
+    draw = F.pmod(drawn, F.lit(1 << 24)) / float(1 << 24)
     copies = F.floor(F.col("__rate") + draw).cast("int")
-    joined = docs.join(rates, id_col).withColumn("__copies", copies)
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    joined = docs.join(rates, same).withColumn("__copies", copies)
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*columns)

@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from echotrip.llm import arrays, host_rules, mixing, perspectives, pieces, quality, token_counts, url_filter
 from echotrip.llm.queries import URL_RULES
 
@@ -227,6 +228,21 @@ def test_mixing_of_odd_rows(spark):
     assert np.allclose(np.array([r["__rate"] for r in fitted]) @ held, [5, 60], rtol=0.35) and min(r["__rate"] for r in fitted) == 0.0
 
 
+def test_mixing_keeps_rows_without_an_id(spark):
+    rows = [(1, "one two", "en"), (None, "the cat sat", "en"), (None, "die katze sass hier", "de"), (None, None, "en"), (2, "ein hund", "de"), (2, "a dog", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    left = [tuple(r) for r in corpus_pipeline.mix_languages(spark, docs, "").collect()]
+    assert set(left) == set(rows)
+    rates = mixing.mix(docs, docs, {"en": 1.0, "de": 1.0}, keyed=True).select("doc_id", "text_key")
+    held = docs.select("doc_id", mixing.text_key("text").alias("text_key"), "text", "lang")
+    wanted = held.select("doc_id", "text_key", F.when(F.col("lang") == "de", 3.0).otherwise(2.0).alias("rate"))
+    assert sorted(rates.collect(), key=str) == sorted(wanted.select(*rates.columns).collect(), key=str)
+    times = Counter(tuple(r) for r in mixing.repeat(docs, wanted).collect())
+    assert times == {r: 3 if r[2] == "de" else 2 for r in rows}
+    plain = mixing.repeat(docs, wanted.drop("text_key")).collect()
+    assert Counter(r.doc_id for r in plain) == {1: 2, 2: 4, None: 6}
+
+
 def by_hand(turns, block):
     """(conv, speaker, block) -> text, mask, start."""
     out = {}
