@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrip.llm import host_rules, mixing, near_dups, perspectives, pieces, quality, repeats, token_counts, url_filter, vector_dups
-
+from echotrip.llm import clusters, host_rules, mixing, near_dups, packing, perspectives, pieces, quality, repeats, token_counts, url_filter
+from echotrip.llm import vector_codes, vector_dups
+from echotrip.llm.dictionaries import total_as_long
+from echotrip.session import stage
 
 # The rules of the pages query.
 URL_RULES = [
@@ -93,6 +95,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, docs, MIX_WEIGHTS)
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distances and the digest of the centroid of every embedding of 64 components."""
+    rows = clusters.described(clusters.cluster_vectors(table(spark, sf_dir, "embeddings")))
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding, the errors of its label, and the digest of the codebooks."""
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    labels = codes.coded.groupBy("label").agg(total_as_long("error").alias("label_error"))
+    labels = stage(labels, "labels").alias("l")
+    books = codes.table().groupBy("width").agg(F.sort_array(F.collect_list(F.struct("part", "entry", "components"))).alias("book"))
+    joined = F.array_join(F.flatten(F.col("book.components")), ",")
+    digests = books.select("width", F.sha2(joined, 256).alias("codebooks_sha256"))
+    rows = codes.coded.alias("c").join(labels, F.expr("c.label <=> l.label"))
+    rows = rows.join(F.broadcast(digests), "width")  # one row per width
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens, with the checksum of their ids."""
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": op1_quality_pu,
     "op2_minhash": op2_minhash,
@@ -104,4 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_vector_dups": op9_vector_dups,
     "op10_mixing": op10_mixing,
+    "op11_clusters": op11_clusters,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_packing": op13_packing,
 }

@@ -112,10 +112,62 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM least LEFT JOIN counts USING (vec_id)
 """
 
+FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+# Truncating division as floor division.
+FLOOR_MEAN = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _rounds(n: int, parts: str) -> str:
+    """Entries ``c0`` to ``c{n}`` and the assignments ``near0`` to ``near{n}`` to them; ``parts`` are columns that cells and entries share."""
+    out = ""
+    for r in range(n + 1):
+        out += f""",
+dist{r} AS MATERIALIZED (
+  SELECT rid, {parts}k, CAST(sum((a.x - c.x) * (a.x - c.x)) AS BIGINT) AS s FROM cells a JOIN c{r} c USING ({parts}d) GROUP BY ALL),
+near{r} AS MATERIALIZED (SELECT * FROM dist{r} QUALIFY row_number() OVER (PARTITION BY {parts}rid ORDER BY s, k) = 1)"""
+        if r < n:
+            out += f""",
+c{r + 1} AS MATERIALIZED (
+  SELECT {parts}k, d, CASE WHEN n IS NULL THEN x ELSE {FLOOR_MEAN} END AS x FROM c{r}
+  LEFT JOIN (SELECT {parts}k, d, sum(x) AS s, count(*) AS n FROM cells JOIN near{r} USING ({parts}rid) GROUP BY ALL) USING ({parts}k, d))"""
+    return out
+
+
+CLUSTERS = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND {FINITE}),
+cells AS MATERIALIZED (SELECT rid, unnest(range(64)) AS d, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (
+  SELECT k, unnest(range(64)) AS d, unnest(v) AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v FROM kept) WHERE k < 8){_rounds(10, "")},
+digests AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c10 GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, s AS distance, CAST(sum(s) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(s) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near10 JOIN kept USING (rid) JOIN digests USING (k)
+"""
+
+VECTOR_CODES = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND {FINITE}),
+flat AS (SELECT rid, unnest(range(len(v))) AS i, len(v) // 8 AS size, unnest(v) AS x FROM kept),
+cells AS MATERIALIZED (SELECT rid, i // size AS p, i % size AS d, x FROM flat),
+c0 AS MATERIALIZED (
+  SELECT p, k, d, x FROM cells JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept) USING (rid)
+  WHERE k < 16){_rounds(6, "p, ")},
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, d)) AS codebooks_sha256 FROM c6),
+coded AS (SELECT rid, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, CAST(sum(s) AS BIGINT) AS error FROM near6 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (rid) JOIN digest ON true
+"""
+
 ORACLE: dict[str, str] = {
     "op2_minhash": NEAR_DUPS,
     "op4_repeats": REPEATS,
     "op5_perspectives": PERSPECTIVES,
     "op6_host_rules": HOST_RULES,
     "op9_vector_dups": VECTOR_DUPS,
+    "op11_clusters": CLUSTERS,
+    "op12_vector_codes": VECTOR_CODES,
 }

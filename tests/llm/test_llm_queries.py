@@ -22,7 +22,7 @@ def test_query(spark, name):
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in check_oracle.entry.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in check_oracle.entry.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in check_oracle.entry.queries()
 
 
 def test_pipeline(spark, tmp_path):
