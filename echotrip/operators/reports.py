@@ -40,17 +40,20 @@ def preview(df: DataFrame, by: list[str], order: list[str], n: int = 5) -> DataF
 
 def first_sentence_ids(sentences: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     """``(sent_id, example_idx)`` of the first ``n`` sentences by ``order``."""
-    first = sentences.select("sent_id", *order).distinct().orderBy(*order, "sent_id").limit(n)
-    rank = F.row_number().over(Window.orderBy(*order, "sent_id")) - 1  # over n rows
+    order = [c for c in order if c != "sent_id"] + ["sent_id"]
+    first = sentences.select(*order).distinct().orderBy(*order).limit(n)
+    rank = F.row_number().over(Window.orderBy(*order)) - 1  # over n rows
     return first.select("sent_id", rank.alias("example_idx"))
 
 
-def example_table(rollouts: DataFrame, rewards: DataFrame, shown: DataFrame) -> DataFrame:
+def example_table(rollouts: DataFrame, rewards: DataFrame, shown: DataFrame | list[str]) -> DataFrame:
     """All candidates of the ``shown`` sentences (sent_id, example_idx) with their first back-translation.
 
-    ``rewards`` holds the forward rewards (sent_id, fwd_idx, bleu, chrf); only those of shown sentences
-    are needed, so score only these.
+    ``shown`` may also be the columns that order the sentences; then the first five are shown. ``rewards`` holds the
+    forward rewards (sent_id, fwd_idx, bleu, chrf); only those of shown sentences are needed, so score only these.
     """
+    if not isinstance(shown, DataFrame):
+        shown = first_sentence_ids(rollouts, shown)
     first = rollouts.where(F.col("bwd_idx") == 0).join(shown, "sent_id")
     return rewards.join(first, ["sent_id", "fwd_idx"]).select(
         F.col("sentence").alias("original_english"),

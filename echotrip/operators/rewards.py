@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echotrip.functions import exact
 from echotrip.operators.metrics import score_pairs
 
 # Floor of the group deviation, and the metrics a training reward has.
@@ -30,31 +31,29 @@ def pair_with_source(back: DataFrame, sentences: DataFrame) -> DataFrame:
 def forward_rewards(
     rewards: DataFrame, keys: tuple[str, ...] = ("sent_id", "fwd_idx"), how: str = "mean"
 ) -> DataFrame:
-    """Reward of a forward candidate: mean (or sum) over its back-translations."""
-    fold = {"mean": F.avg, "sum": F.sum}[how]
-    return rewards.groupBy(*keys).agg(*[fold(m).alias(m) for m in REWARD_METRICS])
-
-
-def _moments(value: str) -> list[tuple[str, Column]]:
-    return [
-        (f"_{value}_mean", F.avg(value)),
-        (f"_{value}_std", F.stddev_samp(value)),
-        (f"_{value}_min", F.min(value)),
-        (f"_{value}_max", F.max(value)),
-    ]
+    """Reward of a forward candidate: mean (or sum) over its back-translations, the same in any order of rows."""
+    fold = {"mean": exact.mean, "sum": exact.total}[how]
+    sums = rewards.groupBy(*keys).agg(*[x for m in REWARD_METRICS for x in exact.sums(m, f"_{m}")])
+    return sums.select(*keys, *[fold(f"_{m}").alias(m) for m in REWARD_METRICS])
 
 
 def with_group_moments(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Add count, mean, sample deviation, min and max of each value within its group.
 
     One way for groups of every size: moments come from an aggregation with map-side combine and go back by a
-    join on the keys, whose large partitions adaptive execution splits; no window gathers a group. Null
+    join on the keys, whose large partitions adaptive execution splits; no window gathers a group. Moments are
+    formed from whole numbers, so they are the same bits in any order of rows. Null
     keys are a group. Reads ``df`` twice, so stage it if it is expensive.
     """
-    aggregates = [("_n", F.count("*"))] + [m for v in values for m in _moments(v)]
-    moments = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(*[a.alias(n) for n, a in aggregates])
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return df.join(moments, same).select(*df.columns, *[n for n, _ in aggregates])
+    names = {k: f"_key_{k}" for k in keys}
+    sums = df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(
+        F.count("*").alias("_n"), *[x for v in values for x in exact.sums(v, f"_{v}")]
+    )
+    made = [c for v in values for c in (exact.mean(f"_{v}").alias(f"_{v}_mean"), exact.deviation(f"_{v}").alias(f"_{v}_std"))]
+    ends = [f"_{v}_{end}" for v in values for end in ("min", "max")]
+    moments = sums.select(*names.values(), "_n", *made, *ends)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return df.join(moments, same).select(*df.columns, "_n", *[f"_{v}_{x}" for v in values for x in ("mean", "std", "min", "max")])
 
 
 def _standardised(value: str, constant: Column, spread: Column) -> Column:

@@ -10,11 +10,17 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, the context's checkpoint folder, else
-    a folder in the warehouse. None is invented and no setting is changed."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local session uses a folder in its warehouse; on a cluster that may be a disk of one machine, so
+    there it is an error. No setting is changed.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(spark.conf.get('spark.sql.warehouse.dir', None) or 'spark-warehouse').rstrip('/')}/_staged"
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
