@@ -13,14 +13,14 @@ STD_FLOOR = 1e-8
 REWARD_METRICS = {"bleu": "bleu", "chrf": "chrf++"}
 
 
-def cycle_rewards(rollouts: DataFrame) -> DataFrame:
+def cycle_rewards(rollouts: DataFrame, *keep: str) -> DataFrame:
     """Score every back-translation against its own sentence, where the row lies.
 
     ``rollouts`` is the long table with ``sentence`` and ``bwd_text``; texts are dropped from the
     result, which later steps read several times.
     """
     scored = score_pairs(rollouts, REWARD_METRICS, "bwd_text", "sentence")
-    return scored.select("sent_id", "fwd_idx", "bwd_idx", *REWARD_METRICS)
+    return scored.select("sent_id", "fwd_idx", "bwd_idx", *REWARD_METRICS, *keep)
 
 
 def pair_with_source(back: DataFrame, sentences: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrip.functions import text
-from echotrip.operators.head import prefix_bound
+from echotrip.operators.head import cut_rows, prefix_bound
 
 # Words a sentence needs, and the word bound standing in for 128 tokens.
 MIN_WORDS = 5
@@ -77,4 +77,4 @@ def first_sentences(corpus: DataFrame, n: int, **extract) -> DataFrame:
             corpus = head
             break
         wanted *= 4
-    return extract_sentences(corpus, **extract).orderBy("doc_id", "pos").limit(n)
+    return cut_rows(extract_sentences(corpus, **extract), ["doc_id", "pos"], n)
