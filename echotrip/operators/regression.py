@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrip.functions.student import two_sided_p
+from echotrip.functions.student import LOG_2_PI, NORMAL_95, normal_p, two_sided_p
 from echotrip.session import stage
 
 # Fixed values: (round-trip column, gold column) per metric, and the random-slope column.
@@ -49,16 +48,8 @@ def linear_regression(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -
 
 
 def with_p_value(regression: DataFrame) -> DataFrame:
-    """Add the two-sided p-value to regression results (one row per fit, not per data row)."""
-
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-        usable = t.notna() & (n > 2)
-        return pd.Series(
-            [two_sided_p(a, b - 2) if ok else None for a, b, ok in zip(t, n, usable)], dtype="float64"
-        )
-
-    return regression.withColumn("p", p_value("t", "n"))
+    """Add the two-sided p-value to regression results."""
+    return regression.withColumn("p", F.when(F.col("n") > 2, two_sided_p(F.col("t"), F.col("n") - 2)))
 
 
 def fit_line(
@@ -235,3 +226,39 @@ def mixed_model(
         F.col("n_rows").cast("bigint").alias("n_rows"),
         "n_groups",
     )
+
+
+def mixed_summary(fits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Significance of a ``mixed_model`` table: one row per fit and coefficient.
+
+    coefficient (intercept, slope), estimate, se, z, p (two-sided, normal), low and high (95 %), and the fit's REML log_likelihood,
+    n_rows and n_groups. Without residual degrees of freedom all are NULL but the counts.
+    """
+    freedom = F.col("n_rows") - 2
+    likelihood = -(F.col("criterion") + freedom * (1 + LOG_2_PI)) / 2
+    both = F.array(*[F.struct(F.lit(c).alias("coefficient"), F.col(c).alias("estimate"), F.col(f"{c}_se").alias("se")) for c in ("intercept", "slope")])
+    rows = fits.select(*by, F.inline(both), likelihood.alias("log_likelihood"), "n_rows", "n_groups")
+    rows = rows.withColumn("z", F.try_divide("estimate", "se"))
+    return rows.select(
+        *by, "coefficient", "estimate", "se", "z", normal_p(F.col("z")).alias("p"),
+        (F.col("estimate") - NORMAL_95 * F.col("se")).alias("low"), (F.col("estimate") + NORMAL_95 * F.col("se")).alias("high"),
+        "log_likelihood", "n_rows", "n_groups",
+    )
+
+
+def predicted_slopes(
+    df: DataFrame, fits: DataFrame, x: str, y: str, z: str = SLOPE_COLUMN, group: str = "sent_idx", by: tuple[str, ...] = ()
+) -> DataFrame:
+    """The random slope of every group as its fit predicts it, from the group's own sums: by, group, n, predicted (deviation from 0
+    of the slope of ``z``), and its share of shrinkage (0: all the way to 0, 1: none)."""
+    sums = _group_sums(df, x, y, z, [*by, group])
+    wanted = fits.select(*[F.col(c).alias(f"_{c}") for c in by], "intercept", "slope", "lam")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or [F.lit(True)]
+    joined = sums.join(F.broadcast(wanted), same) if not by else sums.join(wanted, same)
+    residual = F.expr("szy - intercept * sz - slope * szx")
+    scale = 1 + F.col("lam") * F.col("szz")
+    return joined.select(
+        *by, group, F.col("n").cast("bigint").alias("n"),
+        (F.col("lam") * residual / scale).alias("predicted"),
+        (F.col("lam") * F.col("szz") / scale).alias("kept_share"),
+    )

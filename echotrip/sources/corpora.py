@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echotrip.functions.text import replace_nbsp
 from echotrip.operators.head import first_rows
+from echotrip.session import stage
 
 CORPUS_SCHEMA = "doc_id BIGINT, text STRING"
 PARALLEL_SCHEMA = "id BIGINT, text STRING"
@@ -16,19 +17,51 @@ def read_corpus(
     spark: SparkSession,
     path: str,
     fmt: str = "parquet",
-    id_col: str = "doc_id",
+    id_col: str | None = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``(doc_id, text)`` of a corpus; ``doc_id`` carries the stream order.
 
-    Only the two columns are read. ``fmt`` is any Spark file format whose rows have both fields.
+    Only the two columns are read. ``fmt`` is any Spark file format whose rows have both fields. With ``id_col=None`` the
+    records are numbered in the order in which a reader of the files, by path, meets them (see ``numbered_records``); for ``fmt="text"``
+    a record is a line.
     """
     reader = spark.read.format(fmt)
     if fmt == "json":  # no inference pass over the corpus
-        reader = reader.schema(f"`{id_col}` BIGINT, `{text_col}` STRING")
-    return reader.load(path).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
-    )
+        fields = [f"`{text_col}` STRING"] if id_col is None else [f"`{id_col}` BIGINT", f"`{text_col}` STRING"]
+        reader = reader.schema(", ".join(fields))
+    rows = reader.load(path)
+    if fmt == "text":
+        rows = rows.withColumnRenamed("value", text_col)
+    if id_col is None:
+        return numbered_records(rows, text_col, fmt)
+    return rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def numbered_records(rows: DataFrame, text_col: str, fmt: str) -> DataFrame:
+    """``(doc_id, text)`` of a file scan, ``doc_id`` counting from 0 over the files by path and the records in them.
+
+    No sort and no exchange of texts: a record's number in its file is known where it is read, and the number of records before a
+    file is one small row per file (or per piece of a file that one task reads). Parquet files know the row; of other
+    formats the pieces depend on how Spark cuts files for the cores at hand, so the rows are written once with their place in the piece, and
+    the numbers that follow are the same for every way of cutting.
+    """
+    text, file = F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("_file")
+    if fmt == "parquet":
+        placed = rows.select(text, file, F.lit(0).cast("bigint").alias("_block"), F.col("_metadata.row_index").alias("_row"))
+        counts = placed.groupBy("_file", "_block").agg(F.count("*").alias("_count"), F.lit(0).cast("bigint").alias("_first"))
+    else:
+        block = F.col("_metadata.file_block_start").alias("_block")
+        placed = stage(rows.select(text, file, block, F.monotonically_increasing_id().alias("_row")), "records")
+        counts = placed.groupBy("_file", "_block").agg(F.count("*").alias("_count"), F.min("_row").alias("_first"))
+    counts = stage(counts, "pieces")
+    inside = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    files = counts.groupBy("_file").agg(F.sum("_count").alias("_count"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one short row per file
+    files = files.select("_file", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_files_before"))
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_count").over(inside), F.lit(0))).join(files, "_file")
+    offsets = offsets.select("_file", "_block", (F.col("_files_before") + F.col("_before") - F.col("_first")).alias("_offset"))
+    return placed.join(offsets, ["_file", "_block"]).select((F.col("_row") + F.col("_offset")).alias("doc_id"), "text")
 
 
 def source_split(split: str | Column, style: str = "parallel") -> Column:

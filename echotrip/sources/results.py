@@ -34,9 +34,10 @@ def read_correlation(spark: SparkSession, path: str) -> DataFrame:
 def append_metrics(
     report: DataFrame, path: str, step: int, split: str | None = None
 ) -> None:
-    """Append a long report to the metric log, keyed by step.
+    """Write a long report to the metric log, keyed by step and split.
 
-    Missing key columns (split, lang, direction) are written as NULL.
+    Missing key columns (split, lang, direction) are written as NULL. The log is partitioned by step and split, and a call replaces just
+    the partitions it has rows for: a step that is written again, also after a failure, leaves one set of rows.
     """
     log = report.withColumn("step", F.lit(step).cast("bigint"))
     if split is not None:
@@ -45,11 +46,13 @@ def append_metrics(
         name, kind = field.split()
         value = F.col(name) if name in log.columns else F.lit(None)
         log = log.withColumn(name, value.cast(kind))
-    log.select(*[f.split()[0] for f in METRIC_SCHEMA.split(", ")]).write.mode("append").parquet(path)
+    writer = log.select(*[f.split()[0] for f in METRIC_SCHEMA.split(", ")]).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("step", "split").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRIC_SCHEMA).parquet(path)
+    rows = spark.read.schema(METRIC_SCHEMA).parquet(path)
+    return rows.select(*[f.split()[0] for f in METRIC_SCHEMA.split(", ")])
 
 
 def nested_report(report: DataFrame) -> DataFrame:

@@ -140,3 +140,39 @@ def test_metric_log(spark, tmp_path):
     assert log.count() == 4 and log.where("step = 50 AND lang IS NULL AND split = 'train'").count() == 2
     nested = json.loads(results.nested_report(report).first().report)
     assert nested == {"forward": {"bleu": 1.5}, "backward": {"chrf": 2.5}}
+
+
+@pytest.mark.parametrize("fmt", ["json", "text", "parquet"])
+def test_records_are_numbered_in_the_order_of_the_files(spark, tmp_path, fmt):
+    texts = [f"record {i} " + "x" * (i * 37 % 200) for i in range(400)]
+    for k, (lo, hi) in enumerate(((0, 150), (150, 151), (151, 151), (151, 400))):
+        part = spark.createDataFrame([(t,) for t in texts[lo:hi]], "text string").coalesce(1)
+        part.write.format(fmt).save(str(tmp_path / f"{k}"))
+    paths = str(tmp_path / "*")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = []
+    try:
+        for size in ("128m", "3k", "700"):  # other cuts of the files, the same numbers
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = corpora.read_corpus(spark, paths, fmt, id_col=None)
+            assert rows.columns == ["doc_id", "text"]
+            got.append(sorted(map(tuple, rows.collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1] == got[2] == list(enumerate(texts))
+    few = corpora.read_corpus(spark, paths, fmt, id_col=None)
+    assert sentences.first_sentences(few.withColumn("text", F.concat(F.lit("Here is a whole sentence with "), "text")), 3).count() == 3
+
+
+def test_a_step_written_twice_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    report = spark.createDataFrame([("de", "forward", "bleu", 1.0), ("de", "forward", "chrf++", 2.0)], "lang string, direction string, metric string, score double")
+    results.append_metrics(report, path, 1)
+    results.append_metrics(report, path, 1, split="dev")
+    results.append_metrics(report, path, 2, split="dev")
+    results.append_metrics(report.withColumn("score", F.col("score") + 10), path, 1, split="dev")
+    got = sorted(((r.step, r.split, r.metric, r.score) for r in results.read_metrics(spark, path).collect()), key=str)
+    assert got == sorted(
+        [(s, p, m, v + more) for s, p, more in ((1, None, 0), (1, "dev", 10), (2, "dev", 0)) for m, v in (("bleu", 1.0), ("chrf++", 2.0))], key=str
+    )
+    assert results.read_metrics(spark, path).columns == ["step", "split", "lang", "direction", "metric", "score"]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echotrip.functions.student import two_sided_p
+from echotrip.functions import student
 from echotrip.operators import policy, regression, rewards
 
 SCHEMA = "sent_id string, fwd_idx int, bwd_idx int, bleu double, chrf double"
@@ -117,13 +117,72 @@ def test_regression_against_numpy(spark):
     assert np.allclose([r.y for r in line], slope * np.linspace(x.min(), x.max(), 200) + intercept)
 
 
-def test_student_t_known_values():
-    # Table values of the two-sided 5% and 1% points, and exact cases for 1 and 2 degrees.
-    for t, freedom, p in ((2.228139, 10, 0.05), (3.169273, 10, 0.01), (1.983972, 100, 0.05), (1.0, 1, 0.5)):
-        assert two_sided_p(t, freedom) == pytest.approx(p, abs=1e-6)
-    assert two_sided_p(0.0, 7) == 1.0
-    assert two_sided_p(2.0, 2) == pytest.approx(1 - 2 / math.sqrt(6), abs=1e-12)
-    assert two_sided_p(40.0, 1000) == pytest.approx(7.5e-211, rel=1)
+def p_values(spark, pairs):
+    df = spark.createDataFrame([(i, t, float(n)) for i, (t, n) in enumerate(pairs)], "i int, t double, n double")
+    rows = df.select("i", student.two_sided_p(F.col("t"), F.col("n")).alias("p"), student.normal_p(F.col("t")).alias("z")).orderBy("i").collect()
+    return [r.p for r in rows], [r.z for r in rows]
+
+
+def test_student_t_known_values(spark):
+    # Table values of the two-sided 5% and 1% points, exact cases for 1 and 2 degrees, and the ends.
+    known = [(2.228139, 10, 0.05), (3.169273, 10, 0.01), (1.983972, 100, 0.05), (1.0, 1, 0.5), (0.0, 7, 1.0), (-1.0, 1, 0.5)]
+    got, _ = p_values(spark, [k[:2] for k in known])
+    assert got == pytest.approx([k[2] for k in known], abs=1e-6)
+    got, _ = p_values(spark, [(2.0, 2), (40.0, 1000), (float("inf"), 5), (1e200, 5), (1e-200, 5), (3.0, 0.5)])
+    assert got[0] == pytest.approx(1 - 2 / math.sqrt(6), abs=1e-12) and got[1] == pytest.approx(7.5e-211, rel=1)
+    assert got[2:] == [0.0, 0.0, 1.0, None]
+    rows = spark.createDataFrame([(None, 3.0), (1.0, None)], "t double, n double")
+    assert [r[0] for r in rows.select(student.two_sided_p(F.col("t"), F.col("n"))).collect()] == [None, None]
+
+
+def test_t_probability_is_the_integral_of_its_density(spark):
+    pairs = [(t, n) for n in (1, 3, 8, 41, 300, 4000) for t in (0.05, 0.7, 1.6, 1.75, 2.5, 6.0)]
+    got, _ = p_values(spark, pairs)
+    for (t, n), p in zip(pairs, got):
+        u = np.linspace(0, t, 20_001)
+        front = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+        assert p == pytest.approx(1 - 2 * np.trapezoid(front * (1 + u * u / n) ** (-(n + 1) / 2), u), abs=1e-8)
+
+
+def test_p_value_needs_no_python_worker(spark, plan):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 2.5)], "x double, y double")
+    assert "Python" not in plan(regression.with_p_value(regression.linear_regression(df.repartition(2), "x", "y")).drop("x")).replace("Scan ExistingRDD", "")
+
+
+def test_normal_probability(spark):
+    zs = [0.0, 1e-8, 0.3, -1.2, 1.959963984540054, 2.4999, 2.5, 2.6, 5.0, -9.0, 37.0]
+    _, got = p_values(spark, [(z, 5) for z in zs])
+    assert got == pytest.approx([math.erfc(abs(z) / math.sqrt(2)) for z in zs], rel=1e-10)
+
+
+def test_mixed_summary_and_predicted_slopes(spark):
+    rng = np.random.default_rng(12)
+    slopes = rng.normal(0, 2, 25)
+    rows = [(g, float(x), float(1 + 0.5 * x + slopes[g] * z + rng.normal()), float(z)) for g in range(25) for x, z in rng.normal(size=(12, 2))]
+    df = spark.createDataFrame(rows, "sent_idx long, x double, y double, z double")
+    fits = regression.mixed_model(df, "x", "y", "z")
+    fit = fits.first()
+    table = {r.coefficient: r for r in regression.mixed_summary(fits).collect()}
+    for name in ("intercept", "slope"):
+        r = table[name]
+        assert (r.estimate, r.se) == (fit[name], fit[f"{name}_se"]) and r.z == pytest.approx(r.estimate / r.se)
+        assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-9, abs=1e-300) and r.n_groups == 25
+        assert (r.low, r.high) == pytest.approx((r.estimate - 1.959963984540054 * r.se, r.estimate + 1.959963984540054 * r.se))
+    # The REML likelihood from whole covariance matrices.
+    x = np.array([[1, r[1]] for r in rows])
+    y, z, g = (np.array([r[i] for r in rows]) for i in (2, 3, 0))
+    v = fit.sigma2 * (np.eye(len(y)) + fit.lam * (g[:, None] == g) * np.outer(z, z))
+    inverse = np.linalg.inv(v)
+    inner = x.T @ inverse @ x
+    beta = np.linalg.solve(inner, x.T @ inverse @ y)
+    rest = y - x @ beta
+    # The constant of the design's own size is left out, as usual.
+    whole = -(np.linalg.slogdet(v)[1] + np.linalg.slogdet(inner)[1] + rest @ inverse @ rest + (len(y) - 2) * math.log(2 * math.pi)) / 2
+    assert table["slope"].log_likelihood == pytest.approx(whole, rel=1e-9)
+    got = {r.sent_idx: r for r in regression.predicted_slopes(df, fits, "x", "y", "z").collect()}
+    predicted = fit.lam * fit.sigma2 * np.array([z[g == k] @ (inverse @ rest)[g == k] for k in range(25)])
+    assert [got[k].predicted for k in range(25)] == pytest.approx(predicted.tolist(), rel=1e-8)
+    assert np.corrcoef(predicted, slopes)[0, 1] > 0.9 and all(0 < r.kept_share < 1 and r.n == 12 for r in got.values())
 
 
 def test_regression_of_too_few_rows(spark):
@@ -192,10 +251,12 @@ def test_mixed_model_has_no_largest_ratio(spark):
     assert regression.mixed_model(df.where("false"), "x", "y", "x", by=("name",)).collect() == []
 
 
-def test_p_value_with_many_rows():
-    for freedom in (1e2, 1e4, 1e6, 1e8, 1e10, 1e12):
-        assert two_sided_p(0.01, freedom) == pytest.approx(math.erfc(0.01 / math.sqrt(2)), abs=3e-3 / freedom + 1e-9)
-    assert two_sided_p(0.0, 5) == pytest.approx(1.0)
+def test_p_value_with_many_rows(spark):
+    freedoms = (1e2, 1e4, 1e6, 1e8, 1e10, 1e12)
+    for t in (0.01, 1.8, 4.0):
+        got, _ = p_values(spark, [(t, n) for n in freedoms])
+        for p, freedom in zip(got, freedoms):
+            assert p == pytest.approx(math.erfc(t / math.sqrt(2)), abs=3 / freedom + 1e-9)
 
 
 def test_finite_filter_is_cumulative(spark):

@@ -497,6 +497,21 @@ fit AS (SELECT metric, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(
   FROM usable GROUP BY metric)
 SELECT metric, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(r2, 6) AS r2,
   round(se, 6) AS stderr, round(slope / se, 6) AS t FROM fit"""
+ORACLE["roundtrip_p_value"] = f"""WITH RECURSIVE {ZSCORES},
+fit AS (SELECT metric, count(*) AS n, regr_slope(y, x) / sqrt((1 - corr(y, x) * corr(y, x)) * regr_syy(y, x) / regr_sxx(y, x) / (count(*) - 2))
+  AS t, (count(*) - 2) / 2 AS a FROM usable GROUP BY metric),
+args AS MATERIALIZED (SELECT *, 2 * a / (2 * a + t * t) AS u, 2 * a / (2 * a + t * t) < (a + 1) / (a + 2.5) AS low FROM fit),
+sides AS MATERIALIZED (SELECT *, CASE WHEN low THEN a ELSE 0.5 END AS p, CASE WHEN low THEN 0.5 ELSE a END AS q,
+  CASE WHEN low THEN u ELSE 1 - u END AS v FROM args),
+lentz AS (
+  SELECT metric, p, q, v, 2 AS k, 1.0::DOUBLE AS c, 1 / (1 - (p + q) * v / (p + 1)) AS d, 1 / (1 - (p + q) * v / (p + 1)) AS value FROM sides
+  UNION ALL
+  SELECT metric, p, q, v, k + 1, 1 + e / c, 1 / (1 + e * d), value * (1 + e / c) / (1 + e * d)
+  FROM (SELECT *, CASE WHEN k % 2 = 0 THEN (k // 2) * (q - k // 2) * v / ((p + k - 1) * (p + k))
+    ELSE -(p + k // 2) * (p + q + k // 2) * v / ((p + k - 1) * (p + k)) END AS e FROM lentz WHERE k < 300)),
+ends AS (SELECT s.*, value, exp(lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + a * ln(u) + 0.5 * ln(1 - u)) AS front
+  FROM lentz JOIN sides s USING (metric) WHERE k = 300)
+SELECT metric, n, round(t, 6) AS t, round(CASE WHEN low THEN front * value / a ELSE 1 - front * value / 0.5 END, 9) AS p FROM ends"""
 ORACLE["fit_line"] = f"""WITH {ZSCORES},
 fit AS (SELECT metric, min(x) AS lo, max(x) AS hi, regr_slope(y, x) AS s, regr_intercept(y, x) AS c
   FROM usable GROUP BY metric),
@@ -539,6 +554,22 @@ groups AS (SELECT metric, lang, id, {_SUMS} FROM usable GROUP BY ALL), {_reml('m
 SELECT metric, CAST(n_rows AS BIGINT) AS n_rows, n_groups, round(intercept, 5) AS intercept, round(slope, 5) AS slope,
   round(sqrt(sigma2 * a22 / det), 5) AS intercept_se, round(sqrt(sigma2 * a11 / det), 5) AS slope_se,
   round(sigma2, 5) AS sigma2, round(lam * sigma2, 3) AS slope_variance, round(lam, 3) AS lam FROM level_4"""
+ORACLE["mixed_summary"] = f"""WITH {ZSCORES},
+groups AS (SELECT metric, lang, id, {_SUMS} FROM usable GROUP BY ALL), {_reml('metric')},
+rows AS (SELECT metric, CAST(n_rows AS BIGINT) AS n_rows, n_groups, unnest(['intercept', 'slope']) AS coefficient,
+  unnest([intercept, slope]) AS estimate, unnest([sqrt(sigma2 * a22 / det), sqrt(sigma2 * a11 / det)]) AS se,
+  -((n_rows - 2) * ln(sigma2) + logdet + ln(det) + (n_rows - 2) * (1 + ln(2 * pi()))) / 2 AS log_likelihood FROM level_4),
+middle AS (SELECT metric, coefficient, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * exp(-0.5 * (estimate / se * i / 4000) ** 2)) * abs(estimate / se) / 4000 / 3 / sqrt(2 * pi()) AS half
+  FROM rows, range(4001) AS r(i) GROUP BY metric, coefficient, estimate, se)
+SELECT metric, coefficient, round(estimate, 5) AS estimate, round(se, 5) AS se, round(estimate / se, 3) AS z,
+  round(estimate - 1.959963984540054 * se, 3) AS low, round(estimate + 1.959963984540054 * se, 3) AS high, round(1 - 2 * half, 3) AS p,
+  round(log_likelihood, 3) AS log_likelihood, n_rows, n_groups FROM rows JOIN middle USING (metric, coefficient)"""
+ORACLE["predicted_slopes"] = f"""WITH {ZSCORES},
+groups AS (SELECT metric, lang, id, {_SUMS} FROM usable GROUP BY ALL), {_reml('metric')}
+SELECT metric, lang || ':' || id AS sent_idx, CAST(n AS BIGINT) AS n,
+  round(lam * (szy - intercept * sz - slope * szx) / (1 + lam * szz), 3) AS predicted, round(lam * szz / (1 + lam * szz), 3) AS kept_share
+FROM groups JOIN level_4 USING (metric)"""
 ORACLE["mixed_slope_strong"] = f"""WITH {ZSCORES},
 steep AS (SELECT lang, id, roundtrip_bleu AS x, roundtrip_chrf AS z,
     0.5 * roundtrip_bleu + 0.1 * bleu + (id * 37 % 41 - 20) * roundtrip_chrf AS y
@@ -627,6 +658,15 @@ ORACLE["metric_log"] = f"""SELECT step, split, lang, direction, metric, score
 FROM ({ORACLE["eval_report"]}) AS report, (VALUES (1::BIGINT), (2)) AS s(step)"""
 ORACLE["streamed_sentences"] = ORACLE["sentences"]
 ORACLE["streamed_rewards"] = ORACLE["cycle_rewards"]
+ORACLE["streamed_first_n"] = ORACLE["sentences_first_n"]
+ORACLE["streamed_advantages"] = f"""WITH {REWARDS},
+means AS (SELECT sent_id, fwd_idx, CAST(NULL AS INTEGER) AS bwd_idx, round(avg(bleu), 9) AS bleu, round(avg(chrf), 9) AS chrf
+  FROM rewards GROUP BY ALL)
+SELECT 'backward' AS direction, * FROM ({_advantages("rewards", _ROLLOUT_KEYS, "sent_id, fwd_idx")})
+UNION ALL SELECT 'forward', * FROM ({_advantages("means", _ROLLOUT_KEYS, "sent_id")})"""
+ORACLE["corpus_order"] = """SELECT fmt, row_number() OVER (PARTITION BY fmt ORDER BY doc_id) - 1 AS doc_id,
+  CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM documents, (VALUES ('json'), ('parquet')) AS f(fmt)"""
+ORACLE["first_texts"] = """SELECT doc_id, lang, md5(text) AS digest FROM documents ORDER BY digest NULLS FIRST, doc_id LIMIT 100"""
 
 
 def _rolled(n_forward: int, n_backward: int, every: int) -> str:

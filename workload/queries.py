@@ -20,6 +20,7 @@ from echotrip.operators import (
     rewards,
     transcripts,
 )
+from echotrip.operators.head import first_rows
 from echotrip.operators.sentences import extract_sentences, first_sentences
 from echotrip.plans import correlation, hosted
 from echotrip.session import shared_folder, spread, stage
@@ -475,7 +476,7 @@ def roundtrip_regression(spark, sf):
 @query
 def roundtrip_p_value(spark, sf):
     fits = regression.with_p_value(_per_metric(spark, sf, regression.linear_regression))
-    return fits.select("metric", "n", "t", "p")
+    return fits.select("metric", "n", *rounded("t"), *rounded("p", digits=9))
 
 
 @query
@@ -484,13 +485,17 @@ def fit_line(spark, sf):
     return line.select("metric", "i", *rounded("x", "y"))
 
 
-@query
-def mixed_slope(spark, sf):
+def _mixed_fits(spark, sf) -> DataFrame:
     def fit(rows: DataFrame, x: str, y: str) -> DataFrame:
         grouped = rows.withColumn("sent_idx", F.concat_ws(":", "lang", "id"))
         return regression.mixed_model(grouped, x, y)
 
-    fits = _per_metric(spark, sf, fit)
+    return _per_metric(spark, sf, fit)
+
+
+@query
+def mixed_slope(spark, sf):
+    fits = _mixed_fits(spark, sf)
     return fits.select(
         "metric", "n_rows", "n_groups",
         *rounded("intercept", "slope", "intercept_se", "slope_se", "sigma2", digits=5),
@@ -705,9 +710,9 @@ def correlation_csv(spark, sf):
 
 @query
 def metric_log(spark, sf):
-    """The evaluation report appended for two steps and read back."""
+    """The evaluation report written for two steps, one of them twice, and read back."""
     report, path = stage(eval_report(spark, sf), "report"), _folder(spark, "metrics")
-    for step in (1, 2):
+    for step in (1, 2, 1):
         results.append_metrics(report, path, step)
     return results.read_metrics(spark, path)
 
@@ -732,6 +737,75 @@ def streamed_rewards(spark, sf):
     return stored.select("sent_id", "fwd_idx", "bwd_idx", *rounded("bleu", "chrf"))
 
 
+@query
+def streamed_advantages(spark, sf):
+    """Rollouts as arriving files with siblings scattered over them; a stream holds each group until it is whole."""
+    path, out = _folder(spark, "arriving"), _folder(spark, "streamed")
+    columns = ["sent_id", "sentence", "fwd_idx", "fwd_text", "bwd_idx", "bwd_text"]
+    tables.rollouts(spark, sf).select(*columns).repartition(4, "fwd_idx", "bwd_idx").write.parquet(path)
+    counts = (tables.N_FORWARD, tables.N_BACKWARD)
+    jobs.stream_advantages(spark, path, out, _folder(spark, "offsets"), *counts, files_per_batch=2, digits=6).awaitTermination()
+    backward, forward = jobs.latest_advantages(spark, out)
+    rows = backward.withColumn("direction", F.lit("backward")).unionByName(
+        forward.withColumns({"direction": F.lit("forward"), "bwd_idx": F.lit(None).cast("int")})
+    )
+    return _advantage_columns(rows, "direction", "sent_id", "fwd_idx", "bwd_idx")
+
+
+@query
+def streamed_first_n(spark, sf):
+    """Documents as files that arrive in the order of their ids; the stream ends with the sentence that is wanted last."""
+    path, docs = _folder(spark, "arriving"), tables.corpus(spark, sf).select("doc_id", "text")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    edges = [low + (high + 1 - low) * k // 4 for k in range(5)]
+    for begin, end in zip(edges, edges[1:]):  # one after the other, as files arrive
+        docs.where((F.col("doc_id") >= begin) & (F.col("doc_id") < end)).coalesce(1).write.mode("append").parquet(path)
+    rows = jobs.stream_first_sentences(spark, path, FIRST_N, _folder(spark, "streamed"), _folder(spark, "offsets"), files_per_batch=1)
+    return rows.drop("batch")
+
+
+@query
+def corpus_order(spark, sf):
+    """Files of documents without an id, as JSON lines and as parquet: records numbered in the files' order."""
+    docs = tables.read(spark, sf, "documents").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select("text")
+    out = []
+    for fmt in ("json", "parquet"):
+        path = _folder(spark, "records")
+        docs.write.option("ignoreNullFields", "false").format(fmt).save(path)
+        out.append(corpora.read_corpus(spark, path, fmt, id_col=None).withColumn("fmt", F.lit(fmt)))
+    rows = out[0].unionByName(out[1])
+    return rows.select("fmt", "doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def first_texts(spark, sf):
+    """The first documents by their text and id, keys that only have an order."""
+    rows = tables.read(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("digest"))
+    return first_rows(rows, ["digest", "doc_id"], 100)
+
+
+@query
+def mixed_summary(spark, sf):
+    """Estimates of the mixed model with z, p, interval and log-likelihood."""
+    rows = regression.mixed_summary(_mixed_fits(spark, sf), by=("metric",))
+    return rows.select(
+        "metric", "coefficient", *rounded("estimate", "se", digits=5), *rounded("z", "low", "high", "p", "log_likelihood", digits=3), "n_rows", "n_groups"
+    )
+
+
+@query
+def predicted_slopes(spark, sf):
+    """The random slope that the mixed model predicts for every sentence."""
+    table = stage(_zscores(spark, sf), "zscores")
+    out = []
+    for m, (x, y) in regression.PAIRS.items():
+        rows = regression.finite_rows(table, m).withColumn("sent_idx", F.concat_ws(":", "lang", "id"))
+        slopes = regression.predicted_slopes(rows, regression.mixed_model(rows, x, y), x, y)
+        out.append(slopes.withColumn("metric", F.lit(m)))
+    rows = out[0].unionByName(out[1])
+    return rows.select("metric", "sent_idx", "n", *rounded("predicted", "kept_share", digits=3))
+
+
 def dropper():
     """Test translator: a sample lacks every fifth word, a greedy answer every seventh."""
 
