@@ -41,6 +41,7 @@ from echotrip.session import stage
 
 PIECE = 32
 POSITION_BITS = 31
+CHUNK = 512 << 10  # bytes a task looks at together; longer texts are looked at in windows
 
 
 @dataclass(frozen=True)
@@ -73,11 +74,25 @@ def _anchors(roll: arrays.Rolling, size: int, reach: int) -> np.ndarray:
     return (least & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
 
 
+def _windows(column: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place in its text, bytes, offsets) of runs of short texts, and of windows of long ones.
+
+    A window holds every string that starts in its first ``CHUNK`` bytes; windows begin at the same places in equal texts.
+    """
+    for lo, _, data, offsets in arrays.pieces(column, CHUNK):
+        if len(data) <= 2 * CHUNK:
+            yield lo, 0, data, offsets
+            continue
+        for at in range(0, len(data), CHUNK):
+            part = data[at : at + CHUNK + s.length - 1]
+            yield lo, at, part, np.array([0, len(part)])
+
+
 def _runs(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column("id"), batch.column("tag")
-            for lo, hi, data, offsets in arrays.pieces(batch.column("text")):
+            for lo, place, data, offsets in _windows(batch.column("text"), s):
                 sizes = np.diff(offsets)
                 long = np.flatnonzero(sizes >= s.length)
                 if not len(long):
@@ -101,7 +116,7 @@ def _runs(s: Settings):
                     [
                         ids.take(rows),
                         tags.take(rows),
-                        pa.array((i0 - offsets[owner]).astype(np.int32)),
+                        pa.array((i0 - offsets[owner] + place).astype(np.int32)),
                         pa.array((i1 - i0).astype(np.int32)),
                         pa.array((a - i0).astype(np.int32)),
                         pa.array(roll.of(a, a + s.core).view(np.int64)),
@@ -135,12 +150,25 @@ def _tiles(s: Settings):
         ranks = roll.of(every, every + s.length)
         return first, last - first, core, body, [ranks[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
+    def opened(batch: pa.RecordBatch):
+        """Row, hashes, opened runs and where their text begins; of a long text window by window."""
+        for lo, hi, data, offsets in arrays.pieces(batch.column("text"), CHUNK):
+            if len(data) <= 2 * CHUNK:
+                roll = arrays.Rolling(data)
+                yield from ((row, roll, batch.column("kinds")[row].values, int(offsets[row - lo])) for row in range(lo, hi))
+                continue
+            kinds = batch.column("kinds")[lo].values
+            start = kinds.field("start").to_numpy(zero_copy_only=False)
+            for at in range(0, len(data), CHUNK):
+                here = pa.array(np.flatnonzero((start >= at) & (start < at + CHUNK)))
+                if len(here):
+                    yield lo, arrays.Rolling(data[at : at + CHUNK + 2 * s.length]), kinds.take(here), -at
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in arrays.pieces(batch.column("text")):
-                roll = arrays.Rolling(data)
-                for row in range(lo, hi):
-                    first, extra, core, body, ranks = cut(roll, batch.column("kinds")[row].values, int(offsets[row - lo]))
+            for row, roll, kinds, shift in opened(batch):
+                if len(kinds):
+                    first, extra, core, body, ranks = cut(roll, kinds, shift)
                     n = len(first)
                     yield pa.RecordBatch.from_arrays(
                         [
