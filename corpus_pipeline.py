@@ -12,6 +12,10 @@ from echotrip.llm.queries import MIX_WEIGHTS, held_out, table
 from echotrip.session import stage
 
 
+# Passages of over 50 words: about the shortest 50 words of the given texts, in bytes.
+PASSAGES = repeats.Settings(length=240, reach=112, tile=8)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     labels = table(spark, sf_dir, "labels").where(~held_out())
@@ -28,8 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of strings of 400 bytes; the first copy stays."""
-    return repeats.cut_text(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    """Texts without later copies of passages of some 50 words; the first copy stays."""
+    return repeats.cut_text(docs, settings=PASSAGES).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
