@@ -2,7 +2,10 @@
 
 A classifier learnt from a labelled table gives every document a posterior over domains. Its tokens count towards each domain in that
 proportion, and nonnegative document rates are fitted so that the expected tokens of each domain match their targets: projected
-gradient descent on the squared misses, each relative to the domain's tokens, from rate 1 for every document. The posteriors and
+gradient descent on the squared misses, each relative to the domain's tokens, from rate 1 for every document. Where domains overlap plain
+steps are slow, so a step is scaled by the Gram matrix of the domains over the documents that are free to move (a few numbers per
+pair of domains); parts of it and plain steps are tried in the same aggregation, and the best is taken. Steps end when all targets are met, or when
+none makes progress any more because the targets cannot be met; the misses that remain come with the result. The posteriors and
 lengths are staged once; a step is one aggregation of a few sums per domain, and rates are an expression over the steps so far,
 so nothing about a document ever leaves the executors. Everything is DataFrame functions and Spark ML.
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
@@ -33,9 +37,9 @@ class Settings:
     sample: int = 3_000  # labelled documents to learn from, about, drawn by a hash of the text
     learner_steps: int = 50
     penalty: float = 1e-5
-    steps: int = 40
     tolerance: float = 1e-9  # of the largest relative miss
-    restage: int = 10  # steps after which rates are written and read again
+    progress: float = 1e-2  # share by which the squared misses fall in two steps, at least, or the targets cannot be met
+    restage: int = 5  # steps after which rates are written and read again
 
 
 def words(text: Column) -> Column:
@@ -70,24 +74,57 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], text_co
     return fitted.transform(features.transform(rows)).withColumn("__p", padded).drop("__words", "__counts", "__features", "__probability")
 
 
-def fit_rates(held: DataFrame, targets: list[float], s: Settings = Settings()) -> DataFrame:
-    """``held`` has __n and __p; adds __rate. ``targets`` are the wanted expected tokens of each domain."""
+def fit_rates(held: DataFrame, targets: list[float], s: Settings = Settings()) -> tuple[DataFrame, list[float]]:
+    """``held`` has __n and __p; adds __rate. ``targets`` are the wanted expected tokens of each domain. Also the misses
+    that remain, each relative to the domain's tokens (0 for a domain without any)."""
     count = len(targets)
-    expected = lambda rate: [F.coalesce(F.sum(F.col("__n") * F.col("__p")[k] * rate), F.lit(0.0)).alias(f"t{k}") for k in range(count)]
-    first = held.agg(*expected(F.lit(1.0))).first()
-    totals, now = list(first), list(first)
+    pairs = [(k, m) for k in range(count) for m in range(k, count)]
+    p = [F.col("__p")[k] for k in range(count)]
+
+    def look(held: DataFrame, rates: list[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each rate, in one aggregation: expected tokens, and the Gram matrix over the rows whose rate is above 0."""
+        named = held.withColumns({f"__r{i}": rate for i, rate in enumerate(rates)})
+        sums = []
+        for i in range(len(rates)):
+            r = F.col(f"__r{i}")
+            free = F.when(r > 0, F.col("__n")).otherwise(0.0)
+            sums += [F.sum(F.col("__n") * p[k] * r) for k in range(count)] + [F.sum(free * p[k] * p[m]) for k, m in pairs]
+        row = list(named.agg(*[F.coalesce(x, F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(sums)]).first()) if sums else []
+        out = []
+        for _ in rates:
+            gram = np.zeros((count, count))
+            for (k, m), x in zip(pairs, row[count:]):
+                gram[k, m] = gram[m, k] = x
+            out.append((np.array(row[:count]), gram))
+            row = row[count + len(pairs) :]
+        return out
+
+    def moved(rate: Column, by: np.ndarray) -> Column:
+        slope = sum((p[k] * F.lit(float(by[k])) for k in range(count)), F.lit(0.0))
+        return F.greatest(F.lit(0.0), rate - slope)
+
+    def misses(now: np.ndarray) -> np.ndarray:
+        return np.array([(now[k] - targets[k]) / totals[k] if totals[k] > 0 else 0.0 for k in range(count)])
+
     rate = F.lit(1.0)
-    for step in range(s.steps):
-        misses = [(now[k] - targets[k]) / totals[k] if totals[k] > 0 else 0.0 for k in range(count)]
-        if max(map(abs, misses), default=0.0) <= s.tolerance:
+    totals, gram = look(held, [rate])[0]
+    miss = misses(totals)
+    history = [float(miss @ miss)]
+    while count and np.abs(miss).max() > s.tolerance:
+        scaled = np.linalg.lstsq(gram, miss * totals, rcond=1e-12)[0]
+        tried = [moved(rate, by) for by in (scaled, scaled / 4, scaled / 16, scaled / 64, miss, 8 * miss)]
+        found = [(misses(now), there) for now, there in look(held, tried)]
+        best = min(range(len(found)), key=lambda i: float(found[i][0] @ found[i][0]))
+        if not found[best][0] @ found[best][0] < history[-1]:
+            break
+        rate, (miss, gram) = tried[best], found[best]
+        history.append(float(miss @ miss))
+        if len(history) > 2 and history[-1] > (1 - s.progress) * history[-3]:
             break
-        slope = sum((F.col("__p")[k] * F.lit(misses[k]) for k in range(count)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - slope)
-        if (step + 1) % s.restage == 0:
+        if len(history) % s.restage == 0:
             held = stage(held.withColumn("__rate", rate), "rates")
             rate = F.col("__rate")
-        now = list(held.agg(*expected(rate)).first())
-    return held.withColumn("__rate", rate)
+    return held.withColumn("__rate", rate), [float(x) for x in miss]
 
 
 def mix(
@@ -102,7 +139,8 @@ def mix(
     settings: Settings = Settings(),
     keyed: bool = False,
 ) -> DataFrame:
-    """One row per document: id, n_tokens, posterior (by the order of ``weights``), rate; if ``keyed``, also text_key, a hash of the text.
+    """One row per document: id, n_tokens, posterior (by the order of ``weights``), rate, miss (what remains of each domain's miss, relative
+    to its tokens; the same in every row); if ``keyed``, also text_key, a hash of the text.
 
     ``labelled`` holds texts and their domains; the documents' own domain column is never looked at. ``total`` is the wanted number
     of expected tokens (default: as many as there are); ``lossless`` raises it, at the same shares, until no document's rate is
@@ -117,11 +155,12 @@ def mix(
     sums = held.agg(*[F.coalesce(F.sum(F.col("__n") * F.col("__p")[k]), F.lit(0.0)) for k in range(len(domains))]).first()
     if total is None:
         total = max((x / w for x, w in zip(sums, share) if w > 0), default=0.0) if lossless else sum(sums)
-    fitted = fit_rates(held, [total * w for w in share], s)
+    fitted, miss = fit_rates(held, [total * w for w in share], s)
     if lossless:
         least = fitted.where("__n > 0").agg(F.min("__rate")).first()[0] or 1.0
         fitted = fitted.withColumn("__rate", F.col("__rate") / least)
     shown = [F.col("__id").alias(id_col), F.col("__n").cast("bigint").alias("n_tokens"), F.col("__p").alias("posterior"), F.col("__rate").alias("rate")]
+    shown.append(F.array(*[F.lit(x) for x in miss]).alias("miss"))
     return fitted.select(*shown, *[F.col("__key").alias("text_key")] * keyed)
 
 
