@@ -1,11 +1,15 @@
 """Quality rules per text, and the hosts they condemn: failure rates shrunk by an empirical beta prior.
 
-Every text is measured where it lies (whole text, bytes as arrays); the few numbers per text are staged once. Hosts then cost
-one map-side aggregation, the prior is fitted on the per-host rates by moments, and the verdicts
-go back by a join on the host that adaptive execution broadcasts or splits.
+Every text is measured where it lies (whole text, bytes as arrays); the few numbers per text are staged once. Four rules are
+aggregated by host: the base rule, which also decides about the text itself, and three that a decent text may break once in a while: many symbols,
+many repeated lines, words of odd length. Per rule a beta prior is fitted on the hosts' rates by moments. A host is rejected if under some rule it fails far more
+often than the corpus does: if the mean of its posterior, less ``sigmas`` of its deviations, is above ``factor`` times the rate of all.
+
+Hosts cost one map-side aggregation; their staged table goes back by a join that broadcasts it if its size allows, and
+otherwise has its large partitions split by adaptive execution.
 
 Defined results: null and empty texts have no words and fail; a null host gives no verdict (the base rule alone decides);
-repeated rows each count; an empty table gives an empty result; hosts that all have one rate are judged by that rate.
+repeated rows each count; an empty table gives an empty result; hosts that all have one rate are not rejected.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrip.llm import arrays
@@ -30,9 +34,14 @@ class Settings:
     least_words: int = 20
     repeat_percent: int = 30
     window: int = 8
-    most_failing: float = 0.5  # a host whose shrunk failure rate is higher is rejected
+    symbol_percent: int = 10  # of the number of words
+    line_percent: int = 5  # repeated lines, of the number of words
+    word_length: tuple[int, int] = (3, 10)  # shortest and longest mean
+    factor: float = 2.0
+    sigmas: float = 3.0
 
 
+RULES = ["base", "symbols", "lines", "lengths"]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -87,31 +96,53 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str, s: Sett
     return measured.withColumn("base_failed", failed)
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, rate: the failure rate of every host, shrunk towards the rate of all.
+def broken(s: Settings) -> list[Column]:
+    """Which of ``RULES`` a measured text breaks. A text without words breaks the base rule only."""
+    low, high = s.word_length
+    words = F.col("n_words")
+    return [
+        F.col("base_failed"),
+        100 * F.col("n_symbols") > s.symbol_percent * words,
+        100 * F.col("n_dup_lines") > s.line_percent * words,
+        (F.col("word_chars") < low * words) | (F.col("word_chars") > high * words),
+    ]
+
+
+def host_rates(measured: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """host, n_docs, failed (of each rule), rates (shrunk towards the rate of all) and rejected, one row per host.
 
-    The prior's strength is mean * (1 - mean) / variance - 1 of the hosts' rates, weighted by documents, at least 0;
-    without variance every host has the mean rate.
+    A prior's strength is mean * (1 - mean) / variance - 1 of the hosts' rates, weighted by documents, at least 1; without
+    variance every host has the mean rate.
     """
-    failed = F.col("base_failed").cast("bigint")
-    hosts = measured.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(failed).alias("n_failed"))
-    total = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f")).first()
-    mean = total.f / total.n if total.n else 0.0
-    spread = F.sum(F.col("n_docs") * F.pow(F.col("n_failed") / F.col("n_docs") - mean, 2))
-    variance = (hosts.agg(spread.alias("v")).first().v or 0.0) / total.n if total.n else 0.0
-    if variance <= 0:
-        return hosts.withColumn("rate", F.lit(mean))
-    strength = max(0.0, mean * (1 - mean) / variance - 1)
-    return hosts.withColumn("rate", (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength))
+    counts = [F.sum(x.cast("bigint")).alias(f"f{i}") for i, x in enumerate(broken(s))]
+    hosts = measured.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), *counts)
+    hosts = stage(hosts, "hosts")
+    fails = [F.col(f"f{i}") for i in range(len(RULES))]
+    total = hosts.agg(F.sum("n_docs").alias("n"), *[F.sum(f).alias(f"f{i}") for i, f in enumerate(fails)]).first()
+    means = [total[f"f{i}"] / total.n if total.n else 0.0 for i in range(len(RULES))]
+    spread = [F.sum(F.col("n_docs") * F.pow(f / F.col("n_docs") - m, 2)).alias(f"v{i}") for i, (f, m) in enumerate(zip(fails, means))]
+    variances = [(v or 0.0) / total.n if total.n else 0.0 for v in hosts.agg(*spread).first()]
+    rates, rejected = [], F.lit(False)
+    for f, mean, variance in zip(fails, means, variances):
+        if variance <= 0:
+            rates.append(F.lit(mean))
+            continue
+        strength = max(1.0, mean * (1 - mean) / variance - 1)
+        seen = F.col("n_docs") + strength
+        rate = (f + mean * strength) / seen
+        rates.append(rate)
+        rejected |= rate - s.sigmas * F.sqrt(rate * (1 - rate) / (seen + 1)) > s.factor * mean
+    return hosts.select("host", "n_docs", F.array(*fails).alias("failed"), F.array(*rates).alias("rates"), rejected.alias("rejected"))
 
 
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", settings: Settings = Settings()
 ) -> DataFrame:
-    """One row per row of ``docs``: id, the measures, base_failed, host_rate, host_rejected, kept."""
+    """One row per row of ``docs``: id, the measures, base_failed, host_rate (of the base rule), host_rejected, kept."""
     measured = stage(measures(docs, id_col, text_col, host_col, settings), "measures")
-    hosts = host_rates(measured).select("host", F.col("rate").alias("host_rate"))
+    hosts = host_rates(measured, settings).select("host", F.col("rates")[0].alias("host_rate"), "rejected")
+    hosts = stage(hosts, "verdicts")  # its size is known, so a small one is broadcast before anything is dealt by host
     joined = measured.join(hosts, "host", "left")
-    rejected = F.coalesce(F.col("host_rate") > settings.most_failing, F.lit(False))
-    joined = joined.withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    joined = joined.withColumn("host_rejected", F.coalesce("rejected", F.lit(False)))
+    joined = joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
     return joined.select(F.col("id").alias(id_col), *MEASURES, "base_failed", "host_rate", "host_rejected", "kept")

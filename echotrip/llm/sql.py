@@ -85,13 +85,15 @@ measured AS (
     len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
   FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
 hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM measured WHERE source IS NOT NULL GROUP BY source),
-means AS (SELECT sum(f) / sum(n) AS m FROM hosts),
-prior AS (SELECT m, sum(n * (f / n - m) ** 2) / sum(n) AS v FROM hosts, means GROUP BY m),
-verdicts AS (
-  SELECT source, CASE WHEN v <= 0 THEN m ELSE (f + m * greatest(0, m * (1 - m) / v - 1)) / (n + greatest(0, m * (1 - m) / v - 1)) END > 0.5
-    AS host_rejected
-  FROM hosts, prior)
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f0, count(*) FILTER (100 * n_symbols > 10 * n_words) AS f1,
+    count(*) FILTER (100 * n_dup_lines > 5 * n_words) AS f2, count(*) FILTER (word_chars < 3 * n_words OR word_chars > 10 * n_words) AS f3
+  FROM measured WHERE source IS NOT NULL GROUP BY source),
+rules AS (SELECT source, n, unnest([0, 1, 2, 3]) AS r, unnest([f0, f1, f2, f3]) AS f FROM hosts),
+means AS (SELECT r, sum(f) / sum(n) AS m FROM rules GROUP BY r),
+priors AS (SELECT r, m, sum(n * (f / n - m) ** 2) / sum(n) AS v FROM rules JOIN means USING (r) GROUP BY r, m),
+shrunk AS (SELECT source, m, n + greatest(1, m * (1 - m) / v - 1) AS seen,
+  (f + m * greatest(1, m * (1 - m) / v - 1)) / (n + greatest(1, m * (1 - m) / v - 1)) AS rate FROM rules JOIN priors USING (r) WHERE v > 0),
+verdicts AS (SELECT source, bool_or(rate - 3 * sqrt(rate * (1 - rate) / (seen + 1)) > 2 * m) AS host_rejected FROM shrunk GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   coalesce(host_rejected, false) AS host_rejected, NOT base_failed AND NOT coalesce(host_rejected, false) AS kept
 FROM measured LEFT JOIN verdicts USING (source)
