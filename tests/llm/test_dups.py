@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -181,6 +182,47 @@ def test_repeats(spark, keep):
     assert sorted((r.doc_id, r.text or "") for r in cut.collect()) == by_hand
 
 
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    rng = random.Random(12)
+    words = "time people way water word number part sound place year work back thing name sentence man line boy farm end".split()
+    words += [w + "s" for w in words] + ["a", "of", "the", "and", "to", "in", "because", "through", "different", "following"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [say(n) for n in range(51, 81)]
+    assert min(len(p) for p in passages) >= corpus_pipeline.PASSAGES.length
+    rows = [(10 * k + j, f"{say(60)} {j} {p} {k} {say(60)}") for j in range(6) for k, p in enumerate(passages)]
+    clean = {10_000 + i: say(300) for i in range(40)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [*rows, *clean.items()]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs.repartition(4), "").collect()}
+    for k, p in enumerate(passages):
+        assert [p in left[10 * k + j] for j in range(6)] == [True] + [False] * 5
+    assert all(left[i] == t for i, t in clean.items())
+
+
+@pytest.mark.parametrize("keep", ["first", "none"])
+def test_repeats_in_windows_of_long_texts(spark, keep, monkeypatch):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(700)
+    long = text(1900) + shared + text(800) + shared[100:500] + text(300)
+    rows = [(1, long), (2, text(37) + long), (3, shared), (4, long[1000:3000]), (5, text(3000)), (6, "ab" * 2000)]
+    monkeypatch.setattr(repeats, "CHUNK", 500)
+    settings = repeats.Settings(length=64, reach=24)
+    runs = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], names=["id", "tag", "text"])
+    cut = pa.Table.from_batches(repeats._runs(settings)(iter([runs]))).to_pylist()
+    for i, t in rows:  # every start lies in one run
+        covered = sorted(x for r in cut if r["id"] == i for x in range(r["start"], r["start"] + r["extra"] + 1))
+        assert covered == list(range(len(t) - 63))
+    one = [dict(id=1, tag=0, text=long, kinds=[{k: r[k] for k in ("start", "extra", "lead", "core")} for r in cut if r["id"] == 1])]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("extra", pa.int32()), ("lead", pa.int32()), ("core", pa.int64())]))
+    opened = pa.RecordBatch.from_pylist(one, pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("text", pa.string()), ("kinds", kind)]))
+    tiles = pa.Table.from_batches(repeats._tiles(settings)(iter([opened]))).to_pylist()
+    starts = sorted(x for r in tiles for x in range(r["start"], r["start"] + r["extra"] + 1))
+    assert starts == list(range(len(long) - 63))
+    ranks = {r["start"] + k: v for r in tiles for k, v in enumerate(np.frombuffer(r["ranks"], np.int64).tolist())}
+    place = long.index(shared)
+    assert ranks[place + 100] == ranks[long.rindex(shared[100:500])] and len(set(ranks.values())) < len(ranks)
+
+
 def test_repeats_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert repeats.remove_repeats(none).collect() == []

@@ -47,12 +47,12 @@ def test_pipeline(spark, tmp_path):
             assert all(any(near(a, b) for b in sets if b < a) for a in set(sets) - left)
         if at == 2:
             texts = {r.doc_id: r.text.encode() for r in old}
-            seen, covered = {}, {}
+            seen, covered, n = {}, {}, corpus_pipeline.PASSAGES.length
             for i in sorted(texts):
                 flags = bytearray(len(texts[i]))
-                for p in range(len(flags) - 399):
-                    if seen.setdefault(texts[i][p : p + 400], (i, p)) != (i, p):
-                        flags[p : p + 400] = b"\1" * 400
+                for p in range(len(flags) - n + 1):
+                    if seen.setdefault(texts[i][p : p + n], (i, p)) != (i, p):
+                        flags[p : p + n] = b"\1" * n
                 covered[i] = bytes(b for b, f in zip(texts[i], flags) if not f).decode("utf-8", "ignore")
             assert {r.doc_id: r.text for r in rows} == covered
             assert all(r.n_chars == len(r.text) for r in rows)
