@@ -47,7 +47,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the digest of what they decode to."""
     model = pieces.read_model()
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), model)
+    # Written between, so that a task has one Python worker at a time.
+    encoded = stage(pieces.encode(table(spark, sf_dir, "documents"), model), "pieces")
     decoded = pieces.decode(encoded, model)
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
