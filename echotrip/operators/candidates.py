@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotrip.functions.text import cut_completion
+from echotrip.operators import batches
 from echotrip.operators.prompts import backward_prompt, forward_prompt
 from echotrip.session import spread, stage
 
@@ -39,28 +41,74 @@ def complete(
     options: dict[str, Any] | None = None,
     stop: str | None = "\n",
     batch_size: int = 64,
+    token_budget: int | None = None,
+    token_count: batches.Counter = batches.count_words,
+    store: str | None = None,
+    model_name: str = "",
+    rounds: int = 16,
 ) -> DataFrame:
     """Add column ``out``: one completion per row, cut at ``stop`` and stripped.
 
-    The factory runs once per task; rows arrive as Arrow batches and reach the translator
-    ``batch_size`` at a time. Each row's seed depends on ``seed_keys`` and ``seed`` only, so a task
-    that is run again asks for the same samples.
+    The factory runs once per task; rows arrive as Arrow batches and reach the translator ``batch_size`` at a time or, with
+    ``token_budget``, sorted by length in batches of at most so many padded tokens (``operators.batches``). Each row's
+    seed depends on ``seed_keys`` and ``seed`` only, so a task that is run again asks for the same samples.
+
+    With ``store``, a folder, completions are kept there under (``model_name``, options, seed, prompt): what is stored is not asked
+    again, in this run or a later one, and equal requests are asked once. Greedy requests have no seed, so equal prompts are
+    equal requests. New ones are asked in ``rounds`` parts, each written when it is done, so a run that is killed loses one part.
     """
     options = dict(options or GREEDY)
     keyed = prompts.withColumn("_seed", F.abs(F.xxhash64(*seed_keys, F.lit(seed)) % (2**31 - 1)))
-    schema = T.StructType(prompts.schema.fields + [T.StructField(out, T.StringType())])
+    how = (factory, options, batch_size, token_budget, token_count)
+    if store is None:
+        answered = _ask(keyed, prompt, out, *how)
+    else:
+        answered = _ask_once(keyed, prompt, out, how, store, model_name, rounds)
+    return answered.withColumn(out, cut_completion(F.col(out), stop))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        translate = factory()
-        for batch in batches:
-            texts: list[str] = []
-            asked, seeds = batch[prompt].tolist(), batch.pop("_seed").tolist()
-            for i in range(0, len(asked), batch_size):
-                part = slice(i, i + batch_size)
-                texts += translate(asked[part], seeds[part], options)
-            yield batch.assign(**{out: texts})
 
-    return keyed.mapInPandas(run, schema).withColumn(out, cut_completion(F.col(out), stop))
+def _ask(keyed: DataFrame, prompt: str, out: str, factory: Factory, options: dict, batch_size: int, token_budget: int | None, token_count) -> DataFrame:
+    """``keyed`` without its _seed and with the translator's texts as they are."""
+    schema = T.StructType([f for f in keyed.schema.fields if f.name != "_seed"] + [T.StructField(out, T.StringType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        translate = factory()
+        for frame in frames:
+            asked, seeds = frame[prompt].tolist(), frame.pop("_seed").tolist()
+            texts: list[str | None] = [None] * len(asked)
+            if token_budget is None:
+                plan = [range(i, min(i + batch_size, len(asked))) for i in range(0, len(asked), batch_size)]
+            else:
+                plan = batches.plan(token_count(asked), token_budget, batch_size)
+            for rows in plan:
+                for i, text in zip(rows, translate([asked[i] for i in rows], [seeds[i] for i in rows], options)):
+                    texts[i] = text
+            yield frame.assign(**{out: texts})
+
+    return keyed.mapInPandas(run, schema)
+
+
+def request_key(model_name: str, options: dict[str, Any], prompt: Column, seed: Column) -> Column:
+    """What a completion depends on, as one digest; without sampling the seed does not count."""
+    parts = [F.lit(model_name), F.lit(json.dumps(options, sort_keys=True)), seed if options.get("do_sample") else F.lit(0), prompt]
+    return F.sha2(F.to_json(F.struct(*[x.cast("string").alias(f"p{i}") for i, x in enumerate(parts)])), 256)
+
+
+def _ask_once(keyed: DataFrame, prompt: str, out: str, how: tuple, store: str, model_name: str, rounds: int) -> DataFrame:
+    spark, shape = keyed.sparkSession, "key STRING, completion STRING"
+    keyed = keyed.withColumn("_key", request_key(model_name, how[1], F.col(prompt), F.col("_seed")))
+    spark.createDataFrame([], shape).write.mode("ignore").parquet(store)
+    requests = keyed.select(F.col("_key").alias("key"), F.col(prompt).alias("asked"), "_seed").dropDuplicates(["key"])
+    known = spark.read.schema(shape).parquet(store).select("key")
+    part = F.pmod(F.xxhash64("key"), F.lit(rounds)).alias("part")
+    new = stage(requests.join(known, "key", "left_anti").select("*", part), "requests")
+    for row in new.groupBy("part").count().orderBy("part").collect():  # one row a round
+        wanted = spread(new.where(F.col("part") == row["part"]).drop("part"), "key")
+        _ask(wanted, "asked", "completion", *how).select("key", "completion").write.mode("append").parquet(store)
+    # Two runs at once may have stored one request twice; one of the two counts.
+    answers = spark.read.schema(shape).parquet(store).join(requests.select("key"), "key", "left_semi")
+    answers = answers.groupBy(F.col("key").alias("_key")).agg(F.min("completion").alias(out))
+    return keyed.join(answers, "_key").drop("_key", "_seed")
 
 
 def sample(
@@ -94,8 +142,9 @@ def rollout(
     style: str = "plain",
     model: str | None = None,
     stop: str | None = "\n",
+    **how,
 ) -> DataFrame:
-    """``(sent_id, lang, sentence, fwd_idx, fwd_text, bwd_idx, bwd_text)`` for each sentence.
+    """``(sent_id, lang, sentence, fwd_idx, fwd_text, bwd_idx, bwd_text)`` for each sentence; ``how`` goes to ``complete``.
 
     ``n_forward`` sampled translations per sentence; each is translated back ``n_backward`` times,
     or once greedily with a length limit of its own. Both levels are written to the shared folder:
@@ -111,7 +160,7 @@ def rollout(
         forward_prompt(F.col("sentence"), F.col("lang_name"), style, model_col).alias("fwd_prompt"),
     )
     forward = stage(
-        sample(asked, factory, "fwd_prompt", "fwd_text", n_forward, "fwd_idx", ["sent_id"], seed, stop=stop),
+        sample(asked, factory, "fwd_prompt", "fwd_text", n_forward, "fwd_idx", ["sent_id"], seed, stop=stop, **how),
         "forward",
     )
     back = spread(forward, "sent_id").withColumn(
@@ -120,11 +169,11 @@ def rollout(
     )
     keys = ["sent_id", "fwd_idx"]
     if greedy_backward:
-        back = greedy(back, factory, "bwd_prompt", "bwd_text", keys, greedy_tokens, stop=stop)
+        back = greedy(back, factory, "bwd_prompt", "bwd_text", keys, greedy_tokens, stop=stop, **how)
         back = back.withColumn("bwd_idx", F.lit(0))
     else:
         back = sample(
-            back, factory, "bwd_prompt", "bwd_text", n_backward, "bwd_idx", keys, seed + 1, stop=stop
+            back, factory, "bwd_prompt", "bwd_text", n_backward, "bwd_idx", keys, seed + 1, stop=stop, **how
         )
     return stage(
         back.select("sent_id", "lang", "sentence", "fwd_idx", "fwd_text", "bwd_idx", "bwd_text"),

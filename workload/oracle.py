@@ -679,3 +679,4 @@ SELECT sent_id, 'fr' AS lang, sentence, fwd_idx, fwd_text, CAST(j AS INTEGER) AS
 
 ORACLE["sampled_rollouts"] = _rolled(2, 2, 5)
 ORACLE["greedy_rollouts"] = _rolled(1, 1, 7)
+ORACLE["stored_rollouts"] = ORACLE["greedy_rollouts"]

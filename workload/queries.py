@@ -835,3 +835,24 @@ def sampled_rollouts(spark, sf):
 def greedy_rollouts(spark, sf):
     """One sampled candidate a sentence with a greedy back-translation."""
     return candidates.rollout(_rollout_input(spark, sf), dropper(), 1, greedy_backward=True)
+
+
+def refuser():
+    """Test translator that must not be asked."""
+
+    def factory():
+        def translate(asked, seeds, options):
+            raise RuntimeError(f"asked again for {asked[0]}")
+
+        return translate
+
+    return factory
+
+
+@query
+def stored_rollouts(spark, sf):
+    """The same rollout with its completions stored; a second run finds them all and asks for nothing."""
+    store = _folder(spark, "completions")
+    how = dict(greedy_backward=True, store=store, rounds=2, token_budget=2048)
+    candidates.rollout(_rollout_input(spark, sf), dropper(), 1, **how)
+    return candidates.rollout(_rollout_input(spark, sf), refuser(), 1, **how)
