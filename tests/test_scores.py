@@ -153,3 +153,12 @@ def test_report_names_and_rubric(spark):
     examples, envs = metrics.rubric(rolled, [(F.col("a"), 1.0), (F.col("b"), 2.0)], ["env"], ["ex"])
     assert {r.ex: (r.reward, r.n_rollouts) for r in examples.collect()} == {1: (24.0, 2), 2: (60.0, 1)}
     assert envs.first().reward == 42.0
+
+
+@pytest.mark.parametrize("pieces", [(4096, 64), (12, 4), (8, 8)])
+def test_windows_of_texts_of_any_length(spark, monkeypatch, pieces):
+    monkeypatch.setattr(ngrams, "PIECES", pieces)
+    texts = ["".join("aé😀z"[(i * i + i // 3) % 4] for i in range(n)) for n in (1, 3, 5, 6, 7, 8, 11, 12, 13, 24, 64, 65, 70, 4095, 4096, 4100, 4101, 9000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, w in rows.select("t", ngrams._char_windows(F.col("t"), 6)).collect():
+        assert w == [t[i : i + 6] for i in range(len(t))]
