@@ -9,11 +9,12 @@ Pairs to look at come from ``tables`` groupings by ``depth`` sign bits of other
 vectors, so groups stay small, and the number of tables follows from depth: a pair at the threshold meets in one of them with chance
 ``recall``, more similar pairs more surely. A group that is larger than ``block`` (copies) is cut into blocks, and every two blocks meet
 in a task of their own. A pair is counted only in the first table where it meets; tasks give sums per vector and a spanning set of
-links, never pairs.
+links, never pairs. Equal vectors, told by 128 bits of hashes, are folded to one that stands for all before anything meets, so
+a crowd of copies costs one vector.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing, and so do vectors of
-different lengths; equal vectors are compared like any others; of repeated rows of one id one counts (the least); rows with a null id are left out;
-an empty table gives an empty result.
+different lengths; components of any finite size count (vectors are scaled by their largest one first); equal vectors are linked;
+of repeated rows of one id one counts (the least); rows with a null id are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echotrip.llm.dictionaries import is_finite
 from echotrip.llm.graph import components
 from echotrip.session import stage
 
@@ -105,25 +107,27 @@ def _keys(depth: int, tables: int, s: Settings):
             for width in np.unique(widths[widths > 0]).tolist():
                 at = np.flatnonzero(widths == width)
                 table = np.stack([rows[i] for i in at])
-                with np.errstate(invalid="ignore", over="ignore"):
-                    norm = np.sqrt((table * table).sum(axis=1))
-                fine = np.isfinite(norm) & (norm > 0) & np.isfinite(table).all(axis=1)
-                at, unit = at[fine], table[fine] / norm[fine, None]
+                largest = np.abs(table).max(axis=1)
+                fine = np.isfinite(largest) & (largest > 0)
+                # Squares of the components themselves may pass a double, or vanish.
+                table = table[fine] / largest[fine, None]
+                at, unit = at[fine], table / np.sqrt((table * table).sum(axis=1, keepdims=True))
                 if not len(at):
                     continue
                 draw = np.random.default_rng([s.seed + 1, width]).standard_normal((tables * depth, width))
                 signs = (unit @ draw.T > 0).reshape(len(at), tables, depth)
                 keys = (signs * (1 << np.arange(depth))).sum(axis=2).astype(np.int32)
-                ids = batch.column("id").take(pa.array(at))
+                ids, weights = (batch.column(c).take(pa.array(at)) for c in ("id", "weight"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
+                        weights,
                         pa.array(np.full(len(at), width, np.int32)),
                         pa.array([x.tobytes() for x in unit], pa.binary()),
                         pa.array([x.tobytes() for x in keys], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.ravel())),
                     ],
-                    names=["id", "width", "unit", "own", "keys"],
+                    names=["id", "weight", "width", "unit", "own", "keys"],
                 )
 
     return run
@@ -182,7 +186,7 @@ def _meet(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in groups(batches):
-            ids, widths, table = (rows[c].to_numpy() for c in ("id", "width", "table"))
+            ids, weights, widths, table = (rows[c].to_numpy() for c in ("id", "weight", "width", "table"))
             lo, hi, part = (rows[c].to_numpy() for c in ("lo", "hi", "part"))
             own = np.frombuffer(b"".join(rows["own"].to_pylist()), np.int32).reshape(len(ids), -1)
             counts, left, right = np.zeros(len(ids), np.int64), [], []
@@ -204,8 +208,8 @@ def _meet(s: Settings):
                     i, j, p, q = i[near], j[near], p[near], q[near]
                     linked = np.einsum("ij,ij->i", unit[p], unit[q]) >= s.threshold
                     i, j = i[linked], j[linked]
-                    np.add.at(counts, i, 1)
-                    np.add.at(counts, j, 1)
+                    np.add.at(counts, i, weights[j])
+                    np.add.at(counts, j, weights[i])
                     left.append(i)
                     right.append(j)
             if left:
@@ -223,12 +227,20 @@ def near_vectors(
 ) -> DataFrame:
     """One row per vector: id, n_links (other vectors at the threshold or above), component_id (smallest id that links reach), kept."""
     s = settings
-    named = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    named = named.where("id is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-    vectors = stage(named, "vectors")
+    named = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null")
+    again = stage(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+    once = named.join(again, "id", "left_anti").union(named.join(again, "id", "left_semi").groupBy("id").agg(F.min("vector").alias("vector")))
+    found = is_finite(F.col("vector")) & F.exists("vector", lambda x: x != 0)
+    hashes = [F.xxhash64(F.lit(k), "vector").alias(f"h{k}") for k in (1, 2)]
+    every = stage(once.select("id", "vector", F.coalesce(found, F.lit(False)).alias("fine"), *hashes), "vectors")
+    groups = every.where("fine").groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.min("id").alias("first"))
+    copies = stage(groups.where("weight > 1"), "copies")
+    folded = every.where("fine").join(copies, ["h1", "h2"], "left")
+    folded = stage(folded.select("id", "vector", F.coalesce("first", "id").alias("first"), F.coalesce("weight", F.lit(1)).alias("weight")), "folded")
+    vectors = folded.where("id = first").select("id", "weight", "vector")
     depth, tables = plan_tables(vectors.count(), s)
-    keyed = vectors.mapInArrow(_keys(depth, tables, s), "id bigint, width int, unit binary, own binary, keys array<int>")
-    keyed = keyed.select("id", "width", "unit", "own", F.posexplode("keys").alias("table", "key"))
+    keyed = vectors.mapInArrow(_keys(depth, tables, s), "id bigint, weight bigint, width int, unit binary, own binary, keys array<int>")
+    keyed = keyed.select("id", "weight", "width", "unit", "own", F.posexplode("keys").alias("table", "key"))
     group = ["table", "width", "key"]
     large = keyed.groupBy(*group).agg(F.count("*").alias("size")).where(F.col("size") > s.block)
     large = large.select(*group, F.ceil(F.col("size") / s.block).cast("int").alias("blocks"))
@@ -236,17 +248,19 @@ def near_vectors(
     cut = cut.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select(
-        *group, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "unit", "own"
+        *group, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "weight", "unit", "own"
     )
     whole = [*group, "lo", "hi"]
     met = cut.repartition(*[F.col(c) for c in whole]).sortWithinPartitions(*whole)
     found = stage(met.mapInArrow(_meet(s), "id bigint, n bigint, root bigint"), "found")
     linked = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     label = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = vectors.select("id").join(linked, "id", "left").join(label, "id", "left")
-    return out.select(
+    joined = every.select("id").join(folded.select("id", "first", "weight"), "id", "left")
+    joined = joined.join(linked.withColumnRenamed("id", "first"), "first", "left").join(label.withColumnRenamed("id", "first"), "first", "left")
+    joined = joined.withColumn("component_id", F.coalesce("component_id", "first", "id"))
+    return joined.select(
         F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"),
+        (F.coalesce("n_links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("bigint").alias("n_links"),
+        "component_id",
+        (F.col("component_id") == F.col("id")).alias("kept"),
     )

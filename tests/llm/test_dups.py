@@ -260,6 +260,21 @@ def test_near_vectors(spark):
     assert vector_dups.near_vectors(docs.limit(0)).collect() == []
 
 
+def test_near_vectors_of_any_size_and_crowds_of_copies(spark):
+    rng = np.random.default_rng(9)
+    one, other = rng.standard_normal((2, 32))
+    near = one + rng.standard_normal(32) * 0.02
+    rows = [(5, one * 1e200), (6, near * 1e-200), (7, one * 5e-320 * 1e3), (8, other * 1e300), (9, other * 1e-300), (10, other)]
+    rows += [(20_000 + i, other) for i in range(4000)] + [(1, near), (2, near), (90_000, rng.standard_normal(32))]
+    rows += [(90_001, np.zeros(32)), (90_002, np.zeros(32)), (90_003, np.full(32, np.nan)), (90_004, np.full(32, np.nan))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dups.near_vectors(frame, settings=vector_dups.Settings(block=64)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (4, 1) for i in (1, 2, 5, 6, 7))
+    assert all(got[i] == (4002, 8) for i in (8, 9, 10, *range(20_000, 24_000)))
+    assert all(got[i] == (0, i) for i in range(90_000, 90_005))
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((60, 64))
