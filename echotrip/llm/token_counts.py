@@ -21,6 +21,8 @@ from echotrip.session import stage
 # Fixed value: the split pattern that belongs to the public 50k byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# The same vocabulary for texts with some hundred thousand white space characters in a row, on which the split by pattern gives up.
+SLOW_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK = 1024
 
 
@@ -33,21 +35,38 @@ def encoding(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(path: str, pattern: str):
+def counter(path: str, pattern: str, slow_path: str):
+    """Number of tokens of a text, special tokens in it read as any other text."""
+    own = encoding(path, pattern)
+
+    def count(text: str) -> int:
+        try:
+            return len(own.encode_to_numpy(text, disallowed_special=()))
+        except ValueError:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(slow_path)
+            whole.encode_special_tokens = True
+            return len(whole.encode(text, add_special_tokens=False).ids)
+
+    return count
+
+
+def _count(path: str, pattern: str, slow_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path, pattern).encode_ordinary
+        count = counter(path, pattern, slow_path)
         for batch in batches:
-            counts = [len(encode(text)) if text else 0 for text in (x.as_py() for x in batch.column("text"))]
+            counts = [count(text) if text else 0 for text in (x.as_py() for x in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
     return run
 
 
-def token_lengths(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = (), path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def token_lengths(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = (), path: str = VOCABULARY, pattern: str = PATTERN, slow_path: str = SLOW_VOCABULARY) -> DataFrame:
     """``keys`` and n_tokens of every row."""
     rows = docs.select(*keys, F.col(text_col).cast("string").alias("text"))
     schema = "".join(f"`{c}` {kind}, " for c, kind in rows.dtypes[:-1]) + "n_tokens bigint"
-    return rows.mapInArrow(_count(path, pattern), schema)
+    return rows.mapInArrow(_count(path, pattern, slow_path), schema)
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

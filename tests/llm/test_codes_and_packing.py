@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from echotrip.llm import clusters, dictionaries, packing, queries, vector_codes
+from echotrip.llm import clusters, dictionaries, packing, queries, token_counts, vector_codes
 
 SHAPE = "vec_id bigint, embedding array<double>, label int, cluster string, code string, width int"
 
@@ -248,3 +248,11 @@ def test_long_white_space_encodes_like_the_library():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in (" " * 600_000 + "a", "\n \t" * 200_000, "ab 1\n" * 100_000):
         assert encoder.document(text).tolist() == library.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_counts_of_odd_texts_are_the_librarys():
+    count = token_counts.counter(token_counts.VOCABULARY, token_counts.PATTERN, token_counts.SLOW_VOCABULARY)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    for text in ("", "a", " " * 1_000_000, "x\n" + "\n" * 700_000 + "y", "<|endoftext|> plain", "don't\t \u3000 «é» 12 345", "z" * 100_000):
+        assert count(text) == len(library.encode(text, add_special_tokens=False).ids)
