@@ -224,6 +224,70 @@ ORACLE["sentences_abbreviations"] = (
     )
     + " SELECT * FROM sentences"
 )
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_OPENING = r"""^["''(\[]*"""
+_TYPE = _OPENING + rf"""([{_LETTER}](?:[{_LETTER}.]*[{_LETTER}])?)(\.?)[!?"'')\],;:]*$"""
+
+
+def _likelihood(hits: str, trials: str, chance: str) -> str:
+    won = f"CASE WHEN {hits} > 0 THEN {hits} * ln({chance}) ELSE 0 END"
+    return f"({won} + CASE WHEN {trials} > {hits} THEN ({trials} - {hits}) * ln(1 - {chance}) ELSE 0 END)"
+
+
+_APART = f"{_likelihood('k', 'b', '(k / b)')} + {_likelihood('(n - k)', '(n_all - b)', '((n - k) / (n_all - b))')}"
+_TOGETHER = f"{_likelihood('k', 'b', '(n / n_all)')} + {_likelihood('(n - k)', '(n_all - b)', '(n / n_all)')}"
+ABBREVIATIONS = rf"""
+    listed AS (SELECT doc_id, {words('text')} AS ws FROM documents),
+    placed AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM listed),
+    followed AS (SELECT word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM placed),
+    seen AS (
+      SELECT nullif(regexp_extract(word, '{_TYPE}', 1), '') AS form,
+             regexp_extract(word, '{_TYPE}', 2) = '.' AS dotted,
+             regexp_matches(word, '[.!?]["'')\]]*$') AS marked, next,
+             lower(regexp_extract(coalesce(next, ''), '{_TYPE}', 1)) AS after FROM followed),
+    kinds AS (
+      SELECT lower(form) AS type, form, dotted, after,
+             CASE WHEN NOT marked THEN NULL WHEN next IS NULL THEN 'none' WHEN after = '' THEN 'other'
+               WHEN regexp_matches(next, '{_OPENING}[a-zß-öø-ÿ]') THEN 'lower' ELSE 'upper' END AS kind FROM seen),
+    types AS (
+      SELECT type, count(*) FILTER (dotted) AS n_dot, count(*) FILTER (NOT dotted) AS n_plain,
+             count(*) FILTER (dotted AND kind = 'lower') AS n_lower, count(*) AS n,
+             array_to_string(list_sort(list(DISTINCT form) FILTER (dotted)), ' ') AS forms
+      FROM kinds WHERE type IS NOT NULL GROUP BY type),
+    totals AS (SELECT sum(n) AS n_all, sum(n_dot) AS dots FROM types),
+    scored AS (
+      SELECT types.*, 2 * (n_dot * ln(0.99::DOUBLE / rate) + n_plain * ln(0.01::DOUBLE / (1 - rate))) * exp(-letters)
+               * (length(type) - letters + 1) * pow(letters, -n_plain) AS score
+      FROM (SELECT *, length(replace(type, '.', '')) AS letters FROM types WHERE n_dot > 0) AS types,
+           (SELECT least(dots / n_all, 0.99999::DOUBLE) AS rate FROM totals)),
+    begun AS (
+      SELECT after AS type, count(*) AS k FROM kinds
+      WHERE kind IN ('lower', 'upper') AND NOT (dotted AND coalesce(type IN (SELECT type FROM scored WHERE score >= 0.3), false))
+      GROUP BY after),
+    starts AS (
+      SELECT type FROM (SELECT type, k, n, n_all, sum(k) OVER () AS b FROM begun JOIN types USING (type), totals)
+      WHERE 2 * ({_APART} - ({_TOGETHER})) >= 30 AND k * n_all > n * b),
+    ended AS (
+      SELECT type, count(*) AS n_ends FROM kinds
+      WHERE dotted AND (kind = 'none' OR kind = 'upper' AND after IN (FROM starts)) GROUP BY type),
+    learnt AS (
+      SELECT type, forms, n_dot, n_plain, n_lower, coalesce(n_ends, 0) AS n_ends, score,
+             score >= 0.3 AND coalesce(n_ends, 0) < 0.5 * n_dot AS learned
+      FROM scored LEFT JOIN ended USING (type))"""
+ORACLE["abbreviation_scores"] = f"""WITH {ABBREVIATIONS}
+SELECT type, forms, n_dot, n_plain, n_lower, n_ends,
+  CASE WHEN abs(score) < 0.0000005 THEN 0.0::DOUBLE ELSE round(score, 6) END AS score, learned FROM learnt"""
+ORACLE["sentences_learned"] = (
+    f"WITH {ABBREVIATIONS}, "
+    "top AS (SELECT forms FROM learnt WHERE learned ORDER BY n_dot DESC, type LIMIT 1000), "
+    "names AS (SELECT string_agg(replace(form, '.', '\\.'), '|') AS names FROM (SELECT unnest(string_split(forms, ' ')) AS form FROM top)), "
+    + sentence_ctes(
+        text=f"(SELECT CASE WHEN names IS NULL THEN text ELSE regexp_replace(text, '(^|[^A-Za-z])(' || names || ')\\.({WS})', "
+        "'\\1\\2' || chr(2) || '\\3', 'g') END FROM names)",
+        parts="replace(s, chr(2), '.')",
+    )
+    + " SELECT * FROM sentences"
+)
 ORACLE["sentences_token_limit"] = (
     "WITH "
     + sentence_ctes(keep=f"n_words >= 5 AND len({tok13a('sentence')}) < 40")

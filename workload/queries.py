@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from echotrip.functions import ngrams, text
 from echotrip.operators import (
+    abbreviations,
     candidates,
     metrics,
     numbering,
@@ -81,6 +82,22 @@ def sentences_abbreviations(spark, sf):
     )
 
 
+@query
+def abbreviation_scores(spark, sf):
+    """Every type that occurs with a final dot, and whether it was learnt as an abbreviation."""
+    learnt = abbreviations.learn(spread(tables.corpus(spark, sf), "doc_id"))
+    return learnt.select(
+        "type", F.array_join("forms", " ").alias("forms"), "n_dot", "n_plain", "n_lower", "n_ends", *rounded("score"), "learned"
+    )
+
+
+@query
+def sentences_learned(spark, sf):
+    """Sentences, where abbreviations learnt from the same corpus end none."""
+    docs = spread(tables.corpus(spark, sf), "doc_id")
+    return extract_sentences(docs, abbreviations=abbreviations.most_frequent(abbreviations.learn(docs)))
+
+
 @query
 def sentences_token_limit(spark, sf):
     """Length limit by a token counter (here: 13a tokens) instead of the word bound."""
