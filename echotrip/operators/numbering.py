@@ -36,7 +36,8 @@ def index_rows(
     offsets = counts.select(
         *within, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_offset")
     )
-    numbered = staged.join(F.broadcast(offsets), [*within, "_part"])
+    # One row per partition; with groups, one per group and partition, whose join is left to adaptive execution.
+    numbered = staged.join(offsets if within else F.broadcast(offsets), [*within, "_part"])
     return numbered.select(*df.columns, (F.col("_row") + F.col("_offset")).alias(name))
 
 
@@ -91,9 +92,9 @@ def shards(
         wanted = wanted.select(
             *within, (F.col("_j") % F.col("_n")).alias(position), (F.col("_n") + F.col("_j")).alias("_at")
         )
-        # Fewer than world_size rows per group.
+        # Fewer than world_size rows per group, of any number of groups: the join is left to adaptive execution.
         extra = (
-            positions.join(F.broadcast(wanted), [*within, position])
+            positions.join(wanted if within else F.broadcast(wanted), [*within, position])
             .withColumn(position, F.col("_at"))
             .select(*positions.columns, F.lit(True).alias("is_pad"))
         )
