@@ -49,21 +49,23 @@ PERSPECTIVES = """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(turn / 256.0) AS BIGINT) AS block
   FROM conversations WHERE conv_id IS NOT NULL),
+parts AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, text) - 1) // 1024 AS part FROM said),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
 seen AS (
-  SELECT said.*, speaker, role = speaker AS mine,
+  SELECT parts.*, speaker, role = speaker AS mine,
     CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head
-  FROM said JOIN speakers USING (conv_id)),
+  FROM parts JOIN speakers USING (conv_id)),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (
     PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM seen)
-SELECT conv_id, speaker, block, count(*) AS n_turns, CAST(min(place) AS BIGINT) AS start,
+SELECT conv_id, speaker, block, part, count(*) AS n_turns, CAST(min(place) AS BIGINT) AS start,
   string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
   coalesce(string_agg((place + length(head)) || '-' || (place + length(head) + length(text) + 7), ' '
     ORDER BY turn NULLS FIRST, role, text) FILTER (mine), '') AS mask,
   CAST(coalesce(sum(length(text) + 7) FILTER (mine), 0) AS BIGINT) AS n_masked
-FROM placed GROUP BY conv_id, speaker, block
+FROM placed GROUP BY conv_id, speaker, block, part
 """
 
 HOST_RULES = f"""

@@ -352,6 +352,27 @@ def test_perspectives(spark, plan):
     got = {(r.conv_id, r.speaker, r.block): [r.text, [tuple(x) for x in r.mask], r.start] for r in seen.collect()}
     assert got == by_hand(turns, 4)
     assert perspectives.rotate(frame.limit(0)).collect() == []
+    # Blocks in parts: joined in order they are the same blocks.
+    joined = {}
+    for r in sorted(perspectives.rotate(frame.repartition(3), block=4, lines=2).collect(), key=lambda r: r.part):
+        whole = joined.setdefault((r.conv_id, r.speaker, r.block), ["", [], r.start])
+        assert r.start == whole[2] + len(whole[0]) and r.n_turns <= 2
+        whole[0] += r.text
+        whole[1] += [tuple(x) for x in r.mask]
+    assert joined == got
+
+
+def test_perspectives_of_a_conversation_without_numbers(spark):
+    n = 20_000
+    frame = spark.range(n).selectExpr("1L conv_id", "if(id % 2 = 0, null, id) turn", "concat('s', id % 3) role", "repeat('x', int(id % 50)) text")
+    seen = perspectives.rotate(frame).collect()
+    assert sum(r.n_turns for r in seen) == 3 * n and max(r.n_turns for r in seen) == 1024
+    for speaker in ("s0", "s1", "s2"):
+        at = 0
+        for r in sorted((r for r in seen if r.speaker == speaker), key=lambda r: (r.block is not None, r.block or 0, r.part)):
+            assert r.start == at
+            assert all(begin < end <= at + len(r.text) for begin, end in r.mask)
+            at += len(r.text)
 
 
 def test_bytes_of_texts():
