@@ -3,12 +3,13 @@
 Vectors are scaled to length one, rotated at random into ``bits`` dimensions and reduced to signs. With its stored factor
 f = <code, vector>, a code gives an unbiased estimate <code, query> / f of an inner product, whose error is within
 ``sigmas`` * sqrt((1 - f^2) / f^2 / (bits - 1)). Queries are cut to 4 bits a dimension with random rounding, so an estimate is
-four popcounts. Pairs whose upper bound stays below the threshold are dropped; all others are computed exactly in double precision.
+four popcounts. Codes, factors and queries are made once and stored. Pairs whose upper bound stays below the threshold are dropped; all
+others are computed exactly in double precision.
 
 Pairs to look at come from ``tables`` groupings by ``depth`` sign bits of other random directions. Depth follows the number of
 vectors, so groups stay small, and the number of tables follows from depth: a pair at the threshold meets in one of them with chance
 ``recall``, more similar pairs more surely. A group that is larger than ``block`` (copies) is cut into blocks, and every two blocks meet
-in a task of their own. A pair is counted only in the first table where it meets; tasks give sums per vector and a spanning set of
+in a task of their own. Groups meet by their codes first; only members with a partner left meet again, with their vectors. A pair is counted only in the first table where it meets; tasks give sums per vector and a spanning set of
 links, never pairs. Equal vectors, told by 128 bits of hashes, are folded to one that stands for all before anything meets, so
 a crowd of copies costs one vector.
 
@@ -33,6 +34,9 @@ from echotrip.llm.graph import components
 from echotrip.session import stage
 
 
+GROUP = ["table", "width", "key", "lo", "hi"]  # rows that meet
+
+
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.9
@@ -99,7 +103,23 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [x.values.to_numpy() if x.is_valid and not x.values.null_count else np.zeros(0) for x in column]
 
 
-def _keys(depth: int, tables: int, s: Settings):
+def _unit(table: np.ndarray) -> np.ndarray:
+    """Vectors of length one; squares of the components themselves may pass a double, or vanish, so the largest one is divided out first."""
+    table = table / np.abs(table).max(axis=1, keepdims=True)
+    return table / np.sqrt((table * table).sum(axis=1, keepdims=True))
+
+
+def _layout(width: int, depth: int, tables: int, s: Settings) -> tuple[int, np.dtype]:
+    """Bits of a code, and what is stored of a vector: code, factor, query and the sign bits of its groups."""
+    bits = 64 * math.ceil(max(s.bits, width) / 64)
+    words = bits // 64
+    fields = [("factor", "<f8"), ("step", "<f8"), ("low", "<f8"), ("code", "<u8", (words,)), ("plane", "<u8", (4, words))]
+    return bits, np.dtype([*fields, ("signs", "u1", (math.ceil(tables * depth / 8),))])
+
+
+def _coded(depth: int, tables: int, s: Settings):
+    """Vectors to stored codes and the keys of their groups."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _rows(batch.column("vector"))
@@ -109,30 +129,37 @@ def _keys(depth: int, tables: int, s: Settings):
                 table = np.stack([rows[i] for i in at])
                 largest = np.abs(table).max(axis=1)
                 fine = np.isfinite(largest) & (largest > 0)
-                # Squares of the components themselves may pass a double, or vanish.
-                table = table[fine] / largest[fine, None]
-                at, unit = at[fine], table / np.sqrt((table * table).sum(axis=1, keepdims=True))
+                at = at[fine]
                 if not len(at):
                     continue
+                unit = _unit(table[fine])
                 draw = np.random.default_rng([s.seed + 1, width]).standard_normal((tables * depth, width))
-                signs = (unit @ draw.T > 0).reshape(len(at), tables, depth)
-                keys = (signs * (1 << np.arange(depth))).sum(axis=2).astype(np.int32)
-                ids, weights = (batch.column(c).take(pa.array(at)) for c in ("id", "weight"))
+                signs = unit @ draw.T > 0
+                bits, layout = _layout(width, depth, tables, s)
+                turned, code, factor = encode(unit, bits, s.seed)
+                body = np.zeros(len(at), layout)
+                body["code"], body["factor"] = code, factor
+                body["plane"], body["step"], body["low"] = planes(turned, s.seed)
+                body["signs"] = np.packbits(signs, axis=1, bitorder="little")
+                keys = _group_keys(body["signs"], depth, tables)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
-                        weights,
+                        batch.column("id").take(pa.array(at)),
                         pa.array(np.full(len(at), width, np.int32)),
-                        pa.array([x.tobytes() for x in unit], pa.binary()),
-                        pa.array([x.tobytes() for x in keys], pa.binary()),
+                        pa.array([x.tobytes() for x in body], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.ravel())),
                     ],
-                    names=["id", "weight", "width", "unit", "own", "keys"],
+                    names=["id", "width", "body", "keys"],
                 )
 
     return run
 
 
+def _group_keys(signs: np.ndarray, depth: int, tables: int) -> np.ndarray:
+    flags = np.unpackbits(signs, axis=1, count=tables * depth, bitorder="little").reshape(len(signs), tables, depth)
+    return (flags * (1 << np.arange(depth))).sum(axis=2).astype(np.int32)
+
+
 def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest row number reachable over the links (a, b), within one task's group."""
     root = np.arange(n)
@@ -165,53 +192,77 @@ def _pairs(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray,
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _meet(s: Settings):
-    """Rows of a partition, sorted by group: counts of links per vector, and links to the group's root."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of a partition that is sorted by group, some at a time, with their edges."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        key = np.stack([held[c].to_numpy() for c in GROUP], axis=1)
+        if not len(key):
+            continue
+        # All but the last group are whole.
+        changes = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if len(changes):
+            yield held.slice(0, int(changes[-1])), np.concatenate([[0], changes])
+            held = held.slice(int(changes[-1]))
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def _near_pairs(rows: pa.Table, edges: np.ndarray, depth: int, tables: int, s: Settings):
+    """Row numbers of pairs that meet here first and whose upper bound reaches the threshold, by width: width, rows of it, pairs."""
+    widths, table = rows["width"].to_numpy(), rows["table"].to_numpy()
+    lo, hi, part = (rows[c].to_numpy() for c in ("lo", "hi", "part"))
+    for width in np.unique(widths).tolist():
+        mine = np.flatnonzero(widths == width)
+        bits, layout = _layout(width, depth, tables, s)
+        body = np.frombuffer(b"".join(rows["body"].take(pa.array(mine)).to_pylist()), layout)
+        # Fields are strided in the body; pairs pick from arrays of their own.
+        code, factor, plane, step, low = (np.ascontiguousarray(body[c]) for c in ("code", "factor", "plane", "step", "low"))
+        own = _group_keys(body["signs"], depth, tables)
+        place = np.zeros(len(widths), np.int64)
+        place[mine] = np.arange(len(mine))
+        same = widths[edges[:-1]] == width
+        for i, j in _pairs(edges[:-1][same], edges[1:][same], lo, hi, part, s.pairs):
+            p, q = place[i], place[j]
+            first = (own[p] == own[q]).argmax(axis=1) == table[i]
+            i, j, p, q = i[first], j[first], p[first], q[first]
+            top = estimates(code[p], factor[p], plane[q], step[q], low[q], bits)
+            near = top + slack(factor[p], step[q], bits, s.sigmas) >= s.threshold
+            yield width, mine, i[near], j[near], p[near], q[near]
+
+
+def _sifted(depth: int, tables: int, s: Settings):
+    """Members of groups that have a partner left by their codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in _groups(batches):
+            left = np.zeros(len(rows), bool)
+            for _, _, i, j, _, _ in _near_pairs(rows, edges, depth, tables, s):
+                left[i] = left[j] = True
+            yield from rows.filter(pa.array(left)).to_batches()
+
+    return run
 
-    def groups(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            key = np.stack([held[c].to_numpy() for c in ("table", "width", "key", "lo", "hi")], axis=1)
-            if not len(key):
-                continue
-            # All but the last group are whole.
-            changes = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            if len(changes):
-                yield held.slice(0, int(changes[-1])), np.concatenate([[0], changes])
-                held = held.slice(int(changes[-1]))
-        if held is not None and len(held):
-            yield held, np.array([0, len(held)])
+
+def _linked(depth: int, tables: int, s: Settings):
+    """Rows with their vectors: counts of links per vector, and links to the group's root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, edges in groups(batches):
-            ids, weights, widths, table = (rows[c].to_numpy() for c in ("id", "weight", "width", "table"))
-            lo, hi, part = (rows[c].to_numpy() for c in ("lo", "hi", "part"))
-            own = np.frombuffer(b"".join(rows["own"].to_pylist()), np.int32).reshape(len(ids), -1)
-            counts, left, right = np.zeros(len(ids), np.int64), [], []
-            for width in np.unique(widths).tolist():
-                mine = np.flatnonzero(widths == width)
-                unit = np.frombuffer(b"".join(rows["unit"].take(pa.array(mine)).to_pylist()), np.float64).reshape(len(mine), width)
-                bits = 64 * math.ceil(max(s.bits, width) / 64)
-                turned, code, factor = encode(unit, bits, s.seed)
-                plane, step, low = planes(turned, s.seed)
-                place = np.zeros(len(ids), np.int64)
-                place[mine] = np.arange(len(mine))
-                same = widths[edges[:-1]] == width
-                for i, j in _pairs(edges[:-1][same], edges[1:][same], lo, hi, part, s.pairs):
-                    first = (own[i] == own[j]).argmax(axis=1) == table[i]
-                    i, j = i[first], j[first]
-                    p, q = place[i], place[j]
-                    top = estimates(code[p], factor[p], plane[q], step[q], low[q], bits)
-                    near = top + slack(factor[p], step[q], bits, s.sigmas) >= s.threshold
-                    i, j, p, q = i[near], j[near], p[near], q[near]
-                    linked = np.einsum("ij,ij->i", unit[p], unit[q]) >= s.threshold
-                    i, j = i[linked], j[linked]
-                    np.add.at(counts, i, weights[j])
-                    np.add.at(counts, j, weights[i])
-                    left.append(i)
-                    right.append(j)
+        for rows, edges in _groups(batches):
+            ids, weights = rows["id"].to_numpy(), rows["weight"].to_numpy()
+            counts, left, right, held, unit = np.zeros(len(ids), np.int64), [], [], 0, None
+            for width, mine, i, j, p, q in _near_pairs(rows, edges, depth, tables, s):
+                if width != held:
+                    held = width
+                    unit = _unit(rows["vector"].take(pa.array(mine)).combine_chunks().flatten().to_numpy().reshape(len(mine), width))
+                linked = np.einsum("ij,ij->i", unit[p], unit[q]) >= s.threshold
+                i, j = i[linked], j[linked]
+                np.add.at(counts, i, weights[j])
+                np.add.at(counts, j, weights[i])
+                left.append(i)
+                right.append(j)
             if left:
                 root = _local_roots(len(ids), np.concatenate(left), np.concatenate(right))
                 some = np.flatnonzero(counts)
@@ -239,20 +290,23 @@ def near_vectors(
     folded = stage(folded.select("id", "vector", F.coalesce("first", "id").alias("first"), F.coalesce("weight", F.lit(1)).alias("weight")), "folded")
     vectors = folded.where("id = first").select("id", "weight", "vector")
     depth, tables = plan_tables(vectors.count(), s)
-    keyed = vectors.mapInArrow(_keys(depth, tables, s), "id bigint, weight bigint, width int, unit binary, own binary, keys array<int>")
-    keyed = keyed.select("id", "weight", "width", "unit", "own", F.posexplode("keys").alias("table", "key"))
+    codes = vectors.select("id", "vector").mapInArrow(_coded(depth, tables, s), "id bigint, width int, body binary, keys array<int>")
+    codes = stage(codes, "codes")
     group = ["table", "width", "key"]
+    keyed = codes.select("id", "width", "body", F.posexplode("keys").alias("table", "key"))
     large = keyed.groupBy(*group).agg(F.count("*").alias("size")).where(F.col("size") > s.block)
-    large = large.select(*group, F.ceil(F.col("size") / s.block).cast("int").alias("blocks"))
+    large = stage(large.select(*group, F.ceil(F.col("size") / s.block).cast("int").alias("blocks")), "large")
     cut = keyed.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select(
-        *group, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "weight", "unit", "own"
-    )
-    whole = [*group, "lo", "hi"]
-    met = cut.repartition(*[F.col(c) for c in whole]).sortWithinPartitions(*whole)
-    found = stage(met.mapInArrow(_meet(s), "id bigint, n bigint, root bigint"), "found")
+    cut = cut.select(*group, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "body")
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*[F.col(c) for c in GROUP]).sortWithinPartitions(*GROUP)
+
+    left = stage(together(cut).mapInArrow(_sifted(depth, tables, s), cut.schema), "left")
+    exact = left.join(vectors, "id").select(*left.columns, "weight", "vector")
+    found = stage(together(exact).mapInArrow(_linked(depth, tables, s), "id bigint, n bigint, root bigint"), "found")
     linked = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     label = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     joined = every.select("id").join(folded.select("id", "first", "weight"), "id", "left")
