@@ -81,13 +81,21 @@ def planes(turned: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.stack([pack((level >> j) & 1 == 1) for j in range(4)], axis=1), step, low
 
 
-def estimates(code: np.ndarray, factor: np.ndarray, plane: np.ndarray, step: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
-    """Unbiased estimate of the inner products of coded vectors with queries, pair by pair."""
-    ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-    inside, level = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-    for j in range(4):
-        inside += np.bitwise_count(code & plane[:, j]).sum(axis=1, dtype=np.int64) << j
-        level += np.bitwise_count(plane[:, j]).sum(axis=1, dtype=np.int64) << j
+def totals(code: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What an estimate needs of each side alone: set bits of the code, sum of the query's levels."""
+    level = sum(np.bitwise_count(plane[:, j]).sum(axis=1, dtype=np.int64) << j for j in range(4))
+    return np.bitwise_count(code).sum(axis=1, dtype=np.int64), level
+
+
+def estimates(code, factor, plane, step, low, bits: int, ones=None, level=None) -> np.ndarray:
+    """Unbiased estimate of the inner products of coded vectors with queries, pair by pair; ``ones`` and ``level`` are their ``totals``."""
+    if ones is None:
+        ones, level = totals(code, plane)
+    inside = np.zeros(len(code), np.int64)
+    for word in range(code.shape[1]):
+        own = code[:, word]
+        for j in range(4):
+            inside += np.bitwise_count(own & plane[:, j, word]).astype(np.int64) << j
     dot = step * (2 * inside - level) + low * (2 * ones - bits)
     return dot / math.sqrt(bits) / factor
 
@@ -220,17 +228,18 @@ def _near_pairs(rows: pa.Table, edges: np.ndarray, depth: int, tables: int, s: S
         body = np.frombuffer(b"".join(rows["body"].take(pa.array(mine)).to_pylist()), layout)
         # Fields are strided in the body; pairs pick from arrays of their own.
         code, factor, plane, step, low = (np.ascontiguousarray(body[c]) for c in ("code", "factor", "plane", "step", "low"))
+        ones, level = totals(code, plane)
         own = _group_keys(body["signs"], depth, tables)
         place = np.zeros(len(widths), np.int64)
         place[mine] = np.arange(len(mine))
         same = widths[edges[:-1]] == width
         for i, j in _pairs(edges[:-1][same], edges[1:][same], lo, hi, part, s.pairs):
             p, q = place[i], place[j]
-            first = (own[p] == own[q]).argmax(axis=1) == table[i]
-            i, j, p, q = i[first], j[first], p[first], q[first]
-            top = estimates(code[p], factor[p], plane[q], step[q], low[q], bits)
+            top = estimates(code[p], factor[p], plane[q], step[q], low[q], bits, ones[p], level[q])
             near = top + slack(factor[p], step[q], bits, s.sigmas) >= s.threshold
-            yield width, mine, i[near], j[near], p[near], q[near]
+            i, j, p, q = i[near], j[near], p[near], q[near]
+            first = (own[p] == own[q]).argmax(axis=1) == table[i]
+            yield width, mine, i[first], j[first], p[first], q[first]
 
 
 def _sifted(depth: int, tables: int, s: Settings):
