@@ -19,11 +19,11 @@ def _kinds(metrics: list[str]) -> list[str]:
     return [k for k in ngrams.ORDERS if any(k in METRICS[m] for m in metrics)]
 
 
-def _score(metric: str, effective_order: bool) -> Column:
+def _score(metric: str, effective_order: bool, stats: str = "_stats") -> Column:
     if metric == "bleu":
-        return scores.bleu_score(F.col("_stats.words"), effective_order)
-    peeled = F.col("_stats.peeled") if metric == "chrf++" else None
-    return scores.chrf_score(F.col("_stats.chars"), peeled)
+        return scores.bleu_score(F.col(f"{stats}.words"), effective_order)
+    peeled = F.col(f"{stats}.peeled") if metric == "chrf++" else None
+    return scores.chrf_score(F.col(f"{stats}.chars"), peeled)
 
 
 def score_pairs(
@@ -33,13 +33,21 @@ def score_pairs(
 
     Statistics shared by several metrics are computed once, where the row lies: no exchange.
     """
-    kinds = _kinds(list(metrics.values()))
-    counted = pairs.withColumn(
-        "_stats", ngrams.pair_statistics(F.col(hyp), F.col(ref), kinds)
-    )
-    return counted.select(
-        *pairs.columns, *[_score(m, effective_order=True).alias(c) for c, m in metrics.items()]
-    )
+    return score_sides(pairs, {(hyp, ref): metrics})
+
+
+def score_sides(pairs: DataFrame, sides: dict[tuple[str, str], dict[str, str]]) -> DataFrame:
+    """``score_pairs`` for several (hypothesis, reference) columns of a row, which cross to Python together."""
+    stats = [
+        ngrams.pair_statistics(F.col(hyp), F.col(ref), _kinds(list(metrics.values()))).alias(f"_stats{i}")
+        for i, ((hyp, ref), metrics) in enumerate(sides.items())
+    ]
+    scored = [
+        _score(m, effective_order=True, stats=f"_stats{i}").alias(c)
+        for i, metrics in enumerate(sides.values())
+        for c, m in metrics.items()
+    ]
+    return pairs.select("*", *stats).select(*pairs.columns, *scored)
 
 
 def sentence_metric(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from echotrip.operators import numbering, regression
 from echotrip.operators.candidates import MAX_NEW_TOKENS, Factory, rollout
-from echotrip.operators.metrics import score_pairs
+from echotrip.operators.metrics import score_sides
 from echotrip.operators.rewards import group_zscores
 from echotrip.session import stage
 
@@ -27,10 +27,11 @@ def sample_candidates(pairs: DataFrame, factory: Factory, n: int, **how) -> Data
 def candidate_scores(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, fwd_idx, scores)``: each candidate against the gold target, its greedy
     back-translation against the source. Needs gold, source, fwd_text and bwd_text."""
-    gold = score_pairs(candidates, {"bleu": "bleu", "chrf": "chrf++"}, "fwd_text", "gold")
-    both = score_pairs(
-        gold, {"roundtrip_bleu": "bleu", "roundtrip_chrf": "chrf++"}, "bwd_text", "source"
-    )
+    sides = {
+        ("fwd_text", "gold"): {"bleu": "bleu", "chrf": "chrf++"},
+        ("bwd_text", "source"): {"roundtrip_bleu": "bleu", "roundtrip_chrf": "chrf++"},
+    }
+    both = score_sides(candidates, sides)
     return both.select(*keys, "fwd_idx", *SCORES)
 
 

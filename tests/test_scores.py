@@ -162,3 +162,12 @@ def test_windows_of_texts_of_any_length(spark, monkeypatch, pieces):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     for t, w in rows.select("t", ngrams._char_windows(F.col("t"), 6)).collect():
         assert w == [t[i : i + 6] for i in range(len(t))]
+
+
+def test_sides_cross_to_python_together(spark, plan):
+    rows = [("a b c d.", "a b c e.", "x y", None), ("one two", "", "z", "z")]
+    df = spark.createDataFrame(rows, "h string, r string, h2 string, r2 string")
+    both = metrics.score_sides(df, {("h", "r"): {"b": "bleu", "c": "chrf++"}, ("h2", "r2"): {"d": "chrf"}})
+    assert plan(both).count("ArrowEvalPython") == 1
+    apart = metrics.score_pairs(metrics.score_pairs(df, {"b": "bleu", "c": "chrf++"}, "h", "r"), {"d": "chrf"}, "h2", "r2")
+    assert both.collect() == apart.collect()

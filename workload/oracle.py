@@ -417,6 +417,9 @@ for _name, _score in (("sentence_bleu", "bleu"), ("sentence_chrf", "chrf"), ("se
     ORACLE[_name] = f"WITH {FIRST}, {all_scores('cand', 'doc_id, pos')} " + select_scores(
         "cand", "doc_id, pos", {"score": _score}
     )
+ORACLE["sentence_metric_by_name"] = f"WITH {FIRST}, {all_scores('cand', 'doc_id, pos')} " + select_scores(
+    "cand", "doc_id, pos", {"bleu": "bleu", "chrf": "chrf", "chrfpp": "chrfpp"}
+)
 ORACLE["sentence_scores_exploded"] = f"WITH {FIRST}, {all_scores('cand', 'doc_id, pos')} " + select_scores(
     "cand", "doc_id, pos", {"bleu": "bleu", "chrfpp": "chrfpp"}
 )

@@ -334,6 +334,15 @@ def sentence_chrfpp(spark, sf):
     return _scored(spark, sf, "chrf++")
 
 
+@query
+def sentence_metric_by_name(spark, sf):
+    """The same pairs by metric name and word order."""
+    cand = _first_candidates(spark, sf)
+    for out, name, order in (("bleu", "bleu", 2), ("chrf", "chrf", 0), ("chrfpp", "chrf", 2)):
+        cand = metrics.sentence_metric(cand, name, order, out)
+    return cand.select(*SENT, *rounded("bleu", "chrf", "chrfpp"))
+
+
 @query
 def sentence_scores_exploded(spark, sf):
     """BLEU and chrF++ by explode and group, without Python workers."""
