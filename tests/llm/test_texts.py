@@ -234,6 +234,22 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), URL_RULES, model).collect() == []
 
 
+def test_urls_held_out(spark):
+    """Trained on four fifths of the urls that the rules label, the model mostly tells the rest as the rules do; allowed urls of hosts it never saw less often."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct().withColumn("page_id", F.monotonically_increasing_id())
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    labelled = pages.withColumn("verdict", url_filter.rule_for(host, path, URL_RULES)["verdict"]).where("verdict is not null")
+    for fold, least in ((F.crc32("url"), 0.85), (F.crc32(host), 0.6)):
+        held = F.pmod(fold, F.lit(5)) == 0
+        model = url_filter.train(labelled.where(~held))
+        rest = labelled.where(held)
+        judged = url_filter.judge(rest, [], model).select("page_id", F.col("verdict").alias("guess"))
+        right = rest.join(judged, "page_id").groupBy("verdict").agg(F.count("*").alias("n"), F.avg((F.col("verdict") == F.col("guess")).cast("int")).alias("share"))
+        shares = {r.verdict: (r.n, r.share) for r in right.collect()}
+        assert set(shares) == {"allow", "block"}
+        assert all(n >= 30 and share > least for n, share in shares.values()), shares
+
+
 def test_mixing(spark, plan):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     weights = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
