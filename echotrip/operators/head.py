@@ -80,10 +80,10 @@ def not_above(df: DataFrame, order: list[str], bound: list) -> DataFrame:
 
 def cut_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """First ``n`` rows by ``order``, for a table that holds few more. Up to ``IN_ONE_TASK`` rows by an ordered limit; more stay in the
-    partitions where a range partitioning puts them, and are cut by their running number."""
+    partitions where a range partitioning puts them, are cut by their running number and come out sorted by it."""
     if n <= IN_ONE_TASK:
         return df.orderBy(*order).limit(n)
-    return index_rows(df, order, "_place").where(F.col("_place") < n).drop("_place")
+    return index_rows(df, order, "_place").where(F.col("_place") < n).orderBy("_place").drop("_place")
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
