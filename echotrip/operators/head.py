@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotrip.operators.numbering import index_rows
+from echotrip.session import shuffle_partitions
 
 IN_ONE_TASK = 100_000  # rows an ordered limit may bring to one task
 SAMPLE = 20_000  # keys drawn to guess a bound
@@ -83,7 +84,9 @@ def cut_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     partitions where a range partitioning puts them, are cut by their running number and come out sorted by it."""
     if n <= IN_ONE_TASK:
         return df.orderBy(*order).limit(n)
-    return index_rows(df, order, "_place").where(F.col("_place") < n).orderBy("_place").drop("_place")
+    placed = index_rows(df, order, "_place").where(F.col("_place") < n)
+    # A fixed number of ranges: a plain sort of a small result would be folded into one task.
+    return placed.repartitionByRange(shuffle_partitions(df.sparkSession), "_place").sortWithinPartitions("_place").drop("_place")
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
