@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,31 @@ def test_kernel_chunks_and_renumbering(chunk, monkeypatch):
             assert list(got[kind][i]) == [r[k] for k in range(3) for r in expected]
 
 
+def test_tokens_word_by_word():
+    draw = random.Random(5)
+    parts = ["a", "Z", "5", "-", ".", ",", "!", " ", " ", "\n", "\x1c", "\xa0", "&quot;", "&amp;", "<skipped>", "-\n", "skipped>", "&", "<", "'", "\u0663", "😀"]
+    for _ in range(5000):
+        t = "".join(draw.choices(parts, k=draw.randint(0, 14)))
+        assert [x for w in kernel.words_13a(t) for x in kernel.tokens_13a(w)] == brute.tokens_13a(t)
+
+
+def test_one_sort_gives_what_one_sort_an_order_gives():
+    draw = np.random.default_rng(7)
+    lengths = draw.integers(0, 30, 400)
+    codes = draw.integers(0, 5, int(lengths.sum()))
+    bits = int(codes.max() + 1).bit_length()
+    assert (kernel._sorted_once(codes, lengths, 6, bits) == kernel._sorted_by_order(codes, lengths, 6)).all()
+
+
+def test_a_text_is_cut_once_and_crosses_to_python_unmarked(pairs, plan):
+    # No pattern of the tokenisation runs in the JVM, and scores are compiled expressions.
+    found = plan(metrics.score_pairs(pairs, {"b": "bleu", "d": "chrf++"}))
+    assert "regexp_replace" not in found and "lambda" not in found
+    known = {}
+    kernel.batch_statistics([["one two.", "one"], ["two. one", "two."]], ngrams.ORDERS, known)
+    assert sorted(known["words"]) == ["one", "two."]
+
+
 def test_scoring_shuffles_nothing(pairs, plan):
     assert "Exchange" not in plan(metrics.score_pairs(pairs, {"b": "bleu", "d": "chrf++"}))
 
