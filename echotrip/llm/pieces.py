@@ -43,7 +43,6 @@ OWN_WORDS = 100_000  # words beyond the table whose ids a task remembers
 class Settings:
     table: int = 150_000
     longest: int = 64
-    sample: int = 20_000  # documents whose words decide what is frequent, about; it changes no result
 
 
 @dataclass
@@ -182,13 +181,11 @@ def _count(alone: str, longest: int):
 
 
 def frequent_units(docs: DataFrame, text_col: str, model: Model, s: Settings) -> DataFrame:
-    """The units that occur most often in a sample, at most ``table`` of them: all with at least so many occurrences.
+    """The units that occur most often in all documents, at most ``table`` of them: all with at least so many occurrences.
 
     They are only a table of ready encodings; all others are encoded in place with the same result.
     """
-    share = s.sample / max(docs.count(), 1)
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit(23), text_col), F.lit(1 << 20)) < share * (1 << 20))
-    counted = drawn.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count(model.alone, s.longest), "unit string, n bigint")
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count(model.alone, s.longest), "unit string, n bigint")
     counts = stage(counted.groupBy("unit").agg(F.sum("n").alias("n")), "units")
     # Powers of two of the count are a table of at most 64 rows.
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect()

@@ -155,6 +155,13 @@ def test_pieces_are_the_library_s(spark):
     assert [r.decoded for r in pieces.decode(wrong, model).collect()] == ["", ""]
 
 
+def test_units_are_counted_in_all_documents(spark):
+    # More documents than any sample took: a word of one in forty thousand counts as often as it is there.
+    rows = spark.range(40_000).selectExpr("id as doc_id", "concat_ws(' ', 'common', if(id = 39999, 'once once once once', null)) as text")
+    units = pieces.frequent_units(rows, "text", pieces.read_model(), pieces.Settings(table=10)).collect()
+    assert {r.unit for r in units} == {"▁common", "▁once"}
+
+
 def test_best_path_by_scores(spark):
     scores = {"▁": -2.0, "a": -2.0, "b": -3.0, "ab": -2.5, "▁a": -4.5, "ba": -1.0, "▁ab": -9.0, "bab": -3.2}
     table = {p: (i + 1, s) for i, (p, s) in enumerate(scores.items())}
