@@ -26,6 +26,13 @@ def test_query(spark, duck, name):
     assert ok, note
 
 
+def test_empty_completions_counts_words_once(spark):
+    """The filter on the mask has the length as a column, not the count of words in its place."""
+    found = QUERIES["empty_completions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    kept = next(line for line in found.splitlines() if "Filter" in line and "completion_len" in line)
+    assert "split" not in kept
+
+
 def test_entry(spark):
     result = entry.entry(spark)
     assert result.columns == ["sent_id", "fwd_idx", "adv_bleu", "adv_chrf", "advantage", "group_size"]
