@@ -63,6 +63,14 @@ def test_advantages_come_out_with_the_last_sibling_and_equal_the_batch(spark, tm
     assert stored.where("sent_id = 's8' AND direction = 'backward' AND fwd_idx = 0").count() == 3
 
 
+def test_one_arriving_file_is_scored_by_many_tasks(spark, tmp_path):
+    rows = spark.range(400).selectExpr("string(id) sent_id", "'a b c d e' sentence", "0 fwd_idx", "'x' fwd_text", "0 bwd_idx", "'a b c' bwd_text")
+    path, out = str(tmp_path / "in"), tmp_path / "out"
+    rows.coalesce(1).write.parquet(path)
+    jobs.stream_rewards(spark, path, str(out), str(tmp_path / "offsets")).awaitTermination()
+    assert spark.read.parquet(str(out)).count() == 400 and len(list(out.glob("*.parquet"))) > 4
+
+
 def test_late_and_repeated_siblings(spark, tmp_path):
     rows = rollouts(3)
     arrive(spark, rows, str(tmp_path / "in"))
