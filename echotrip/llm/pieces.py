@@ -36,6 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_COST = 10.0  # below the worst score
 SHORT = 64
+COUNTED = 400_000  # words that a task counts before it passes them on
 OWN_WORDS = 100_000  # words beyond the table whose ids a task remembers
 
 
@@ -168,7 +169,7 @@ def _count(alone: str, longest: int):
                 if text.is_valid:
                     for line in text.as_py().split("\n"):
                         seen.update(line.split(" "))
-                if len(seen) > 100_000:
+                if len(seen) > COUNTED:
                     yield flush(seen)
                     seen = Counter()
         yield flush(seen)
