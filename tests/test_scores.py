@@ -197,3 +197,34 @@ def test_sides_cross_to_python_together(spark, plan):
     assert plan(both).count("ArrowEvalPython") == 1
     apart = metrics.score_pairs(metrics.score_pairs(df, {"b": "bleu", "c": "chrf++"}, "h", "r"), {"d": "chrf"}, "h2", "r2")
     assert both.collect() == apart.collect()
+
+
+def test_keys_that_are_there_once_are_counted_where_they_lie(spark, monkeypatch):
+    """Only rows that share a key are exploded, whose n-grams count together; null keys are one key."""
+    rows = [(1, "a b c d", "a b c"), (2, "x y", "x z"), (2, "y y.", "y"), (3, "", None), (None, "n m", "n"), (None, "m", "m m")]
+    df = spark.createDataFrame(rows, "id int, hyp string, ref string")
+    relational, exploded = ngrams.exploded_statistics, []
+
+    def seen(pairs, *how):
+        exploded.extend(r.id for r in pairs.select("id").collect())
+        return relational(pairs, *how)
+
+    monkeypatch.setattr(ngrams, "exploded_statistics", seen)
+    for kind in ngrams.ORDERS:
+        exploded.clear()
+        got = ngrams.long_statistics(df, ["id"], kind)
+        assert sorted(exploded, key=str) == [2, 2, None, None]
+        assert got.schema.simpleString() == relational(df, ["id"], kind).schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, relational(df, ["id"], kind).collect()))
+    for names in ({"b": "bleu", "d": "chrf++"}, {"b": "bleu"}):
+        got = metrics.score_keyed_pairs(df, ["id"], names)
+        assert sorted(map(str, got.collect())) == sorted(map(str, metrics.score_pairs_exploded(df, ["id"], names).collect()))
+
+
+def test_scores_by_name_share_one_crossing(pairs, plan):
+    wanted = {"b": ("bleu", 2), "c": ("chrf", 0), "d": ("chrf", 2)}
+    got = metrics.sentence_metrics(pairs, wanted)
+    assert plan(got).count("ArrowEvalPython") == 1
+    for out, (name, order) in wanted.items():
+        alone = metrics.sentence_metric(pairs, name, order, out).select("id", out)
+        assert sorted(got.select("id", out).collect()) == sorted(alone.collect())
