@@ -70,10 +70,15 @@ def token_loss(objective: Column, kl: Column, beta: float = BETA) -> Column:
 
 def masked_mean(values: Column, mask: str | Column) -> Column:
     """Mean over the unmasked tokens; NULL if none."""
-    kept = _zip(lambda v, m: v * m, values, mask)
-    total = F.aggregate(kept, F.lit(0.0), lambda a, v: a + v)
-    count = F.aggregate(mask, F.lit(0), lambda a, m: a + m)
-    return F.try_divide(total, count)
+    return F.try_divide(_masked_total(values, mask), _masked_count(mask))
+
+
+def _masked_total(values: Column, mask: str | Column) -> Column:
+    return F.aggregate(_zip(lambda v, m: v * m, values, mask), F.lit(0.0), lambda a, v: a + v)
+
+
+def _masked_count(mask: str | Column) -> Column:
+    return F.aggregate(mask, F.lit(0), lambda a, m: a + m)
 
 
 def sequence_terms(
@@ -84,11 +89,13 @@ def sequence_terms(
     ``sequences`` has arrays ``old``, ``policy``, ``ref``, ``mask`` and the sequence's advantage.
     """
     objective = clipped_objective(policy_ratio(), F.col(advantage), epsilon)
-    kl = kl_estimate()
-    return sequences.select(
-        "*",
-        masked_mean(token_loss(objective, kl, beta), "mask").alias("loss"),
-        masked_mean(kl, "mask").alias("kl"),
+    # Both means need these; as columns they are made once a row.
+    made = sequences.select("*", kl_estimate().alias("_kl"), _masked_count("mask").alias("_count"))
+    loss = _masked_total(token_loss(objective, F.col("_kl"), beta), "mask")
+    return made.select(
+        *sequences.columns,
+        F.try_divide(loss, "_count").alias("loss"),
+        F.try_divide(_masked_total(F.col("_kl"), "mask"), "_count").alias("kl"),
     )
 
 

@@ -320,3 +320,24 @@ def test_direction_mix_and_step_log(spark):
     assert (steps[0].fwd_kl, steps[1].reward_bleu) == (0.5, 55.0)
     epochs = policy.epoch_log(policy.step_log(batches, 4)).orderBy("epoch").collect()
     assert [(r.epoch, r.reward_bleu, r.n_steps) for r in epochs] == [(0, 15.0, 1), (1, 55.0, 1)]
+
+
+def test_log_rows_are_exchanged_without_the_logs_that_follow(spark, tmp_path, plan):
+    """Only the old log-probabilities go through the join of the advantages; the rest is made after it."""
+    from workload import tables
+
+    text = "One two three four five six. Seven eight nine ten eleven twelve thirteen!"
+    spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    old = tables.old_logs(spark, str(tmp_path))
+    assert old.columns == ["sent_id", "fwd_idx", "bleu", "chrf", "old"] and old.count() == 12
+    logs = tables.token_logs(rewards.advantages(old, ["sent_id"]))
+    below_join = plan(logs).split("Join", 1)[1]
+    assert "AS policy" not in below_join and "AS mask" not in below_join
+    first = logs.where("sent_id = '1:0' and fwd_idx = 1").first()
+    assert first.old == pytest.approx([-0.4, -0.45, -0.7, -0.5, -0.55]) and first.mask == [0, 0, 1, 1, 1]
+
+
+def test_kl_is_made_once_a_row(spark, plan):
+    df = spark.createDataFrame([([0.0, -1.0], [0.1, -1.0], [0.2, -0.5], [0, 1], 1.0)], "old array<double>, policy array<double>, ref array<double>, mask array<int>, advantage double")
+    df = df.repartition(2)
+    assert plan(policy.sequence_terms(df)).count("EXP((lambda") <= 2  # the ratio and the KL
