@@ -228,3 +228,13 @@ def test_scores_by_name_share_one_crossing(pairs, plan):
     for out, (name, order) in wanted.items():
         alone = metrics.sentence_metric(pairs, name, order, out).select("id", out)
         assert sorted(got.select("id", out).collect()) == sorted(alone.collect())
+
+
+def test_words_are_split_without_a_pattern(spark, plan):
+    """Every white-space character separates, several are one gap; the split itself is at a plain space."""
+    assert len(text.WHITESPACE_CHARS) == 29
+    texts = [f"{c}a{c}{c}b {c}c{c}" for c in text.WHITESPACE_CHARS] + ["", " ", "a", "​ ﻿x᠎", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2).select("t", text.words(F.col("t")).alias("w"))
+    assert "split(regexp_replace" in plan(rows) and "lambda" not in plan(rows)
+    for t, w in rows.collect():
+        assert w == (None if t is None else t.split())
