@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,26 @@ def test_a_text_is_cut_once_and_crosses_to_python_unmarked(pairs, plan):
     assert sorted(known["words"]) == ["one", "two."]
 
 
+def test_sides_of_a_row_share_their_words(pairs, plan):
+    two = pairs.withColumns({"h2": F.col("ref"), "r2": F.col("hyp")})
+    sides = {("hyp", "ref"): {"b": "bleu", "c": "chrf++"}, ("h2", "r2"): {"d": "bleu", "e": "chrf++"}}
+    # One call takes all four texts of a row.
+    assert plan(metrics.score_sides(two, sides)).count("statistics(") == 1
+    known = {}
+    kernel.batch_statistics([["one two."], ["two."]], ngrams.ORDERS, known)
+    assert known["words"] is known["peeled"] and len(known["words"].numbers) == 3  # one two .
+
+
+def test_a_chunk_at_a_time_becomes_python_texts(monkeypatch):
+    taken, texts = [], kernel._texts
+    monkeypatch.setattr(kernel, "CHUNK_CHARS", 100)
+    monkeypatch.setattr(kernel, "_texts", lambda *part: taken.append(part[1:]) or texts(*part))
+    column = pa.array([f"{i:010d} é" for i in range(50)])
+    got = kernel.batch_statistics([column, column], ngrams.ORDERS)
+    assert max(stop - start for start, stop in taken) <= 5 and len(got["words"]) == 50
+    assert (got["words"] == kernel.batch_statistics([column.to_pylist()] * 2, ngrams.ORDERS)["words"]).all()
+
+
 def test_scoring_shuffles_nothing(pairs, plan):
     assert "Exchange" not in plan(metrics.score_pairs(pairs, {"b": "bleu", "d": "chrf++"}))
 
