@@ -10,7 +10,8 @@ for them a step is allowed only if the merges of the two pieces' joined text giv
 is that of the merges exactly if all its neighbours pass that test, and every position has one such path, so the same fold finds it.
 
 Texts are encoded where they lie. The table of frequent units that goes to every task has at most ``table`` units of at most ``longest`` characters;
-all other units are encoded in place, by the model's merges or, if long, by the same lattice and fold. Nothing but unit counts is shuffled.
+all other units are encoded in place, by the model's merges (the units of some megabytes together, round by round) or, if long, by the same
+lattice and fold. Nothing but unit counts is shuffled. Words are cut, told apart and gathered as Arrow arrays; each different word of a slice is looked at once.
 
 Defined results: null and empty texts have no pieces; repeated rows are encoded each; an empty table gives an empty result; U+2581 in a text
 is read as a space; ids outside the model decode to nothing.
@@ -19,13 +20,12 @@ is read as a space; ids outside the model decode to nothing.
 from __future__ import annotations
 
 import re
-from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +35,11 @@ from echotrip.session import spread, stage
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_COST = 10.0  # below the worst score
+NO_PAIR = np.iinfo(np.int32).max
 SHORT = 64
-COUNTED = 400_000  # words that a task counts before it passes them on
-OWN_WORDS = 100_000  # words beyond the table whose ids a task remembers
+COUNTED = 800_000  # rows of words and counts that a task holds before it adds them up
+CHUNK = 4 << 20  # bytes of text that a task cuts into words together
+OWN_UNITS = 100_000  # units with odd characters, or long ones, whose ids a task remembers
 
 
 @dataclass(frozen=True)
@@ -158,25 +160,46 @@ def _units(text: str) -> str:
     return MARK + text.replace(" ", MARK)
 
 
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    """Runs of whole texts of about ``CHUNK`` bytes, at least one text each."""
+    texts = column.cast(pa.large_string())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def _count(alone: str, longest: int):
     """Words after a single space (or at the beginning), which are most of all units; others are not counted."""
-    odd = set(alone) | {MARK}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: list[pa.Table] = []
         for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    for line in text.as_py().split("\n"):
-                        seen.update(line.split(" "))
-                if len(seen) > COUNTED:
-                    yield flush(seen)
-                    seen = Counter()
-        yield flush(seen)
-
-    def flush(seen: Counter) -> pa.RecordBatch:
-        kept = [(MARK + w, n) for w, n in seen.items() if 0 < len(w) < longest and odd.isdisjoint(w)]
-        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["unit", "n"])
+            for texts in _slices(batch.column(0)):
+                words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ").flatten()
+                seen.append(pa.Table.from_arrays(pc.value_counts(words).flatten(), names=["unit", "n"]))
+                if sum(map(len, seen)) > COUNTED:
+                    seen = [added(seen)]
+                    if len(seen[0]) > COUNTED // 2:
+                        yield from flush(seen[0])
+                        seen = []
+        if seen:
+            yield from flush(added(seen))
+
+    def added(seen: list[pa.Table]) -> pa.Table:
+        both = pa.concat_tables(seen).group_by("unit", use_threads=False).aggregate([("n", "sum")])
+        return both.select(["unit", "n_sum"]).rename_columns(["unit", "n"])
+
+    def flush(seen: pa.Table) -> list[pa.RecordBatch]:
+        sizes = pc.utf8_length(seen["unit"])
+        kept = pc.and_(pc.greater(sizes, 0), pc.less(sizes, longest))
+        for char in alone + MARK:
+            kept = pc.and_not(kept, pc.match_substring(seen["unit"], char))
+        seen = seen.filter(kept)
+        units = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), seen["unit"], pa.scalar("", pa.large_string()))
+        return pa.table({"unit": units.cast(pa.string()), "n": seen["n"]}).to_batches()
 
     return run
 
@@ -286,61 +309,192 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     return steps.select("unit", fold(F.col("steps"), F.length("unit")).alias("ids"))
 
 
+def _blobs(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of ids as bytes, so that Arrow can gather them."""
+    ends = 4 * np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(np.int32))])
+
+
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+
+
+def _odd(texts: pa.Array) -> pa.Array:
+    """Texts whose words can't be told by single spaces."""
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
+    return pc.or_(odd, pc.match_substring(texts, MARK))
+
+
+@dataclass
+class Merges:
+    """The merges of a model as arrays, for many units at once: symbols are pieces, and characters that are only part of pieces."""
+
+    chars: np.ndarray  # code points, ascending
+    of_char: np.ndarray
+    ids: np.ndarray  # id of a symbol; -1: no piece
+    pairs: np.ndarray  # left symbol * number of symbols + right one, ascending
+    whole: np.ndarray  # symbol that a pair gives
+    rank: np.ndarray  # place of its score, best first; equal scores have equal ranks
+
+    @staticmethod
+    def of(model: Model) -> Merges:
+        names = list(dict.fromkeys([*model.pieces, *"".join(model.pieces)]))
+        symbol = {p: k for k, p in enumerate(names)}
+        splits = [(symbol.get(p[:k]), symbol.get(p[k:]), symbol[p]) for p in model.pieces for k in range(1, len(p))]
+        found = np.array([x for x in splits if x[0] is not None and x[1] is not None], np.int64).reshape(-1, 3)
+        found = found[np.argsort(found[:, 0] * len(names) + found[:, 1])]
+        scores = np.array([model.scores.get(p, 0.0) for p in names])
+        _, rank = np.unique(-scores[found[:, 2]], return_inverse=True)
+        # Both tables end with an entry that nothing equals, so that none is empty.
+        single = sorted((ord(c), k) for c, k in symbol.items() if len(c) == 1)
+        chars, of_char = np.array([*single, (1 << 62, -1)], np.int64).T
+        ids = np.array([model.ids.get(p, -1) for p in names], np.int32)
+        pairs = np.append(found[:, 0] * len(names) + found[:, 1], 1 << 62)
+        return Merges(chars, of_char, ids, pairs, np.append(found[:, 2], -1).astype(np.int32), np.append(rank, NO_PAIR).astype(np.int32))
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``pairs``, and whether the pair is there; -1 stands for no symbol."""
+        key = left.astype(np.int64) * len(self.ids) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return at, (self.pairs[at] == key) & (left >= 0) & (right >= 0)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at, there = self._pair(left, right)
+        return np.where(there, self.rank[at], NO_PAIR)
+
+    def merged(self, parts: np.ndarray) -> np.ndarray:
+        """Rows of symbols, filled with -1 at the end, by ``Model.merged``: in every round each row's best pair, the leftmost of equal ones."""
+        out, rows = np.full(parts.shape, -1, np.int32), np.arange(len(parts))
+        ranks = self._ranks(parts[:, :-1], parts[:, 1:])
+        while len(rows) and ranks.shape[1]:
+            best = ranks.argmin(axis=1)
+            left = ranks[np.arange(len(rows)), best] == NO_PAIR
+            out[rows[left], : parts.shape[1]] = parts[left]
+            rows, parts, ranks, best = rows[~left], parts[~left], ranks[~left], best[~left]
+            every, width = np.arange(len(rows)), parts.shape[1]
+            parts[every, best] = self.whole[self._pair(parts[every, best], parts[every, best + 1])[0]]
+            at = np.arange(width - 1)
+            parts = np.take_along_axis(parts, at + (at > best[:, None]), 1)
+            ranks = np.take_along_axis(ranks, at[:-1] + (at[:-1] >= best[:, None]), 1)
+            for k in (best - 1, best):
+                some = np.flatnonzero((k >= 0) & (k < width - 2))
+                ranks[some, k[some]] = self._ranks(parts[some, k[some]], parts[some, k[some] + 1])
+        out[rows, : parts.shape[1]] = parts
+        return out
+
+    def encode(self, units: list[str], single: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units side by side, and how many each has; long ones and those with other characters by ``single``."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        first = np.cumsum(sizes) - sizes
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.chars, codes), len(self.chars) - 1)
+        symbols = np.where(self.chars[at] == codes, self.of_char[at], -1).astype(np.int32)
+        symbols = np.concatenate([symbols, np.full(SHORT, -1, np.int32)])
+        counts, found, low = np.zeros(len(units), np.int64), [], 0
+        done = np.zeros(len(units), bool)
+        for width in (4, 8, 12, 16, 24, 32, SHORT):
+            rows = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            inside = np.arange(width) < sizes[rows, None]
+            parts = np.where(inside, symbols[first[rows, None] + np.arange(width)], -1)
+            good = ((parts >= 0) == inside).all(axis=1)
+            rows, parts = rows[good], self.merged(parts[good])
+            ids = np.where(parts >= 0, self.ids[parts], 0)
+            good = (ids >= 0).all(axis=1)
+            rows, parts, ids = rows[good], parts[good], ids[good]
+            done[rows], counts[rows] = True, (parts >= 0).sum(axis=1)
+            found.append((rows, ids, parts >= 0))
+        others = np.flatnonzero(~done)
+        lists = [single(units[k]) for k in others.tolist()]
+        counts[others] = [len(x) for x in lists]
+        start = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.int32)
+        for rows, ids, there in found:
+            out[(start[rows, None] + np.arange(ids.shape[1]))[there]] = ids[there]
+        for k, x in zip(others.tolist(), lists):
+            out[start[k] : start[k] + len(x)] = x
+        return out, counts
+
+
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """id and ids of every row."""
     s, spark = settings, docs.sparkSession
     frequent = stage(encode_units(frequent_units(docs, text_col, model, s), model), "encoded")
     found = frequent.select("unit", "ids").toArrow().combine_chunks()  # at most ``table`` short rows
-    # Words in one text, ids in one array: a few bytes a unit, where a dict of lists takes hundreds. A unit is a mark and a word without marks.
-    words, ids = MARK.join(u[1:] for u in found.column("unit").to_pylist()), found.column("ids").combine_chunks()
-    table = (words, ids.value_lengths().to_numpy().astype(np.uint16), ids.flatten().to_numpy().astype(np.int32).tobytes())
-    shared = spark.sparkContext.broadcast((table, model.plain()))
+    words, ids = found.column("unit").combine_chunks(), found.column("ids").combine_chunks()
+    shared = spark.sparkContext.broadcast(
+        (
+            pc.utf8_slice_codeunits(words, 1).cast(pa.large_string()),
+            _blobs(ids.flatten().to_numpy(), ids.value_lengths().to_numpy()),
+            model.plain(),
+            Merges.of(model) if model.merges else None,
+        )
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, plain = shared.value
+        known, spelt, plain, merges = shared.value
         model = Model(*plain)
         cut = _cutter(model.alone)
-        words, sizes, spelt = table
-        ends = (4 * np.cumsum(sizes, dtype=np.int64)).tolist()
-        known = {w: spelt[a:b] for w, a, b in zip(words.split(MARK), [0, *ends], ends)}
-        own: dict[str, bytes] = {}
-
-        def spell(units: list[str]) -> bytes:
-            return array("i", [i for u in units for i in model.encode_unit(u)]).tobytes()
+        own: dict[str, list[int]] = {}
 
-        def word(w: str) -> bytes:
-            ids = own.get(w)
+        def single(unit: str) -> list[int]:
+            ids = own.get(unit)
             if ids is None:
-                if len(own) > OWN_WORDS:
+                if len(own) > OWN_UNITS:
                     own.clear()
-                ids = own[w] = spell(cut(MARK + w) if "\t" in w else [MARK + w])
+                ids = own[unit] = model.encode_unit(unit)
             return ids
 
-        line_break = spell(["\n"])
-
-        def whole(text: str) -> bytes:
-            # Spaces one at a time: every part after a space is a unit of its own. A line's first part has no mark.
-            if "\n" not in model.alone or "  " in text or text.startswith(" ") or MARK in text:
-                return b"".join([known.get(u[1:]) or word(u[1:]) if u[0] == MARK else spell([u]) for u in cut(_units(text))])
-            out = []
-            for k, line in enumerate(text.split("\n")):
-                parts = line.split(" ")
-                if k:
-                    out.append(line_break)
-                    first = parts.pop(0)
-                    if first:
-                        out.append(spell(cut(first)))
-                for w in parts:
-                    out.append(known.get(w) or word(w))
-            return b"".join(out)
+        def units_of(word: str) -> list[str]:
+            if word[:1] == " ":
+                return [word[1:]]
+            if word[:1] == "\n":
+                return ["\n", *cut(word[1:])]
+            return cut(MARK + word) if "\t" in word else [MARK + word]
+
+        def spell(words: list[str]) -> pa.Array:
+            lists = [units_of(w) for w in words]
+            units = [u for x in lists for u in x]
+            ids, sizes = merges.encode(units, single) if merges else _joined([single(u) for u in units])
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            return _blobs(ids, np.diff(first[np.cumsum([0] + [len(x) for x in lists])]))
+
+        def plain_words(texts: pa.Array) -> pa.Array:
+            """Every part after a space is a word; the first part of a further line comes with its line break and has no mark."""
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+
+        def no_words(texts: pa.Array) -> pa.Array:
+            return pa.nulls(len(texts), pa.list_(pa.large_string()))
+
+        def odd_words(texts: pa.Array) -> pa.Array:
+            """The same of texts with marks or several spaces; after a space that begins it, a word is a unit as it is."""
+            lists = [cut(_units(t)) for t in texts.to_pylist()]
+            return pa.array([[u[1:] if u[0] == MARK and u[1:2] != "\n" else " " + u for u in x] for x in lists], pa.list_(pa.large_string()))
+
+        def encoded(lists: pa.Array) -> pa.Array:
+            words = lists.flatten().dictionary_encode()
+            at = pc.index_in(words.dictionary, value_set=known)
+            rare = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+            place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+            place[rare] = len(known) + np.arange(len(rare))
+            ready = pa.concat_arrays([spelt, spell(words.dictionary.take(pa.array(rare)).to_pylist())])
+            ready = ready.take(pa.array(place[words.indices.to_numpy()]))
+            ends = np.frombuffer(ready.buffers()[1], np.int64)[: len(ready) + 1] // 4
+            count = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            data = ready.buffers()[2]
+            ids = np.frombuffer(data, np.int32)[: ends[-1]] if ends[-1] else np.zeros(0, np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends[count].astype(np.int32)), pa.array(ids))
 
         for batch in batches:
-            texts = batch.column("text")
-            for lo in range(0, len(texts), 256):
-                found = [whole(t.as_py()) if t.is_valid and len(t.as_py()) else b"" for t in texts.slice(lo, 256)]
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, 256), ids], names=["id", "ids"])
+            lo = 0
+            for texts in _slices(batch.column("text")):
+                names = batch.column("id").slice(lo, len(texts))
+                lo += len(texts)
+                blank = pc.fill_null(pc.equal(texts, ""), True)
+                odd = pc.and_not(pc.fill_null(_odd(texts), False) if "\n" in model.alone else texts.is_valid(), blank)
+                for here, words in ((blank, no_words), (odd, odd_words), (pc.invert(pc.or_(blank, odd)), plain_words)):
+                    if pc.any(here).as_py():
+                        yield pa.RecordBatch.from_arrays([names.filter(here), encoded(words(texts.filter(here)))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
@@ -350,20 +504,24 @@ def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", text_col: str
     """``encoded`` with the text of its ids."""
     spell = {i: p.replace(MARK, " ").encode() for p, (i, _) in model.pieces.items()}
     spell |= {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
-    shared = encoded.sparkSession.sparkContext.broadcast([spell.get(i, b"") for i in range(max(spell, default=-1) + 1)])
+    table = pa.array([spell.get(i, b"") for i in range(max(spell, default=-1) + 1)], pa.large_binary())
+    shared = encoded.sparkSession.sparkContext.broadcast(table)
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = shared.value
-        n = len(spell)
+        table = shared.value
         for batch in batches:
             for lo in range(0, len(batch), 512):
-                part, texts = batch.slice(lo, 512), []
-                for ids in part.column(at):
-                    values = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
-                    if values and (min(values) < 0 or max(values) >= n):
-                        values = [i for i in values if 0 <= i < n]
-                    texts.append(b"".join([spell[i] for i in values]).decode("utf-8", "replace").removeprefix(" "))
+                part = batch.slice(lo, 512)
+                lists = part.column(at)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                there = (ids >= 0) & (ids < len(table))
+                count = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                inside = np.concatenate([[0], np.cumsum(there)])[count]
+                spelt = table.take(pa.array(ids[there].astype(np.int64)))
+                ends = np.frombuffer(spelt.buffers()[1], np.int64)[inside].tolist() if len(spelt) else [0] * len(count)
+                data = memoryview(spelt.buffers()[2] or b"")
+                texts = [str(data[x:y], "utf-8", "replace").removeprefix(" ") for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text_col])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])

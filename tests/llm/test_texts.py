@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -162,6 +163,43 @@ def test_units_are_counted_in_all_documents(spark):
     assert {r.unit for r in units} == {"▁common", "▁once"}
 
 
+def test_rare_units_are_merged_together():
+    model = pieces.read_model()
+    letters = random.Random(3)
+    units = ["▁" + "".join(letters.choice("aeinorstthéA,.") for _ in range(k % 64)) for k in range(600)]
+    alone = []
+
+    def single(unit):
+        alone.append(unit)
+        return model.encode_unit(unit)
+
+    odd = ["▁日x\x00", "a" * 65, "\n", "▁" * 40, "x"]
+    ids, sizes = pieces.Merges.of(model).encode([*units, *odd, units[5]], single)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [model.encode_unit(u) for u in [*units, *odd, units[5]]]
+    assert set(alone) <= set(odd) and "a" * 65 in alone
+    ids, sizes = pieces.Merges.of(model).encode([], single)
+    assert len(ids) == len(sizes) == 0
+    # Pieces with equal scores (the leftmost pair is merged first), and a character that is no piece of its own.
+    table = {p: (i, s) for i, (p, s) in enumerate({"a": -9.0, "b": -9.0, "ab": -1.0, "ba": -1.0, "aba": -1.0, "bz": -2.0}.items())}
+    model = pieces.Model(table, list(range(10, 266)), 0, True, "", 3, -9.0)
+    units = ["".join(letters.choice("abzq") for _ in range(k % 9 + 1)) for k in range(300)]
+    ids, sizes = pieces.Merges.of(model).encode(units, model.encode_unit)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [model.encode_unit(u) for u in units]
+
+
+def test_words_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK", 40)
+    monkeypatch.setattr(pieces, "COUNTED", 6)
+    texts = [f"all w{k} w{k}\nw{k % 7} ▁no a\tb  " + "x" * 70 for k in range(50)] + [None, ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[lo : lo + 13], pa.string())], names=["text"]) for lo in range(0, 52, 13)]
+    got = Counter()
+    parts = list(pieces._count("\n\t", 64)(iter(batches)))
+    for part in parts:
+        for row in part.to_pylist():
+            got[row["unit"]] += row["n"]
+    assert got == Counter(["▁all"] * 50 + [f"▁w{k}" for k in range(50)] * 2 + [f"▁w{k % 7}" for k in range(50)]) and len(parts) > 3
+
+
 def test_best_path_by_scores(spark):
     scores = {"▁": -2.0, "a": -2.0, "b": -3.0, "ab": -2.5, "▁a": -4.5, "ba": -1.0, "▁ab": -9.0, "bab": -3.2}
     table = {p: (i + 1, s) for i, (p, s) in enumerate(scores.items())}
