@@ -119,3 +119,10 @@ def test_same_completions_with_less_padding(spark, folders):
     assert report.n_prompts == 500 and report.n_tokens == df.agg(F.sum(F.size(F.split("p", " ")))).first()[0]
     assert report.largest <= 600 and report.padding_share < 0.1 < 0.4 < report.fixed_share
     assert batches.padding_report(df.where("false"), "p", 600).first().n_prompts == 0
+
+
+def test_digests_are_exchanged_as_bytes_and_stored_as_digits(spark, folders, plan):
+    log, store = folders
+    got = candidates.greedy(prompts(spark), counting(log), "p", "out", ["id"], store=store)
+    assert got.count() == 60 and {len(r.key) for r in spark.read.parquet(store).collect()} == {64}
+    assert "unhex" in plan(got) and spark.read.parquet(store).where("key = lower(key)").count() == 20
